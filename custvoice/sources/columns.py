@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custvoice.fixed_values import RAW_COLUMNS
+from custvoice.schema import SEQ
 
 
 def pad_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
@@ -21,6 +23,16 @@ def pad_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few constant rows as a plan without any data source."""
+    fields = T.StructType.fromDDL(ddl).fields
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def pad_raw(df: DataFrame) -> DataFrame:
     """Add the missing raw columns as null strings."""
     return pad_columns(df, dict.fromkeys(RAW_COLUMNS))
@@ -63,18 +75,22 @@ def ticket_key(df: DataFrame) -> str | None:
     return next((n for n in ("id", "tweet_id", "status_id") if n in df.columns), None)
 
 
+def row_key(df: DataFrame, name: str) -> DataFrame:
+    """Add the row's file position as a string; ``df`` holds ``_seq`` or is a file scan."""
+    if SEQ in df.columns:
+        return df.withColumn(name, F.col(SEQ).cast("string"))
+    indexed = with_row_index(df, "_row")
+    return indexed.withColumn(name, F.col("_row").cast("string")).drop("_row")
+
+
 def ensure_post_id(df: DataFrame) -> DataFrame:
-    """Use the row index as ``id`` when no row has one; ``df`` is a file scan."""
+    """Use the row's file position as ``id`` when no row has an id."""
     if "id" in df.columns and df.where(F.col("id").isNotNull()).limit(1).count():
         return df
-    indexed = with_row_index(df.drop("id"), "_row")
-    return indexed.withColumn("id", F.col("_row").cast("string")).drop("_row")
+    return row_key(df if SEQ not in df.columns else df.drop("id"), "id")
 
 
 def ensure_ticket_id(df: DataFrame) -> DataFrame:
-    """Add ``ticket_id``: the first id column present, else the row index of the file scan."""
+    """Add ``ticket_id``: the first id column present, else the row's file position."""
     key = ticket_key(df)
-    if key:
-        return df.withColumn("ticket_id", F.col(key))
-    indexed = with_row_index(df, "_row")
-    return indexed.withColumn("ticket_id", F.col("_row").cast("string")).drop("_row")
+    return df.withColumn("ticket_id", F.col(key)) if key else row_key(df, "ticket_id")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from custvoice import schema
 from custvoice.fixed_values import CSV_NULL_TOKENS, TRUE_WORDS_SHORT
 from custvoice.functions.values import parse_bool
+from custvoice.sources.columns import with_row_index
 
 # Quotes are doubled, never escaped with a backslash, and a quoted field may hold
 # line breaks.  Such files do not split: convert them to Parquet once.
@@ -52,13 +53,20 @@ def null_tokens(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_raw(spark: SparkSession, paths: str | Iterable[str], fmt: str = "csv") -> DataFrame:
+def read_raw(
+    spark: SparkSession,
+    paths: str | Iterable[str],
+    fmt: str = "csv",
+    indexed: bool = False,
+) -> DataFrame:
     """Raw posts, all strings, from the first path that exists.
 
-    Header names are stripped; for CSV the null tokens become null.
+    Header names are stripped; for CSV the null tokens become null.  ``indexed``
+    adds the file order as ``_seq`` and spreads a file that does not split.
     """
     path = paths if isinstance(paths, str) else first_existing(spark, paths)
-    df = _scan(spark, path, fmt)
+    scan = _scan(spark, path, fmt)
+    df = balanced(with_row_index(scan, schema.SEQ), scan) if indexed else scan
     df = df.toDF(*[name.strip() for name in df.columns])
     return null_tokens(df) if fmt == "csv" else df
 
@@ -70,13 +78,16 @@ def read_optional(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return read_raw(spark, path, fmt)
 
 
-def balanced(df: DataFrame) -> DataFrame:
+def balanced(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Spread a scan with fewer splits than the cluster has cores; else leave it alone.
 
-    Meant for small or unsplittable inputs in front of heavy row work.
+    Meant for small or unsplittable inputs in front of heavy row work.  ``scan``
+    is the plain scan under ``df``, by default ``df`` itself; counting its
+    splits only plans it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = (df if scan is None else scan).rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def read_stage(spark: SparkSession, path: str, stage: T.StructType) -> DataFrame:
