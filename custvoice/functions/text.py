@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every white-space character there is, the plain space first.
@@ -14,19 +14,18 @@ _SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 _SPACES = " " + _SPACES.replace(" ", "")
 # The same as a regex class body, spelled out: cheaper than Unicode regex classes.
 _WS = "".join(f"\\u{ord(c):04x}" for c in _SPACES)
-_WS_EDGE = rf"\A[{_WS}]+|(?<![{_WS}])[{_WS}]+\z"
 _URL = rf"http[^{_WS}]+|www\.[^{_WS}]+"
 _TAG = r"(?U)[@#]\w*"
 
 
 def strip_text(c: Column) -> Column:
     """Drop leading and trailing white space of any Unicode kind."""
-    return F.regexp_replace(c, _WS_EDGE, "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_filled(c: Column) -> Column:
     """True when the value is neither null nor blank."""
-    return F.coalesce(c.rlike(rf"[^{_WS}]"), F.lit(False))
+    return F.coalesce(strip_text(c) != "", F.lit(False))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -122,12 +121,30 @@ def any_keyword(text: Column, keywords: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def contains_any(c: Column, keywords: Iterable[str], fold: bool = False) -> Column:
-    """Substring test of any keyword on the lexical form of ``c``."""
-    return any_keyword(lexical_text(c), live_keywords(keywords, fold))
+def with_contains_any(
+    df: DataFrame, text_col: str, wanted: Mapping[str, Iterable[str]], fold: bool = False
+) -> DataFrame:
+    """A boolean per entry of ``wanted``: any of its keywords occurs in the lexical text.
+
+    The folded text is projected once and shared by all the tests.
+    """
+    staged = df.withColumn("_lexical", lexical_text(F.col(text_col)))
+    flags = {
+        name: any_keyword(F.col("_lexical"), live_keywords(words, fold))
+        for name, words in wanted.items()
+    }
+    return staged.withColumns(flags).drop("_lexical")
 
 
 def keyword_points(text: Column, keywords: Iterable[str], points: int) -> Column:
     """``points`` for each keyword present, however often it occurs."""
-    hits = [F.contains(text, F.lit(k)).cast("int") * points for k in keywords]
+    words = list(keywords)
+    hits = [_present(text, word, words).cast("int") * points for word in words]
     return reduce(lambda a, b: a + b, hits) if hits else F.lit(0)
+
+
+def _present(text: Column, word: str, words: list[str]) -> Column:
+    """A keyword that contains another one is looked for only where that one occurs."""
+    found = F.contains(text, F.lit(word))
+    inner = next((w for w in words if w != word and w in word), None)
+    return F.contains(text, F.lit(inner)) & found if inner else found

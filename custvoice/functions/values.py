@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,39 +39,42 @@ def time_column(df: DataFrame, name: str = "created_at") -> Column:
     return parse_time(F.col(name))
 
 
-def format_count(c: Column) -> Column:
-    """Short form of a counter: ``999``, ``1.2K``, ``3.4M``; unreadable gives ``0``.
+def with_count_labels(df: DataFrame, counters: Mapping[str, Column]) -> DataFrame:
+    """Add short forms of counters: ``999``, ``1.2K``, ``3.4M``; unreadable gives ``0``.
 
     One decimal of the double quotient, correctly rounded as the usual C
     formatting does.  Only a tie in decimal needs care: there the sign of the
     division's rounding error decides, and an exact tie goes to the even digit.
+
+    Each step is a projection of its own, so that a value used several times is
+    computed once and the generated code stays small.
     """
-    text = strip_text(c.cast("string"))
-    value = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
-
-    def shortened(unit: int, suffix: str) -> Column:
-        tenth, tie = unit // 10, unit // 20
-        quotient = value.cast("double") / float(unit)
-        # Split the quotient so that both partial products are exact.
-        carry = quotient * 134217729.0
-        high = carry - (carry - quotient)
-        error = (high * float(unit) - value.cast("double")) + (quotient - high) * float(unit)
-        tenths = F.floor(value / F.lit(tenth)).cast("bigint")
-        rest = value - tenths * tenth
-        odd = tenths % 2 == 1
-        up = (rest > tie) | ((rest == tie) & ((error > 0) | ((error == 0) & odd)))
-        shown = tenths + up.cast("bigint")
-        return F.concat(
-            F.floor(shown / 10).cast("string"), F.lit("."), (shown % 10).cast("string"),
-            F.lit(suffix),
-        )
-
-    return (
-        F.when(value.isNull(), "0")
-        .when(value >= 1_000_000, shortened(1_000_000, "M"))
-        .when(value >= 1_000, shortened(1_000, "K"))
-        .otherwise(value.cast("string"))
+    number = df.withColumns({f"_{k}_text": strip_text(c) for k, c in counters.items()})
+    steps = [
+        {"n": "CASE WHEN {k}_text RLIKE '^[+-]?[0-9]+$' THEN try_cast({k}_text AS BIGINT) END"},
+        {"unit": "CASE WHEN {k}_n >= 1000000 THEN 1000000L WHEN {k}_n >= 1000 THEN 1000L END"},
+        {"q": "CAST({k}_n AS DOUBLE) / {k}_unit", "tenths": "{k}_n DIV ({k}_unit DIV 10)"},
+        # Twenty times the number tells on which side of the tie it lies.  Split in
+        # two halves, the quotient gives exact products, hence the exact error.
+        {"side": "{k}_n * 20 - (2 * {k}_tenths + 1) * {k}_unit",
+         "high": "{k}_q * 134217729D - ({k}_q * 134217729D - {k}_q)"},
+        {"error": "({k}_high * {k}_unit - {k}_n) + ({k}_q - {k}_high) * {k}_unit"},
+        {"shown": "{k}_tenths + CAST({k}_side > 0 OR ({k}_side = 0 AND ({k}_error > 0 "
+                  "OR ({k}_error = 0 AND {k}_tenths % 2 = 1))) AS BIGINT)"},
+    ]
+    for step in steps:
+        number = number.withColumns({
+            f"_{k}_{part}": F.expr(sql.format(k=f"_{k}"))
+            for k in counters for part, sql in step.items()
+        })
+    label = (
+        "CASE WHEN {k}_n IS NULL THEN '0' WHEN {k}_unit IS NULL THEN CAST({k}_n AS STRING) "
+        "ELSE concat({k}_shown DIV 10, '.', {k}_shown % 10, "
+        "CASE WHEN {k}_unit = 1000 THEN 'K' ELSE 'M' END) END"
     )
+    labelled = number.withColumns({k: F.expr(label.format(k=f"_{k}")) for k in counters})
+    parts = ["text", *[part for step in steps for part in step]]
+    return labelled.drop(*[f"_{k}_{part}" for k in counters for part in parts])
 
 
 def priority_rank(c: Column) -> Column:

@@ -32,7 +32,7 @@ VERDICT_COLUMNS = (
 
 _ANSWER = (
     "intent string, complaint_type string, sentiment string, sarcasm string, "
-    "priority string, explanation string"
+    "priority string, explanation string, _corrupt_record string"
 )
 
 NO_ANSWER = "no answer"
@@ -69,17 +69,18 @@ def parse_answer(answer: Column, error: Column | None = None) -> dict[str, Colum
     """
     error = F.lit(None).cast("string") if error is None else error
     body = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
-    # The parser below stops at the end of the first object.  Counting the
-    # elements of "[body]" reads all of it, and strictly.
+    fields = F.from_json(body, _ANSWER, {"allowSingleQuotes": "false"})
+    # The parser stops at the end of the first object; counting the elements of
+    # "[body]" reads all of it, but lets single quotes pass, which the parser does not.
+    whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
     sound = F.coalesce(
-        F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1, F.lit(False)
-    ) & (body != "")
+        whole & (body != "") & fields["_corrupt_record"].isNull(), F.lit(False)
+    )
     failed = F.coalesce(
         error,
         F.when(answer.isNull(), NO_ANSWER),
         F.when(F.json_array_length(answer).isNotNull(), NOT_AN_OBJECT),
     )
-    fields = F.from_json(body, _ANSWER, {"allowSingleQuotes": "false"})
     readable = failed.isNull() & sound
 
     def field(name: str, default: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from custvoice.fixed_values import PAGE_SIZES
 from custvoice.functions.text import strip_text
-from custvoice.functions.values import format_count, time_column
+from custvoice.functions.values import time_column, with_count_labels
 from custvoice.operators.lookup import HOT_ROWS, first_per_key, lookup_join
 from custvoice.operators.prepare import is_marked_repost
 from custvoice.operators.tickets import text_matches
@@ -163,37 +163,44 @@ def with_reply_counts(posts: DataFrame, feed: DataFrame, hot_rows: int = HOT_ROW
 ORIGINAL_COLUMNS = ("created_at", "screen_name", "name", "display_text", *COUNTERS.values())
 
 
-def originals(feed: DataFrame) -> DataFrame:
-    """The first post per id in file order, as columns ``orig_*`` keyed by ``ref_id``."""
-    first = first_per_key(feed, "id", SEQ, list(ORIGINAL_COLUMNS))
-    return first.select(
+def as_originals(rows: DataFrame) -> DataFrame:
+    """Rows as ``orig_*`` columns keyed by ``ref_id``."""
+    return rows.select(
         F.col("id").alias("ref_id"),
         F.lit(True).alias("orig_found"),
         *[F.col(c).alias(f"orig_{c}") for c in ORIGINAL_COLUMNS],
     )
 
 
+def originals(feed: DataFrame, refs: DataFrame) -> DataFrame:
+    """The first post, in file order, of each id in ``refs`` (column ``ref_id``).
+
+    Ids and positions alone decide which rows these are; texts and counters are
+    fetched for those rows only, by a key that no two rows share.
+    """
+    firsts = feed.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(SEQ).alias(SEQ))
+    wanted = firsts.join(refs.withColumnRenamed("ref_id", "id"), "id", "left_semi")
+    return as_originals(feed.join(wanted, ["id", SEQ], "left_semi"))
+
+
 def with_originals(posts: DataFrame, feed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Posts with the original that a retweet or quote embeds, if it is known."""
-    return lookup_join(
-        posts, originals(feed), "ref_id", spread=SEQ, hot_rows=hot_rows, referenced_only=True
-    )
+    refs = posts.where(F.col("ref_id").isNotNull()).select("ref_id").distinct()
+    return lookup_join(posts, originals(feed, refs), "ref_id", spread=SEQ, hot_rows=hot_rows)
 
 
 def with_engagement(posts: DataFrame) -> DataFrame:
     """Counter labels: a retweet of a known post shows that post's counters."""
-    from_original = (F.col("feed_type") == "retweet") & F.coalesce(
-        F.col("orig_found"), F.lit(False)
-    )
-    return posts.withColumns({
-        label: format_count(
-            F.when(from_original, F.col(f"orig_{column}")).otherwise(F.col(column))
-        )
-        for label, column in COUNTERS.items()
-    } | {
-        f"orig_{label}": F.when(F.col("orig_found"), format_count(F.col(f"orig_{column}")))
-        for label, column in COUNTERS.items()
-    })
+    own = {f"own_{label}": F.col(column) for label, column in COUNTERS.items()}
+    embedded = {f"orig_{label}": F.col(f"orig_{column}") for label, column in COUNTERS.items()}
+    labelled = with_count_labels(posts, own | embedded)
+    found = F.coalesce(F.col("orig_found"), F.lit(False))
+    from_original = (F.col("feed_type") == "retweet") & found
+    chosen = {
+        label: F.when(from_original, F.col(f"orig_{label}")).otherwise(F.col(f"own_{label}"))
+        for label in COUNTERS
+    } | {f"orig_{label}": F.when(found, F.col(f"orig_{label}")) for label in COUNTERS}
+    return labelled.withColumns(chosen).drop(*own)
 
 
 def timeline(posts: DataFrame, feed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -208,7 +215,8 @@ def timeline_page(
     """One page ready to show.
 
     The page is found first.  Its few keys then filter the feed by a broadcast
-    (a page has at most 50 rows), so the lookups move no other rows.
+    (a page has at most 50 rows), so the lookups move no other rows and give at
+    most one row per key, which is as small.
     """
     page = page_of(posts, number, size)
     asked = page.select(F.explode(F.array("id", "ref_id")).alias("_key"))
@@ -216,7 +224,7 @@ def timeline_page(
     related = feed.join(asked, F.col("id") == F.col("_key"), "left_semi")
     answers = feed.join(asked, F.col("in_reply_to") == F.col("_key"), "left_semi")
     counts = F.broadcast(reply_counts(answers))  # at most one row per post of the page
-    known = F.broadcast(originals(related))
+    known = F.broadcast(as_originals(first_per_key(related, "id", SEQ, list(ORIGINAL_COLUMNS))))
     shown = with_engagement(page.join(known, "ref_id", "left")).join(counts, "id", "left")
     return shown.withColumn("comments", F.coalesce(F.col("comments"), F.lit(0)).cast("bigint"))
 

@@ -32,24 +32,32 @@ def shown_time(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.balanced(posts.posts(spark, sf))
+# --- stages -------------------------------------------------------------------
 
+_STAGES: dict[tuple[str, str, str], str] = {}
 
-def prepared_posts(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare.prepare(raw_posts(spark, sf))
 
+def _stored(spark: SparkSession, sf: str, stage: str, write: Callable[[], str]) -> DataFrame:
+    """A stage table, written the first time this session asks for it."""
+    key = (spark.sparkContext.applicationId, sf, stage)
+    if key not in _STAGES:
+        _STAGES[key] = write()
+    return spark.read.parquet(_STAGES[key])
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.first_answers(posts.stored_answers(spark, sf))
 
+def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw stage: derived posts, ingested once."""
+    def write() -> str:
+        ingested = tables.balanced(posts.posts(spark, sf))
+        return tables.write_stage(ingested, scratch_dir(spark, "raw"))
+    return _stored(spark, sf, "raw", write)
 
-# --- stages -------------------------------------------------------------------
 
-_STAGES: dict[tuple[str, str], tuple[str, str]] = {}
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.first_answers(posts.stored_answers(spark, sf))
 
 
-def write_stages(spark: SparkSession, sf: str) -> tuple[str, str]:
+def write_enrichment(spark: SparkSession, sf: str) -> tuple[str, str]:
     """Run the enrichment; paths of the prepared and the enriched stage."""
     root = scratch_dir(spark, "stages")
     prepared, enriched = f"{root}/prepared", f"{root}/enriched"
@@ -61,12 +69,21 @@ def write_stages(spark: SparkSession, sf: str) -> tuple[str, str]:
 
 
 def stages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The stage tables the read side works on, written once per session and input."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STAGES:
-        _STAGES[key] = write_stages(spark, sf)
-    prepared, enriched = _STAGES[key]
-    return spark.read.parquet(prepared), spark.read.parquet(enriched)
+    """The prepared and the enriched stage."""
+    written: list[str] = []
+
+    def write(which: int) -> str:
+        written.extend(written or write_enrichment(spark, sf))
+        return written[which]
+
+    return (
+        _stored(spark, sf, "prepared", lambda: write(0)),
+        _stored(spark, sf, "enriched", lambda: write(1)),
+    )
+
+
+def prepared_posts(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare.prepare(raw_posts(spark, sf))
 
 
 def enriched_stage(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +94,7 @@ def enriched_stage(spark: SparkSession, sf: str) -> DataFrame:
 
 def scan_raw(spark, sf):
     path = scratch_dir(spark, "raw-csv")
-    ordered = posts.posts(spark, sf).orderBy(SEQ).drop(SEQ)
+    ordered = raw_posts(spark, sf).orderBy(SEQ).drop(SEQ)
     tables.write_stage(ordered, path, "csv")
     return tables.read_raw(spark, path, indexed=True)
 
@@ -147,9 +164,8 @@ def keep_flag(spark, sf):
 
 def format_count(spark, sf):
     counters = ["favorite_count", "retweet_count", "reply_count", "views_count"]
-    return raw_posts(spark, sf).select(
-        SEQ, *counters, *[vl.format_count(F.col(c)).alias(f"{c}_label") for c in counters]
-    )
+    narrow = raw_posts(spark, sf).select(SEQ, *counters)
+    return vl.with_count_labels(narrow, {f"{c}_label": F.col(c) for c in counters})
 
 
 def parse_created_at(spark, sf):
@@ -182,14 +198,12 @@ def _lexical(expression: Callable[[Column], Column], name: str):
 
 
 def contains_any(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    text = F.col("text")
-    return docs.select(
-        "doc_id",
-        tx.contains_any(text, LEX.topics["fiber_issue"]).alias("has_fiber"),
-        tx.contains_any(text, LEX.weak_negative).alias("has_weak_negative"),
-        tx.contains_any(text, LEX.churn, fold=True).alias("has_churn_folded"),
-    )
+    docs = tables.balanced(spark.read.parquet(f"{sf}/documents.parquet"))
+    flagged = tx.with_contains_any(docs, "text", {
+        "has_fiber": LEX.topics["fiber_issue"], "has_weak_negative": LEX.weak_negative,
+    })
+    folded = tx.with_contains_any(flagged, "text", {"has_churn_folded": LEX.churn}, fold=True)
+    return folded.select("doc_id", "has_fiber", "has_weak_negative", "has_churn_folded")
 
 
 def topics(spark, sf):
@@ -275,7 +289,7 @@ def bump_priority(spark, sf):
 
 def enriched_posts(spark, sf):
     """The whole job, run afresh: clean, classify, score, reconcile, store, read back."""
-    _, enriched = write_stages(spark, sf)
+    _, enriched = write_enrichment(spark, sf)
     return spark.read.parquet(enriched).select(
         SEQ, "id", "created_at", "screen_name", "text_clean", "author_type", "tweet_type",
         "is_about_brand", "keep_for_analysis", *feature_columns(), *classify.VERDICT_COLUMNS,
@@ -304,12 +318,12 @@ def sentiment_counts(spark, sf):
 
 def report_metrics(spark, sf):
     prepared, enriched = stages(spark, sf)
-    return report.report_metrics(posts.posts(spark, sf), prepared, enriched)
+    return report.report_metrics(raw_posts(spark, sf), prepared, enriched)
 
 
 def report_metrics_partial(spark, sf):
     """The report while only the raw posts exist."""
-    return report.report_metrics(raw=posts.posts(spark, sf))
+    return report.report_metrics(raw=raw_posts(spark, sf))
 
 
 def report_lines(spark, sf):

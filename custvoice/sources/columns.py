@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,17 +45,17 @@ def with_row_index(df: DataFrame, name: str = "_seq") -> DataFrame:
     ever summed up, never the rows.  That table is joined by key and left to
     the optimizer to broadcast: it is as long as the list of files.
     """
-    try:
+    meta = F.col("_metadata")
+    if "row_index" in df.select(meta).schema["_metadata"].dataType.names:
         # Parquet knows each row's place in its file.
-        placed = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                           F.col("_metadata.row_index").alias("_place"))
-        block = ["_file"]
-    except AnalysisException:
+        block = {"_file": meta.file_path}
+        place = meta.row_index
+    else:
         # Text formats: rows of one block are read in order by one task.
-        placed = df.select("*", F.col("_metadata.file_path").alias("_file"),
-                           F.col("_metadata.file_block_start").alias("_start"),
-                           F.monotonically_increasing_id().alias("_place"))
-        block = ["_file", "_start"]
+        block = {"_file": meta.file_path, "_start": meta.file_block_start}
+        place = F.monotonically_increasing_id()
+    placed = df.select("*", *[c.alias(n) for n, c in block.items()], place.alias("_place"))
+    block = list(block)
     sizes = placed.groupBy(*block).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
     )
