@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvoice.fixed_values import COMPLAINT_TYPES, TOPICS
 from custvoice.functions.values import parse_bool
+from custvoice.sources.columns import pad_columns
 
 # Values the type pivot shows as columns of their own; all others are summed up
 # in one more column, since nothing keeps a classifier to its domain.
@@ -91,6 +90,8 @@ def text_count_pivot(df: DataFrame, row: str, column: str, domain: tuple[str, ..
 
 
 def intent_type_matrix(df: DataFrame) -> DataFrame:
+    if not has_columns(df, "final_intent", "final_complaint_type"):
+        df = pad_columns(df.limit(0), {"final_intent": None, "final_complaint_type": None})
     return text_count_pivot(df, "final_intent", "final_complaint_type", TYPE_DOMAIN)
 
 
@@ -112,6 +113,12 @@ def counts_in_one_pass(df: DataFrame, wanted: dict[str, tuple[str, Column]]) ->
     columns, under which a row counts there.  Rows are first counted per
     combination of the columns, which shrinks them before anything is exploded.
     """
+    if not wanted:
+        none = F.lit(None)
+        return df.limit(0).select(
+            none.cast("string").alias("section"), none.cast("string").alias("key"),
+            none.cast("bigint").alias("n"),
+        )
     names = list(dict.fromkeys(column for column, _ in wanted.values()))
     combos = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows"))
     entries = [
@@ -149,11 +156,8 @@ def overview(df: DataFrame) -> DataFrame:
             for k in ("total", "kept")
         ])).alias("_e")
     ).select("_e.*")
-    parts = [totals]
-    if wanted:
-        plural = F.when(
-            F.col("section") == "structure",
-            F.when(F.col("key") == "retweet", "retweets").otherwise("quotes"),
-        ).otherwise(F.col("key"))
-        parts.append(counts_in_one_pass(df, wanted).withColumn("key", plural))
-    return reduce(DataFrame.unionByName, parts)
+    plural = F.when(
+        F.col("section") == "structure",
+        F.when(F.col("key") == "retweet", "retweets").otherwise("quotes"),
+    ).otherwise(F.col("key"))
+    return totals.unionByName(counts_in_one_pass(df, wanted).withColumn("key", plural))
