@@ -123,7 +123,7 @@ def classify_stored(
     keep_col: str = "keep_for_analysis",
     id_col: str = "id",
     answer_col: str = "llm_response",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Verdicts from stored answers, one row ``(id, answer)`` per post id.
 
@@ -183,7 +183,7 @@ def classify_scored(
     parallelism: int | None = None,
     pause: float = 0.0,
     answers_path: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Verdicts from a scorer, called once per distinct text of the kept rows.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from custvoice.fixed_values import DASHBOARD_HEAD_ROWS, PRIORITIES, TRUE_WORDS_SHORT
 from custvoice.functions.values import parse_bool, time_column
 from custvoice.operators.kpis import complaints, count_if, text_count_pivot, value_counts
-from custvoice.schema import SEQ
+from custvoice.schema import DAY, SEQ
 from custvoice.sources.columns import pad_columns
 
 COLUMN_DEFAULTS = {
@@ -55,7 +55,9 @@ def filter_posts(
     """
     ts = F.col("created_ts")
     if start is not None and end is not None:
-        shown = base.where(F.to_date(ts).between(F.lit(start), F.lit(end)))
+        # A stage written by day is read for the days of the period only.
+        day = F.col(DAY) if DAY in base.columns else F.to_date(ts)
+        shown = base.where(day.between(F.lit(start), F.lit(end)))
     else:
         any_dated = base.agg(F.max(ts.isNotNull()).alias("any_dated"))
         shown = base.where(ts.isNotNull() | ~F.coalesce(any_dated.scalar(), F.lit(False)))

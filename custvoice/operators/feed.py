@@ -151,7 +151,7 @@ def reply_counts(feed: DataFrame) -> DataFrame:
     )
 
 
-def with_reply_counts(posts: DataFrame, feed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_reply_counts(posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Posts with their number of replies, 0 if none.
 
     Replies are counted before the join, so a viral post is one row there.
@@ -183,7 +183,7 @@ def originals(feed: DataFrame, refs: DataFrame) -> DataFrame:
     return as_originals(feed.join(wanted, ["id", SEQ], "left_semi"))
 
 
-def with_originals(posts: DataFrame, feed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_originals(posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Posts with the original that a retweet or quote embeds, if it is known."""
     refs = posts.where(F.col("ref_id").isNotNull()).select("ref_id").distinct()
     return lookup_join(posts, originals(feed, refs), "ref_id", spread=SEQ, hot_rows=hot_rows)
@@ -203,7 +203,7 @@ def with_engagement(posts: DataFrame) -> DataFrame:
     return labelled.withColumns(chosen).drop(*own)
 
 
-def timeline(posts: DataFrame, feed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def timeline(posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Posts ready to show: text, embedded original, counters, number of replies."""
     embedded = with_originals(posts, feed, hot_rows)
     return with_reply_counts(with_engagement(embedded), feed, hot_rows)
@@ -235,7 +235,7 @@ def thread(feed: DataFrame, post_id: str) -> DataFrame:
     return answers.orderBy(F.asc_nulls_last("created_ts"), SEQ)
 
 
-def threads(feed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def threads(feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """All replies to known posts, by post and then oldest first.
 
     Each reply occurs once, and the sort key ends in the row's own position, so

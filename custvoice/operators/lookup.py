@@ -31,7 +31,7 @@ def lookup_join(
     key: str,
     how: str = "left",
     spread: str = "_seq",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which holds at most one row per ``key``.
 
@@ -39,9 +39,24 @@ def lookup_join(
     * Keys with ``hot_rows`` or more left rows are spread over several tasks: the
       left rows by a hash of ``spread``, the single right row by one copy each.
 
-    ``how`` is left, inner or left_semi.
+    ``hot_rows`` None saves the count of the keys where they are known to be
+    spread, such as unique ids.  ``how`` is left, inner or left_semi.
     """
     keyed = left.where(F.col(key).isNotNull())
+    found = right.where(F.col(key).isNotNull())
+    if hot_rows is None:
+        joined = keyed.join(found, key, how)
+    else:
+        joined = _salted_join(keyed, found, key, how, spread, hot_rows)
+    if how != "left":
+        return joined
+    keyless = left.where(F.col(key).isNull())
+    return joined.unionByName(keyless, allowMissingColumns=True)
+
+
+def _salted_join(
+    keyed: DataFrame, found: DataFrame, key: str, how: str, spread: str, hot_rows: int
+) -> DataFrame:
     load = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_load"))
     fan = F.ceil(F.col("_load") / F.lit(hot_rows)).cast("int")
     hot = (
@@ -54,13 +69,7 @@ def lookup_join(
     salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_fan")), F.lit(0)).cast("int")
     salted = keyed.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_fan")
 
-    found = right.where(F.col(key).isNotNull())
     found = found.join(F.broadcast(hot), key, "left")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1)
     found = found.withColumn("_salt", F.explode(copies)).drop("_fan")
-
-    joined = salted.join(found, [key, "_salt"], how).drop("_salt")
-    if how != "left":
-        return joined
-    keyless = left.where(F.col(key).isNull())
-    return joined.unionByName(keyless, allowMissingColumns=True)
+    return salted.join(found, [key, "_salt"], how).drop("_salt")

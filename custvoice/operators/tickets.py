@@ -150,7 +150,7 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("ticket_id").agg(last).select("ticket_id", "_last.status", "_last.note")
 
 
-def with_status(df: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_status(df: DataFrame, log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Tickets with their last status and note; new tickets have neither."""
     joined = lookup_join(df, latest_status(log), "ticket_id", spread=SEQ, hot_rows=hot_rows)
     return joined.withColumns({

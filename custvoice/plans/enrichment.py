@@ -38,9 +38,12 @@ def enrich(
     enriched_path: str,
     limit: int | None = None,
     config: VoiceConfig = DEFAULT,
+    by_day: bool = False,
 ) -> DataFrame:
     """Write the prepared and the enriched stage and return the enriched one.
 
+    ``by_day`` partitions the enriched stage by day.
+
     Both stages are read back from where they were written.  The classifier and
     the cap scan the prepared table more than once, and whatever follows must
     neither clean the texts again nor call a classifier again.
@@ -49,7 +52,7 @@ def enrich(
     write_stage(prepare(raw, config), prepared_path)
     prepared = spark.read.parquet(prepared_path)
     verdicts = classifier(cap_kept(prepared, limit))
-    write_stage(enrich_columns(verdicts, config), enriched_path)
+    write_stage(enrich_columns(verdicts, config), enriched_path, by_day=by_day)
     return spark.read.parquet(enriched_path)
 
 
@@ -63,6 +66,7 @@ def run_enrichment(
     on_existing: str = "skip",
     fmt: str = "csv",
     config: VoiceConfig = DEFAULT,
+    by_day: bool = False,
 ) -> Enriched:
     """Run the job unless its results are already there.
 
@@ -77,6 +81,6 @@ def run_enrichment(
     ran = on_existing == "overwrite" or not all(stages)
     if ran:
         raw = read_raw(spark, raw_path, fmt, indexed=True)
-        enrich(raw, classifier, prepared_path, enriched_path, limit, config)
+        enrich(raw, classifier, prepared_path, enriched_path, limit, config, by_day)
     posts = spark.read.parquet(enriched_path)
     return Enriched(posts, compute_kpis(posts), ran)

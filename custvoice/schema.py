@@ -9,6 +9,9 @@ from custvoice.fixed_values import RAW_COLUMNS
 # File order of a row.  Set once at ingest, carried through every stage.
 SEQ = "_seq"
 
+# Partition column of a stage written by day.
+DAY = "created_day"
+
 EXTRA_RAW_COLUMNS = ("in_reply_to_status_id", "is_quote_status")
 
 

@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     A machine-local folder is used only when the setting is absent and the
     session itself runs on one machine, as in tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from custvoice import schema
 from custvoice.fixed_values import CSV_NULL_TOKENS, TRUE_WORDS_SHORT
-from custvoice.functions.values import parse_bool
+from custvoice.functions.values import parse_bool, time_column
 from custvoice.sources.columns import with_row_index
 
 # Quotes are doubled, never escaped with a backslash, and a quoted field may hold
@@ -122,20 +122,28 @@ def typed(df: DataFrame, stage: T.StructType) -> DataFrame:
     return df.select([parsed(n) for n in df.columns])
 
 
-def write_stage(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
+def write_stage(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", by_day: bool = False
+) -> str:
     """Write a stage and return its path; missing parent folders are made.
 
+    ``by_day`` partitions it by the day of ``created_at``, so that a dashboard
+    reads the days it shows and no others.  The rebalance hint gives each day few
+    and even files, and splits a day that holds much more than the others.
     For CSV, arrays become comma-joined strings.
     """
-    if fmt != "csv":
-        df.write.mode(mode).format(fmt).save(path)
-        return path
-    flat = df.select([
-        F.concat_ws(",", F.col(n)).alias(n) if t.startswith("array") else F.col(n)
-        for n, t in df.dtypes
-    ])
-    options = {k: v for k, v in _CSV.items() if k != "multiLine"}
-    flat.write.mode(mode).options(
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options
-    ).csv(path)
+    if by_day:
+        df = df.withColumn(schema.DAY, F.to_date(time_column(df))).hint("rebalance", schema.DAY)
+    if fmt == "csv":
+        df = df.select([
+            F.concat_ws(",", F.col(n)).alias(n) if t.startswith("array") else F.col(n)
+            for n, t in df.dtypes
+        ])
+    writer = df.write.mode(mode).format(fmt)
+    if fmt == "csv":
+        writer = writer.options(
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+            **{k: v for k, v in _CSV.items() if k != "multiLine"},
+        )
+    (writer.partitionBy(schema.DAY) if by_day else writer).save(path)
     return path

@@ -20,7 +20,7 @@ def sides(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-@pytest.mark.parametrize("hot_rows", [10, 100, 10_000])
+@pytest.mark.parametrize("hot_rows", [10, 100, 10_000, None])
 def test_equals_plain_join(sides, how, hot_rows):
     left, right = sides
     got = lookup.lookup_join(left, right, "key", how, hot_rows=hot_rows)

@@ -1,10 +1,11 @@
 """What the physical plans may and may not hold."""
 
+import datetime
 import re
 
 import pytest
 
-from custvoice.operators import features, kpis
+from custvoice.operators import dashboard, features, kpis
 from custvoice.queries import enriched_stage, queries, raw_posts
 from custvoice.sources import tables
 
@@ -41,6 +42,22 @@ def test_figures_read_their_columns_only(spark):
     assert "EqualTo(final_intent,complaint)" in plan
 
 
+def test_days_outside_the_period_are_not_read(spark, tmp_path):
+    day = datetime.date
+    enriched = enriched_stage(spark, SF_DIR)
+    path = tables.write_stage(enriched, str(tmp_path / "by-day"), by_day=True)
+    by_day = spark.read.parquet(path)
+    assert by_day.count() == enriched.count()
+    assert len(by_day.inputFiles()) == by_day.select("created_day").distinct().count()
+    period = (day(2024, 1, 2), day(2024, 1, 4))
+    shown = dashboard.filter_posts(dashboard.dashboard_base(by_day), *period)
+    plain = dashboard.filter_posts(dashboard.dashboard_base(enriched), *period)
+    assert shown.select("_seq").exceptAll(plain.select("_seq")).count() == 0
+    assert shown.count() == plain.count() > 0
+    filters = re.search(r"PartitionFilters: \[(.*?)\]", plan_of(shown)).group(1)
+    assert "created_day" in filters and "2024-01-02" in filters
+
+
 def test_report_scans_each_stage_once_per_table(spark):
     plan = plan_of(queries()["report_metrics"](spark, SF_DIR))
     assert plan.count("FileScan parquet") == 4

@@ -116,7 +116,8 @@ def test_stage_round_trip(spark, tmp_path):
 def test_scratch_folder(spark, tmp_path):
     class Session:
         def __init__(self, master, conf):
-            self.sparkContext = type("Context", (), {"master": master})()
+            self.sparkContext = type(
+                "Context", (), {"master": master, "getCheckpointDir": lambda self: None})()
             self.conf = conf
 
     shared = scratch_dir(Session("yarn", {"spark.checkpoint.dir": "hdfs://x/y/"}), "a")
