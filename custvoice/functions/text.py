@@ -115,9 +115,16 @@ def shortest_keywords(keywords: Iterable[str]) -> list[str]:
     return [k for k in kept if not any(o != k and o in k for o in kept)]
 
 
-def any_keyword(text: Column, keywords: Iterable[str]) -> Column:
+def has_keyword(text: Column, keyword: str, known: Mapping[str, Column] = {}) -> Column:
+    """Substring test; ``known`` holds the tests that were made already."""
+    return known[keyword] if keyword in known else F.contains(text, F.lit(keyword))
+
+
+def any_keyword(
+    text: Column, keywords: Iterable[str], known: Mapping[str, Column] = {}
+) -> Column:
     """True when any keyword occurs in ``text`` as a substring."""
-    tests = [F.contains(text, F.lit(k)) for k in shortest_keywords(keywords)]
+    tests = [has_keyword(text, k, known) for k in shortest_keywords(keywords)]
     return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
@@ -136,15 +143,19 @@ def with_contains_any(
     return staged.withColumns(flags).drop("_lexical")
 
 
-def keyword_points(text: Column, keywords: Iterable[str], points: int) -> Column:
-    """``points`` for each keyword present, however often it occurs."""
+def keyword_points(
+    text: Column, keywords: Iterable[str], points: int, known: Mapping[str, Column] = {}
+) -> Column:
+    """``points`` for each keyword present, however often it occurs.
+
+    A keyword that contains another one is looked for only where that one occurs.
+    """
     words = list(keywords)
-    hits = [_present(text, word, words).cast("int") * points for word in words]
+    hits = []
+    for word in words:
+        found = has_keyword(text, word, known)
+        inner = next((w for w in words if w != word and w in word), None)
+        if inner and word not in known:
+            found = has_keyword(text, inner, known) & found
+        hits.append(found.cast("int") * points)
     return reduce(lambda a, b: a + b, hits) if hits else F.lit(0)
-
-
-def _present(text: Column, word: str, words: list[str]) -> Column:
-    """A keyword that contains another one is looked for only where that one occurs."""
-    found = F.contains(text, F.lit(word))
-    inner = next((w for w in words if w != word and w in word), None)
-    return F.contains(text, F.lit(inner)) & found if inner else found
