@@ -144,6 +144,24 @@ def ticket_detail(df: DataFrame, ticket_id: str | None = None) -> DataFrame:
     )
 
 
+def record_status(changes: DataFrame, path: str) -> str:
+    """Append status changes ``(ticket_id, status, note)`` to the log at ``path``.
+
+    An unknown status fails the job before anything is committed.
+    """
+    known = F.col("status").isin(*TICKET_STATUSES)
+    refused = F.raise_error(F.concat(F.lit("unknown ticket status: "), F.col("status")))
+    entries = changes.select(
+        F.col("ticket_id").cast("string").alias("ticket_id"),
+        F.current_timestamp().alias("ts"),
+        F.monotonically_increasing_id().alias("event_id"),
+        F.when(known, F.col("status")).otherwise(refused).alias("status"),
+        F.coalesce(F.col("note"), F.lit("")).alias("note"),
+    )
+    entries.write.mode("append").parquet(path)
+    return path
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """The last status and note per ticket from an append-only log."""
     last = F.max_by(F.struct("status", "note"), F.struct("ts", "event_id")).alias("_last")

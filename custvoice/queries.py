@@ -257,6 +257,24 @@ def classify_stored(spark, sf):
     return verdicts.select(SEQ, "id", "keep_for_analysis", *classify.VERDICT_COLUMNS)
 
 
+def classify_scored(spark, sf):
+    """Classification by a scorer; a fixed rule that fails now and then stands in for it."""
+    def factory():
+        import json
+
+        def score(text):
+            if "nuit" in text:
+                raise RuntimeError("service indisponible")
+            kind = "complaint" if "panne" in text.lower() else "other"
+            kind = "question" if "?" in text else kind
+            return "Voici : " + json.dumps({"intent": kind, "explanation": f"{len(text)} signes"})
+
+        return score
+
+    verdicts = classify.classify_scored(stages(spark, sf)[0], factory)
+    return verdicts.select(SEQ, "keep_for_analysis", *classify.VERDICT_COLUMNS)
+
+
 def limit_scored(spark, sf):
     prepared = stages(spark, sf)[0]
     return classify.cap_kept(prepared, 100).select(SEQ, "keep_for_analysis")
@@ -551,6 +569,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "prompt_column": prompt_column,
         "parse_response": parse_response,
         "classify_stored": classify_stored,
+        "classify_scored": classify_scored,
         "limit_scored": limit_scored,
         "reconcile": reconcile_verdicts,
         "bump_priority": bump_priority,

@@ -13,9 +13,8 @@ from custvoice.fixed_values import CSV_NULL_TOKENS, TRUE_WORDS_SHORT
 from custvoice.functions.values import parse_bool, time_column
 from custvoice.sources.columns import with_row_index
 
-# Quotes are doubled, never escaped with a backslash, and a quoted field may hold
-# line breaks.  Such files do not split: convert them to Parquet once.
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+# Quotes are doubled, never escaped with a backslash.
+_CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -38,10 +37,10 @@ def _require(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"no such table: {path}")
 
 
-def _scan(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str, fmt: str, line_breaks: bool = True) -> DataFrame:
     _require(spark, path)
     if fmt == "csv":
-        return spark.read.options(inferSchema=False, **_CSV).csv(path)
+        return spark.read.options(inferSchema=False, multiLine=line_breaks, **_CSV).csv(path)
     return spark.read.format(fmt).load(path)
 
 
@@ -58,14 +57,19 @@ def read_raw(
     paths: str | Iterable[str],
     fmt: str = "csv",
     indexed: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Raw posts, all strings, from the first path that exists.
 
     Header names are stripped; for CSV the null tokens become null.  ``indexed``
     adds the file order as ``_seq`` and spreads a file that does not split.
+
+    A CSV file whose fields may hold line breaks does not split, so a large one
+    is one task: say ``line_breaks=False`` where it has none, and convert to
+    Parquet once in either case.
     """
     path = paths if isinstance(paths, str) else first_existing(spark, paths)
-    scan = _scan(spark, path, fmt)
+    scan = _scan(spark, path, fmt, line_breaks)
     df = balanced(with_row_index(scan, schema.SEQ), scan) if indexed else scan
     df = df.toDF(*[name.strip() for name in df.columns])
     return null_tokens(df) if fmt == "csv" else df
@@ -142,8 +146,7 @@ def write_stage(
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.options(
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-            **{k: v for k, v in _CSV.items() if k != "multiLine"},
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **_CSV
         )
     (writer.partitionBy(schema.DAY) if by_day else writer).save(path)
     return path

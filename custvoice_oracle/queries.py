@@ -521,6 +521,16 @@ FROM (SELECT doc_id, {folded("text")} AS t FROM documents)""",
         "parse_response": on("parsed", f"SELECT _seq, {VERDICT} FROM parsed"),
         "classify_stored": on("verdicts", f"SELECT _seq, id, keep_for_analysis, {VERDICT} "
                               "FROM verdicts"),
+        "classify_scored": on("prepared", f"""
+SELECT _seq, keep_for_analysis,
+       CASE WHEN NOT keep_for_analysis THEN 'unknown' WHEN contains(text_clean, 'nuit') THEN 'other'
+            WHEN contains(text_clean, '?') THEN 'question'
+            WHEN contains(lower(text_clean), 'panne') THEN 'complaint' ELSE 'other' END AS intent,
+       'none' AS complaint_type, 'neutral' AS sentiment, false AS sarcasm, 'none' AS priority,
+       CASE WHEN NOT keep_for_analysis THEN ''
+            WHEN contains(text_clean, 'nuit') THEN {lit(fixed.FAILED_CALL)} || 'service indisponible'
+            ELSE length(text_clean) || ' signes' END AS llm_explanation
+FROM prepared"""),
         "limit_scored": on("prepared", """
 SELECT _seq, keep_for_analysis AND
        row_number() OVER (PARTITION BY keep_for_analysis ORDER BY _seq) <= 100

@@ -58,6 +58,19 @@ def test_row_index_follows_paths_not_sizes(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
 
 
+def test_row_index_of_a_split_csv_file(spark, tmp_path):
+    path = tmp_path / "large.csv"
+    path.write_text("n,t\n" + "".join(f"{i},{'y' * 30}\n" for i in range(20_000)), encoding="utf8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        df = tables.read_raw(spark, str(path), indexed=True, line_breaks=False)
+        assert df.where(F.col("n") == F.col("_seq").cast("string")).count() == 20_000
+        assert df.select("_seq").distinct().count() == df.count() == 20_000
+        assert tables._scan(spark, str(path), "csv", False).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
 def test_row_index_of_parquet(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(0, 10_000, 1, 7).write.parquet(path)

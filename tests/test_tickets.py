@@ -80,6 +80,20 @@ def test_status_is_the_last_written(spark, queue, hot_rows):
     assert rows == {"a": ("En cours", "n3"), **{k: ("Nouveau", "") for k in "bcde"}}
 
 
+def test_status_log_is_append_only(spark, queue, tmp_path):
+    path = str(tmp_path / "log")
+    fields = "ticket_id string, status string, note string"
+    for status, note in [("En cours", "appel"), ("Résolu", None)]:
+        tickets.record_status(spark.createDataFrame([("a", status, note)], fields), path)
+    log = spark.read.parquet(path)
+    assert log.count() == 2
+    overlaid = tickets.with_status(queue, log).where("ticket_id = 'a'").first()
+    assert (overlaid.status, overlaid.note) == ("Résolu", "")
+    with pytest.raises(Exception, match="unknown ticket status: Perdu"):
+        tickets.record_status(spark.createDataFrame([("a", "Perdu", "")], fields), path)
+    assert spark.read.parquet(path).count() == 2
+
+
 def test_id_falls_back(spark):
     df = spark.createDataFrame([(7, "s1", "complaint")],
                                "_seq long, status_id string, final_intent string")
