@@ -30,8 +30,14 @@ def parse_time(c: Column) -> Column:
     return F.coalesce(iso, F.try_to_timestamp(without_weekday, F.lit("MMM dd HH:mm:ss Z yyyy")))
 
 
+# The parsed post time, once a stage holds it.
+TIME = "created_ts"
+
+
 def time_column(df: DataFrame, name: str = "created_at") -> Column:
-    """The parsed post time, or null when the table has no such column."""
+    """The post time: as stored, or parsed, or null when the table has neither."""
+    if TIME in df.columns:
+        return F.col(TIME)
     if name not in df.columns:
         return F.lit(None).cast("timestamp")
     if dict(df.dtypes)[name].startswith("timestamp"):

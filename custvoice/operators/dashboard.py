@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvoice.fixed_values import DASHBOARD_HEAD_ROWS, PRIORITIES, TRUE_WORDS_SHORT
-from custvoice.functions.values import parse_bool, time_column
+from custvoice.functions.values import TIME, parse_bool, time_column
 from custvoice.operators.kpis import complaints, count_if, text_count_pivot, value_counts
 from custvoice.schema import DAY, SEQ
 from custvoice.sources.columns import pad_columns
@@ -27,9 +27,9 @@ PRIORITY_DESC = tuple(reversed(PRIORITIES))
 
 
 def dashboard_base(df: DataFrame) -> DataFrame:
-    """Pad the columns the dashboard needs and add the parsed ``created_ts``."""
+    """Pad the columns the dashboard needs, ``created_ts`` among them."""
     padded = pad_columns(df, COLUMN_DEFAULTS)
-    return padded.withColumn("created_ts", time_column(df))
+    return padded.withColumn(TIME, time_column(df))
 
 
 def date_bounds(base: DataFrame) -> DataFrame:
@@ -53,11 +53,14 @@ def filter_posts(
     Days are inclusive.  Without a period, posts with an unreadable time are
     dropped as long as any time is readable; an empty choice is no filter.
     """
-    ts = F.col("created_ts")
+    ts = F.col(TIME)
     if start is not None and end is not None:
-        # A stage written by day is read for the days of the period only.
-        day = F.col(DAY) if DAY in base.columns else F.to_date(ts)
-        shown = base.where(day.between(F.lit(start), F.lit(end)))
+        # Plain bounds on the stored time reach the scan; a stage written by day is
+        # read for the days of the period only.
+        after = F.lit(end + timedelta(days=1)).cast("timestamp")
+        shown = base.where((ts >= F.lit(start).cast("timestamp")) & (ts < after))
+        if DAY in base.columns:
+            shown = shown.where(F.col(DAY).between(F.lit(start), F.lit(end)))
     else:
         any_dated = base.agg(F.max(ts.isNotNull()).alias("any_dated"))
         shown = base.where(ts.isNotNull() | ~F.coalesce(any_dated.scalar(), F.lit(False)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from custvoice.config import DEFAULT, VoiceConfig
 from custvoice.functions.text import any_keyword, clean_text, is_filled
+from custvoice.functions.values import TIME, time_column
 
 ANALYSED_TYPES = ("original", "reply", "quote")
 
@@ -59,10 +60,14 @@ def keep_flag() -> Column:
 
 
 def prepare(df: DataFrame, config: VoiceConfig = DEFAULT) -> DataFrame:
-    """Add ``text_clean, author_type, tweet_type, is_about_brand, keep_for_analysis``."""
+    """Add ``created_ts, text_clean, author_type, tweet_type, is_about_brand, keep_for_analysis``.
+
+    Times are parsed here, once, so that later stages filter on a stored column.
+    """
     text = F.col(first_present(df, "full_text", "text"))
     account = F.col(first_present(df, "screen_name", "user_screen_name"))
     cleaned = df.withColumns({
+        TIME: time_column(df),
         "text_clean": clean_text(text),
         "author_type": author_type(account, config),
         "tweet_type": post_type(df, config),

@@ -27,6 +27,7 @@ RAW = T.StructType([T.StructField(SEQ, T.LongType())] + _strings(RAW_COLUMNS + E
 
 PREPARED = T.StructType(
     RAW.fields
+    + [T.StructField("created_ts", T.TimestampType())]
     + _strings(["text_clean", "author_type", "tweet_type"])
     + _booleans(["is_about_brand", "keep_for_analysis"])
 )

@@ -13,7 +13,7 @@ def spark():
     session = build_session(
         "custvoice-tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-           "spark.driver.memory": "8g"},
+           "spark.driver.memory": "8g", "spark.sql.maxMetadataStringLength": "2000"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

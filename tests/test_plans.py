@@ -35,13 +35,20 @@ def test_folded_text_is_projected_once(spark):
 
 def test_figures_read_their_columns_only(spark):
     enriched = enriched_stage(spark, SF_DIR)
-    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     schema = re.search(r"ReadSchema: (struct<[^>]*>)", plan_of(kpis.complaints_by_priority(enriched)))
     assert schema.group(1) == "struct<final_intent:string,final_priority:string>"
     plan = plan_of(kpis.complaints_by_priority(enriched))
     assert "EqualTo(final_intent,complaint)" in plan
 
 
+def test_period_reaches_the_scan(spark):
+    plan = plan_of(queries()["manager_filtered"](spark, SF_DIR))
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan).group(1)
+    assert "GreaterThanOrEqual(created_ts,2024-01-03" in pushed
+    assert "LessThan(created_ts,2024-01-21" in pushed
+    assert "RLIKE" not in plan
+
+
 def test_days_outside_the_period_are_not_read(spark, tmp_path):
     day = datetime.date
     enriched = enriched_stage(spark, SF_DIR)
