@@ -13,6 +13,7 @@ from custvoice.operators.features import lexical_features
 from custvoice.operators.kpis import compute_kpis
 from custvoice.operators.prepare import prepare
 from custvoice.operators.reconcile import reconcile
+from custvoice.session import shuffles_for
 from custvoice.sources.tables import path_exists, read_raw, write_stage
 
 # Adds the verdict columns to prepared posts.
@@ -81,6 +82,7 @@ def run_enrichment(
     ran = on_existing == "overwrite" or not all(stages)
     if ran:
         raw = read_raw(spark, raw_path, fmt, indexed=True)
-        enrich(raw, classifier, prepared_path, enriched_path, limit, config, by_day)
+        with shuffles_for(spark, raw_path):
+            enrich(raw, classifier, prepared_path, enriched_path, limit, config, by_day)
     posts = spark.read.parquet(enriched_path)
     return Enriched(posts, compute_kpis(posts), ran)

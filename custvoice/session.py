@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +42,33 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="custvoice-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+# Stored bytes per shuffle partition to start from.  Stored text is compressed, so
+# this is a few times as much in memory; what turns out small is coalesced.
+SHUFFLE_BYTES = 64 << 20
+
+
+@contextmanager
+def shuffles_for(spark: SparkSession, path: str) -> Iterator[int]:
+    """Start shuffles with enough partitions for the table at ``path``.
+
+    The number only ever grows: adaptive execution merges partitions that turn out
+    small, but it does not split ones that are too large for memory.
+    """
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    stored = files.getContentSummary(hadoop_path).getLength()
+    before = spark.conf.get(_INITIAL, None)
+    usual = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(usual, -(-stored // SHUFFLE_BYTES))
+    spark.conf.set(_INITIAL, str(wanted))
+    try:
+        yield wanted
+    finally:
+        if before is None:
+            spark.conf.unset(_INITIAL)
+        else:
+            spark.conf.set(_INITIAL, before)

@@ -47,6 +47,19 @@ def test_whole_job_from_csv(spark, tmp_path, raw_csv):
     assert prepared.where("keep_for_analysis").count() > 5
 
 
+def test_shuffles_follow_the_input(spark, tmp_path, monkeypatch):
+    from custvoice import session
+    path = tables.write_stage(spark.range(10_000), str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").rglob("*") if f.is_file())
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    with session.shuffles_for(spark, path) as small:
+        assert small == 8 and spark.conf.get(key) == "8"
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 1000)
+    with session.shuffles_for(spark, path) as large:
+        assert abs(large - size / 1000) < 2 and spark.conf.get(key) == str(large)
+    assert spark.conf.get(key, None) is None
+
+
 def test_invariants(spark):
     prepared, enriched = stages(spark, SF_DIR)
     total = prepared.count()
