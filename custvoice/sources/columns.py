@@ -12,6 +12,10 @@ from custvoice.fixed_values import RAW_COLUMNS
 from custvoice.schema import SEQ
 
 
+# Longest table of file blocks to broadcast: some 150 bytes each.
+MAX_BROADCAST_BLOCKS = 1_000_000
+
+
 def pad_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Add the columns that are missing, each with its default."""
     missing = {
@@ -42,8 +46,9 @@ def with_row_index(df: DataFrame, name: str = "_seq") -> DataFrame:
 
     The index of a row is the number of rows in the files (or file blocks)
     before its own plus its place there, so only one count per file or block is
-    ever summed up, never the rows.  That table is joined by key and left to
-    the optimizer to broadcast: it is as long as the list of files.
+    ever summed up, never the rows.  That table is broadcast after a check of its
+    length; if there are more blocks, adaptive execution picks the join and splits
+    the blocks that are too large.
     """
     meta = F.col("_metadata")
     if "row_index" in df.select(meta).schema["_metadata"].dataType.names:
@@ -63,6 +68,10 @@ def with_row_index(df: DataFrame, name: str = "_seq") -> DataFrame:
     offsets = sizes.select(
         *block, "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
+    # A scan has at most one block per split and one remainder per file.
+    blocks = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    if blocks <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     indexed = placed.join(offsets, block).withColumn(
         name, F.col("_offset") + F.col("_place") - F.col("_first")
     )

@@ -71,7 +71,9 @@ def test_row_index_of_a_split_csv_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
 
 
-def test_row_index_of_parquet(spark, tmp_path):
+@pytest.mark.parametrize("longest", [0, 1000])
+def test_row_index_of_parquet(spark, tmp_path, monkeypatch, longest):
+    monkeypatch.setattr(columns, "MAX_BROADCAST_BLOCKS", longest)
     path = str(tmp_path / "t")
     spark.range(0, 10_000, 1, 7).write.parquet(path)
     indexed = columns.with_row_index(spark.read.parquet(path), "at")
