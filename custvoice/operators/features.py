@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvoice.config import Lexicon
+from custvoice.functions.automaton import found_keywords
 from custvoice.functions.text import (
     any_keyword,
     has_keyword,
@@ -24,6 +25,11 @@ from custvoice.functions.text import (
 
 THANKS, APPLAUSE, TRAILING_DOTS = "merci", "bravo", "..."
 
+FEATURE_COLUMNS = (
+    "nlp_sentiment_score", "nlp_probable_complaint", "nlp_has_urgency",
+    "nlp_has_resiliation_risk", "nlp_sarcasm_hint", "nlp_topics_list", "nlp_topics",
+)
+
 Known = Mapping[str, Column]
 
 
@@ -31,15 +37,30 @@ def _live(lexicon: Lexicon, words) -> list[str]:
     return live_keywords(words, lexicon.fold_keywords)
 
 
-def shared_keywords(lexicon: Lexicon) -> list[str]:
-    """Keywords that more than one feature looks for in every text."""
-    asked = Counter((THANKS, APPLAUSE))
+def asked_keywords(lexicon: Lexicon) -> Counter[str]:
+    """How many features look for each keyword in every text."""
+    asked = Counter((THANKS, APPLAUSE, TRAILING_DOTS))
     for words in (lexicon.strong_negative, lexicon.weak_negative, lexicon.praise):
         asked.update(_live(lexicon, words))
     any_of = [lexicon.complaint + lexicon.breakdown, lexicon.urgency, lexicon.churn]
     for words in [*any_of, *lexicon.topics.values()]:
         asked.update(shortest_keywords(_live(lexicon, words)))
-    return [word for word, times in asked.items() if times > 1]
+    return asked
+
+
+def with_known_keywords(df: DataFrame, lexicon: Lexicon) -> tuple[DataFrame, Known]:
+    """Look for keywords ahead of the features: the shared ones, or all by the automaton."""
+    asked = asked_keywords(lexicon)
+    text = F.col("_lexical")
+    if lexicon.matcher == "automaton":
+        found = df.withColumn("_known", found_keywords(text, list(asked)))
+        return found, {w: F.array_contains("_known", i) for i, w in enumerate(asked)}
+    if lexicon.matcher != "builtin":
+        raise ValueError(f"unknown matcher: {lexicon.matcher}")
+    # Columns of their own: tests inside a struct would be inlined, and so repeated.
+    shared = {w: f"_known_{i}" for i, (w, times) in enumerate(asked.items()) if times > 1}
+    tests = {name: has_keyword(text, word) for word, name in shared.items()}
+    return df.withColumns(tests), {w: F.col(name) for w, name in shared.items()}
 
 
 def sentiment_score(text: Column, lexicon: Lexicon = Lexicon(), known: Known = {}) -> Column:
@@ -65,7 +86,8 @@ def sarcasm_hint(text: Column, lexicon: Lexicon = Lexicon(), known: Known = {})
     angry = any_keyword(text, _live(lexicon, lexicon.strong_negative), known)
     thanks = has_keyword(text, THANKS, known)
     applause = has_keyword(text, APPLAUSE, known)
-    return (thanks & F.contains(text, F.lit(TRAILING_DOTS))) | ((thanks | applause) & angry)
+    dots = has_keyword(text, TRAILING_DOTS, known)
+    return (thanks & dots) | ((thanks | applause) & angry)
 
 
 def has_urgency(text: Column, lexicon: Lexicon = Lexicon(), known: Known = {}) -> Column:
@@ -95,11 +117,8 @@ def lexical_features(
     if text_col not in df.columns:
         raise ValueError(f"text column '{text_col}' is missing")
     text = F.col("_lexical")
-    names = {word: f"_word_{i}" for i, word in enumerate(shared_keywords(lexicon))}
-    known = {word: F.col(name) for word, name in names.items()}
-    tested = df.withColumn("_lexical", lexical_text(F.col(text_col))).withColumns(
-        {name: has_keyword(text, word) for word, name in names.items()}
-    )
+    folded = df.withColumn("_lexical", lexical_text(F.col(text_col)))
+    tested, known = with_known_keywords(folded, lexicon)
     scored = tested.withColumns({
         "nlp_sentiment_score": sentiment_score(text, lexicon, known),
         "nlp_has_urgency": has_urgency(text, lexicon, known),
@@ -111,4 +130,4 @@ def lexical_features(
     return scored.withColumns({
         "nlp_probable_complaint": probable_complaint(text, score, lexicon, known),
         "nlp_topics": F.concat_ws(",", F.col("nlp_topics_list")),
-    }).drop("_lexical", *names.values())
+    }).select(*[c for c in df.columns if c not in FEATURE_COLUMNS], *FEATURE_COLUMNS)
