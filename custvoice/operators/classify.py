@@ -151,9 +151,15 @@ def score_texts(
     """``(text, answer, error)`` for a table of distinct ``text``.
 
     The scorer is made once per task.  A text it fails on gets the error, the
-    rest go on.  ``parallelism`` limits the tasks that call it at a time and
-    ``pause`` waits after each call, for services with a rate limit.
+    rest go on.  ``parallelism`` sets the number of tasks, by default one per core
+    or shuffle partition: adaptive execution would put many short texts into one
+    task, and a slow scorer would wait there.  ``pause`` waits after each call,
+    for services with a rate limit.
     """
+    if parallelism is None:
+        spark = texts.sparkSession
+        cores = spark.sparkContext.defaultParallelism
+        parallelism = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
@@ -171,8 +177,7 @@ def score_texts(
                     time.sleep(pause)
             yield pd.DataFrame({"text": batch["text"], "answer": answers, "error": errors})
 
-    asked = texts.repartition(parallelism) if parallelism else texts
-    return asked.mapInPandas(run, "text string, answer string, error string")
+    return texts.repartition(parallelism).mapInPandas(run, "text string, answer string, error string")
 
 
 def classify_scored(

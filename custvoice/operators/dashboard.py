@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvoice.fixed_values import DASHBOARD_HEAD_ROWS, PRIORITIES, TRUE_WORDS_SHORT
 from custvoice.functions.values import TIME, parse_bool, time_column
-from custvoice.operators.kpis import complaints, count_if, text_count_pivot, value_counts
+from custvoice.operators.kpis import count_if, text_count_pivot, value_counts
 from custvoice.schema import DAY, SEQ
 from custvoice.sources.columns import pad_columns
 
@@ -45,13 +45,14 @@ def filter_posts(
     base: DataFrame,
     start: date | None = None,
     end: date | None = None,
-    intents: Sequence[str] = (),
-    sentiments: Sequence[str] = (),
+    intents: Sequence[str] | None = None,
+    sentiments: Sequence[str] | None = None,
 ) -> DataFrame:
     """Posts of the period with one of the intents and sentiments.
 
     Days are inclusive.  Without a period, posts with an unreadable time are
-    dropped as long as any time is readable; an empty choice is no filter.
+    dropped as long as any time is readable.  A choice left open takes every
+    value there is, hence no nulls; an empty choice is no filter.
     """
     ts = F.col(TIME)
     if start is not None and end is not None:
@@ -64,38 +65,44 @@ def filter_posts(
     else:
         any_dated = base.agg(F.max(ts.isNotNull()).alias("any_dated"))
         shown = base.where(ts.isNotNull() | ~F.coalesce(any_dated.scalar(), F.lit(False)))
-    if intents:
-        shown = shown.where(F.col("final_intent").isin(*intents))
-    if sentiments:
-        shown = shown.where(F.col("final_sentiment").isin(*sentiments))
-    return shown
+    return shown.where(chosen("final_intent", intents) & chosen("final_sentiment", sentiments))
+
+
+def chosen(column: str, values: Sequence[str] | None) -> Column:
+    """One of the values; any value at all for None, anything for an empty choice."""
+    if values is None:
+        return F.col(column).isNotNull()
+    return F.col(column).isin(*values) if values else F.lit(True)
+
+
+def chosen_complaint(types: Sequence[str] | None, priorities: Sequence[str] | None) -> Column:
+    """A complaint of the types and priorities; priorities left open are those of the domain."""
+    complaint = F.coalesce(F.col("final_intent") == "complaint", F.lit(False))
+    urgency = PRIORITIES if priorities is None else priorities
+    return complaint & chosen("final_complaint_type", types) & chosen("final_priority", urgency)
 
 
 def filter_complaints(
-    posts: DataFrame, types: Sequence[str] = (), priorities: Sequence[str] = ()
+    posts: DataFrame,
+    types: Sequence[str] | None = None,
+    priorities: Sequence[str] | None = None,
 ) -> DataFrame:
     """The complaints among the filtered posts, with one of the types and priorities."""
-    shown = complaints(posts)
-    if types:
-        shown = shown.where(F.col("final_complaint_type").isin(*types))
-    if priorities:
-        shown = shown.where(F.col("final_priority").isin(*priorities))
-    return shown
+    return posts.where(chosen_complaint(types, priorities))
 
 
 def manager_kpis(
-    posts: DataFrame, types: Sequence[str] = (), priorities: Sequence[str] = ()
+    posts: DataFrame,
+    types: Sequence[str] | None = None,
+    priorities: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row of key figures in one pass.
 
     ``types`` and ``priorities`` narrow the urgent complaints only.
     """
     intent = F.col("final_intent")
-    urgent = (intent == "complaint") & F.col("final_priority").isin("high", "critical")
-    if types:
-        urgent &= F.col("final_complaint_type").isin(*types)
-    if priorities:
-        urgent &= F.col("final_priority").isin(*priorities)
+    high = F.col("final_priority").isin("high", "critical")
+    urgent = chosen_complaint(types, priorities) & high
     figures = posts.agg(
         F.count(F.lit(1)).alias("total"),
         count_if(intent == "complaint").alias("complaints"),

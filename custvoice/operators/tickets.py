@@ -42,7 +42,7 @@ def tickets(df: DataFrame) -> DataFrame:
 def filter_tickets(
     df: DataFrame,
     priorities: Sequence[str] | None = None,
-    types: Sequence[str] = (),
+    types: Sequence[str] | None = None,
     only_sarcasm: bool = False,
     only_churn_risk: bool = False,
     comments: bool | None = None,
@@ -51,7 +51,8 @@ def filter_tickets(
 ) -> DataFrame:
     """The agents' filters; each is optional.
 
-    ``priorities`` None means all but ``none``, an empty list means no filter.
+    ``priorities`` None means all but ``none``, ``types`` None means any; neither
+    lets nulls pass.  An empty list means no filter.
     ``comments`` True shows answers only, False shows the other posts only.
     ``search`` looks for a literal in the text, whatever the case, or for a
     pattern with ``regex``.
@@ -62,8 +63,11 @@ def filter_tickets(
             shown = shown.where(F.col("final_priority") != "none")
         elif priorities:
             shown = shown.where(F.col("final_priority").isin(*priorities))
-    if types and "final_complaint_type" in df.columns:
-        shown = shown.where(F.col("final_complaint_type").isin(*types))
+    if "final_complaint_type" in df.columns:
+        if types is None:
+            shown = shown.where(F.col("final_complaint_type").isNotNull())
+        elif types:
+            shown = shown.where(F.col("final_complaint_type").isin(*types))
     if only_sarcasm and "final_sarcasm" in df.columns:
         shown = shown.where(parse_bool(F.col("final_sarcasm"), ("true",), strip=False))
     if only_churn_risk and "nlp_has_resiliation_risk" in df.columns:
