@@ -177,7 +177,8 @@ def score_texts(
                     time.sleep(pause)
             yield pd.DataFrame({"text": batch["text"], "answer": answers, "error": errors})
 
-    return texts.repartition(parallelism).mapInPandas(run, "text string, answer string, error string")
+    asked = texts.repartition(parallelism)
+    return asked.mapInPandas(run, "text string, answer string, error string")
 
 
 def classify_scored(
@@ -193,24 +194,28 @@ def classify_scored(
     """Verdicts from a scorer, called once per distinct text of the kept rows.
 
     The answers are written to ``answers_path`` (a fresh scratch folder by
-    default) before they are used.
+    default) before they are used, and joined by a digest of the text.
     """
     spark = df.sparkSession
     path = answers_path or scratch_dir(spark, "answers")
     texts = df.where(F.col(keep_col)).select(F.col(text_col).alias("text")).distinct()
-    score_texts(texts, factory, parallelism, pause).write.mode("overwrite").parquet(path)
-
-    answers = spark.read.parquet(path).select(
-        F.col("text").alias("_text"), F.col("answer").alias("_answer"),
+    scored = score_texts(texts, factory, parallelism, pause)
+    digested = scored.select(
+        F.sha2("text", 256).alias("_text"), F.col("answer").alias("_answer"),
         F.col("error").alias("_error"),
     )
-    asked = df.withColumn("_text", F.when(F.col(keep_col), F.col(text_col)))
+    digested.write.mode("overwrite").parquet(path)
+
+    answers = spark.read.parquet(path)
+    asked = df.withColumn("_text", F.when(F.col(keep_col), F.sha2(text_col, 256)))
     joined = lookup_join(asked, answers, "_text", spread=SEQ, hot_rows=hot_rows)
     return with_verdict(joined, keep_col, "_answer", "_error").drop("_text", "_answer", "_error")
 
 
-# Width of the file-order blocks the cap counts in, hence the most rows one task sorts.
-CAP_BLOCK = 1 << 20
+# The cap looks for its last position in at most this many ranges at a time, until
+# a range is short enough to sort the flagged positions in it.
+CAP_RANGES = 1 << 16
+CAP_SORTED = 1 << 20
 
 
 def cap_kept(
@@ -218,33 +223,48 @@ def cap_kept(
     limit: int | None,
     keep_col: str = "keep_for_analysis",
     order: str = SEQ,
-    block: int = CAP_BLOCK,
 ) -> DataFrame:
     """Keep the flag on the first ``limit`` flagged rows in file order, clear it on the rest.
 
     The cap becomes one number, the last file position that stays flagged, so no
-    row is moved: flagged rows are counted per block of file positions, the block
-    in which the count reaches the limit is found, and only that block is sorted.
+    row is moved and the number can be pushed down to the scan.
     """
     if limit is None:
         return df
-    flagged = df.where(F.col(keep_col)).select(
-        F.col(order).alias("_at"), F.floor(F.col(order) / block).alias("_block")
-    )
-    sizes = flagged.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
-    upto = F.sum("_rows").over(Window.orderBy("_block"))
-    reached = (
-        sizes.withColumn("_upto", upto)
-        .where((F.col("_upto") >= limit) & (F.col("_upto") - F.col("_rows") < limit))
-        .select("_block", (F.lit(limit) - F.col("_upto") + F.col("_rows")).alias("_wanted"))
-    )
-    place = F.row_number().over(Window.partitionBy("_block").orderBy("_at"))
-    last = (
-        flagged.join(F.broadcast(reached), "_block")  # one row
-        .withColumn("_place", place)
-        .where(F.col("_place") == F.col("_wanted"))
-        .agg(F.max("_at"))
-    )
-    none_kept = F.lit(False) if limit <= 0 else F.lit(True)
-    within = F.col(order) <= F.coalesce(last.scalar(), F.lit(2**63 - 1))
-    return df.withColumn(keep_col, F.col(keep_col) & none_kept & within)
+    if limit <= 0:
+        return df.withColumn(keep_col, F.lit(False))
+    last = _last_position(df.where(F.col(keep_col)).select(F.col(order).alias("at")), limit)
+    if last is None:
+        return df
+    return df.withColumn(keep_col, F.col(keep_col) & (F.col(order) <= last))
+
+
+def _last_position(flagged: DataFrame, wanted: int) -> int | None:
+    """The ``wanted``-th smallest position, or None if there are not as many.
+
+    Positions are counted per range, the range in which the count reaches the
+    wanted number is cut into ranges again, and so on.  Positions are unique, so a
+    short range holds few rows however they are distributed.
+    """
+    low, high = flagged.agg(F.min("at"), F.max("at")).first()
+    while low is not None and high - low >= CAP_SORTED:
+        width = max(CAP_SORTED, -(-(high - low + 1) // CAP_RANGES))
+        ranges = (
+            flagged.where(F.col("at").between(low, high))
+            .groupBy(F.floor((F.col("at") - low) / width).alias("range"))
+            .agg(F.count(F.lit(1)).alias("rows"))
+        )
+        upto = F.sum("rows").over(Window.orderBy("range"))
+        reached = (
+            ranges.withColumn("upto", upto).where(F.col("upto") >= wanted).orderBy("range").first()
+        )
+        if reached is None:
+            return None
+        wanted -= reached["upto"] - reached["rows"]
+        low += reached["range"] * width
+        high = min(low + width - 1, high)
+    if low is None:
+        return None
+    short = flagged.where(F.col("at").between(low, high)).orderBy("at")
+    count, last = short.limit(min(wanted, CAP_SORTED)).agg(F.count("at"), F.max("at")).first()
+    return last if count == wanted else None

@@ -151,7 +151,9 @@ def reply_counts(feed: DataFrame) -> DataFrame:
     )
 
 
-def with_reply_counts(posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def with_reply_counts(
+    posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
     """Posts with their number of replies, 0 if none.
 
     Replies are counted before the join, so a viral post is one row there.

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows of one key that a single task may hold before the key is split up.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 200_000
 # Keys that are split up: at most this many, the heaviest first, so the table of
-# them is always small enough to broadcast.  A key beyond the list is joined
-# unsplit, so the result does not depend on it.
+# them is always small enough to broadcast (keys are ids or digests, some ten
+# megabytes in all).  A key beyond the list is joined unsplit, so the result does
+# not depend on it.
 MAX_HOT_KEYS = 100_000
 
 

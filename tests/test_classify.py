@@ -120,17 +120,25 @@ def test_pause_between_calls(spark):
 
 
 @pytest.mark.parametrize("limit", [None, 0, 1, 7, 29, 30, 31, 1000])
-@pytest.mark.parametrize("block", [1, 8, 1 << 20])
-def test_cap(spark, limit, block):
-    rows = [(i * 3, i % 4 != 0) for i in range(40)]
-    df = spark.createDataFrame(rows, "_seq long, keep_for_analysis boolean").repartition(4)
-    out = classify.cap_kept(df, limit, block=block).orderBy("_seq").collect()
+@pytest.mark.parametrize("short, ranges", [(1, 200), (8, 20), (1 << 20, 1 << 16)])
+def test_cap(spark, monkeypatch, limit, short, ranges):
+    monkeypatch.setattr(classify, "CAP_SORTED", short)
+    monkeypatch.setattr(classify, "CAP_RANGES", ranges)
+    # Positions far apart and close together.
+    rows = [(i * 3 if i < 25 else 10**6 + i, i % 4 != 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "_seq long, keep_for_analysis boolean").coalesce(2)
+    out = classify.cap_kept(df, limit).orderBy("_seq").collect()
     left = len(rows) if limit is None else limit
     for (seq, kept), row in zip(rows, out):
         assert (row._seq, row.keep_for_analysis) == (seq, kept and left > 0)
         left -= kept
 
 
+def test_cap_of_nothing(spark):
+    df = spark.createDataFrame([(1, False)], "_seq long, keep_for_analysis boolean")
+    assert classify.cap_kept(df, 3).first().keep_for_analysis is False
+
+
 def test_prompt_holds_the_text_and_the_domains(spark):
     df = spark.createDataFrame([("free {x} \"y\"",), (None,)], "t string")
     first, second = [r[0] for r in df.select(classify.prompt(F.col("t"))).collect()]
