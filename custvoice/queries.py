@@ -340,8 +340,9 @@ def report_metrics(spark, sf):
 
 
 def report_metrics_partial(spark, sf):
-    """The report while only the raw posts exist."""
-    return report.report_metrics(raw=raw_posts(spark, sf))
+    """The report while only the raw posts exist, as it is shown."""
+    known = F.coalesce(F.col("value").cast("string"), F.lit(report.NOT_AVAILABLE))
+    return report.report_metrics(raw=raw_posts(spark, sf)).withColumn("value", known)
 
 
 def report_lines(spark, sf):

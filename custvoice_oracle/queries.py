@@ -562,7 +562,9 @@ UNION ALL SELECT 'sentiments', final_sentiment, count(*) FROM enriched GROUP BY
 UNION ALL SELECT 'categories', final_intent, count(*) FROM enriched GROUP BY 2"""),
         "sentiment_counts": on("enriched", counts("enriched", "final_sentiment")),
         "report_metrics": on("enriched", "SELECT * FROM metrics", METRICS),
-        "report_metrics_partial": on("posts", figure_rows(partial)),
+        "report_metrics_partial": on("posts", "SELECT section, metric, key, "
+                                     "coalesce(CAST(value AS VARCHAR), 'N/A') AS value "
+                                     f"FROM ({figure_rows(partial)})"),
         "report_lines": on("enriched", REPORT, METRICS),
         "manager_filtered": on("dashboard", f"SELECT _seq, {shown_time('created_ts')} AS created, "
                                "final_intent, final_sentiment FROM chosen"),
