@@ -34,23 +34,21 @@ def shown_time(c: Column) -> Column:
 
 # --- stages -------------------------------------------------------------------
 
+# Paths of the stage tables this session has written, by session, input and stage.
 _STAGES: dict[tuple[str, str, str], str] = {}
 
 
-def _stored(spark: SparkSession, sf: str, stage: str, write: Callable[[], str]) -> DataFrame:
-    """A stage table, written the first time this session asks for it."""
-    key = (spark.sparkContext.applicationId, sf, stage)
-    if key not in _STAGES:
-        _STAGES[key] = write()
-    return spark.read.parquet(_STAGES[key])
+def _key(spark: SparkSession, sf: str, stage: str) -> tuple[str, str, str]:
+    return spark.sparkContext.applicationId, sf, stage
 
 
 def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw stage: derived posts, ingested once."""
-    def write() -> str:
+    """The raw stage: derived posts, ingested once per session."""
+    key = _key(spark, sf, "raw")
+    if key not in _STAGES:
         ingested = tables.balanced(posts.posts(spark, sf))
-        return tables.write_stage(ingested, scratch_dir(spark, "raw"))
-    return _stored(spark, sf, "raw", write)
+        _STAGES[key] = tables.write_stage(ingested, scratch_dir(spark, "raw"))
+    return spark.read.parquet(_STAGES[key])
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,17 +67,12 @@ def write_enrichment(spark: SparkSession, sf: str) -> tuple[str, str]:
 
 
 def stages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The prepared and the enriched stage."""
-    written: list[str] = []
-
-    def write(which: int) -> str:
-        written.extend(written or write_enrichment(spark, sf))
-        return written[which]
-
-    return (
-        _stored(spark, sf, "prepared", lambda: write(0)),
-        _stored(spark, sf, "enriched", lambda: write(1)),
-    )
+    """The prepared and the enriched stage, written once per session."""
+    keys = [_key(spark, sf, stage) for stage in ("prepared", "enriched")]
+    if keys[0] not in _STAGES:
+        _STAGES.update(zip(keys, write_enrichment(spark, sf)))
+    prepared, enriched = (spark.read.parquet(_STAGES[key]) for key in keys)
+    return prepared, enriched
 
 
 def prepared_posts(spark: SparkSession, sf: str) -> DataFrame:
