@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvoice.llm import quality
+from custvoice.llm import eliasfano, licenses, packing, quality, tokens
 from custvoice.llm.store import read
 
 
@@ -20,5 +20,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eliasfano.encode_corpus(read(spark, sf_dir, "documents"), tokens.vocabulary(), end_id=2)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary(), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_quality,)}
+    return {f.__name__: f for f in (op4_elias_fano, op5_licenses, op9_packing, op10_quality)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from custvoice.llm import licenses
+
 OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
@@ -27,5 +29,30 @@ FROM f
 """
 
 
+_TEMPLATES = ", ".join(f"('{label}', '{text}', '{key}')" for label, text, key in licenses.TEMPLATES)
+_BASE = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE_PHRASES.items())
+# Every place of a mandatory phrase is tried against its template, without an index.
+OP5 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+u AS (SELECT r, ws, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+p AS (SELECT string_split(phrase, ' ') AS ps, label FROM (VALUES {_BASE}) v(phrase, label)),
+b AS (SELECT r, i, label FROM u JOIN p ON w = ps[1] AND ws[i + 1 : i + len(ps)] = ps),
+bb AS (SELECT r, count(*)::BIGINT AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word, list(DISTINCT label) AS ls FROM b GROUP BY r),
+t AS (SELECT label, string_split(txt, ' ') AS ts, string_split(phrase, ' ') AS ks,
+             len(string_split(trim(split_part(' ' || txt || ' ', ' ' || phrase || ' ', 1)), ' ')) * (NOT starts_with(txt, phrase))::INT AS shift
+      FROM (VALUES {_TEMPLATES}) v(label, txt, phrase)),
+h AS (SELECT r, label, ts, (i - shift)::BIGINT AS o, ws FROM u JOIN t ON w = ks[1] AND ws[i + 1 : i + len(ks)] = ks),
+s AS (SELECT r, label, list_sum(list_transform(range(len(ts)), lambda j: CASE WHEN o + j >= 0 AND ws[o + j + 1] = ts[j + 1] THEN 1 ELSE 0 END)) / len(ts) AS score FROM h),
+ss AS (SELECT r, list(DISTINCT label) AS ls, max(score) AS score FROM s WHERE score >= {licenses.AGREE} GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(bb.ls), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(coalesce(bb.ls, []) || coalesce(ss.ls, []))), ','), '') AS labels,
+       greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(ss.score, 0.0))::DOUBLE AS score
+FROM d LEFT JOIN bb USING (r) LEFT JOIN ss USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality": OP10}
+    return {"op5_licenses": OP5, "op10_quality": OP10}

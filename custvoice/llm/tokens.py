@@ -76,23 +76,24 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of the whole text, as ``tokenizer.encode(text, add_special_tokens=False)`` gives them."""
-        if not text:
-            return np.zeros(0, self.kind)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; what the memo lacks is asked for together."""
         if not self.cuts:
-            return self._plain(text)
-        parts = _parts(text)
-        try:
-            whole = b"".join(map(self.young.__getitem__, parts))
-        except KeyError:
-            missing = set(parts).difference(self.young)
-            self._learn(missing)
-            whole = b"".join(map(self.young.__getitem__, parts))
-            for part in missing:
-                if len(part) > _LONG:
-                    del self.young[part]
-            if len(self.young) > MEMO:
-                self.old, self.young = self.young, {}
-        return np.frombuffer(whole, self.kind)
+            return [self._plain(text or "") for text in texts]
+        cut = [_parts(text) if text else [] for text in texts]
+        missing: set[str] = set()
+        for parts in cut:
+            missing.update(set(parts).difference(self.young))
+        self._learn(missing)
+        found = [np.frombuffer(b"".join(map(self.young.__getitem__, parts)), self.kind) for parts in cut]
+        for part in missing:
+            if len(part) > _LONG:
+                del self.young[part]
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        return found
 
 
 def _parts(text: str) -> list[str]:
