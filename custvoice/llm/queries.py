@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvoice.llm import eliasfano, licenses, packing, quality, tokens
+from custvoice.llm import eliasfano, licenses, packing, pages, quality, tokens, toxicity
 from custvoice.llm.store import read
 
 
@@ -20,6 +20,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, usable=lambda doc_id: ~toxicity.held_out(doc_id) & doc_id.isNotNull())
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.encode_corpus(read(spark, sf_dir, "documents"), tokens.vocabulary(), end_id=2)
 
@@ -28,9 +36,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary(), end_id=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_elias_fano, op5_licenses, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op4_elias_fano, op5_licenses, op6_main_text, op9_packing, op10_quality)}
