@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvoice.llm import eliasfano, licenses, packing, pages, quality, tokens, toxicity
+from custvoice.llm import eliasfano, kneser_ney, licenses, packing, pages, quality, tokens, toxicity
 from custvoice.llm.store import read
 
 
@@ -28,6 +28,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out(F.col("doc_id"))))
+    scored = kneser_ney.score(docs, model)
+    return scored.withColumn("held_out", kneser_ney.held_out(F.col("doc_id")))
+
+
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.encode_corpus(read(spark, sf_dir, "documents"), tokens.vocabulary(), end_id=2)
 
@@ -45,4 +52,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_elias_fano, op5_licenses, op6_main_text, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op3_kneser_ney, op4_elias_fano, op5_licenses, op6_main_text, op9_packing, op10_quality)}
