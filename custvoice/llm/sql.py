@@ -54,5 +54,21 @@ FROM d LEFT JOIN bb USING (r) LEFT JOIN ss USING (r)
 """
 
 
+# Compares all pairs that share a shingle, then follows links.
+OP7 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents),
+s AS (SELECT DISTINCT r, md5(array_to_string(ws[i : i + 4], ' ')) AS g
+      FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+x AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS (SELECT a, b FROM x JOIN n p ON a = p.r JOIN n q ON b = q.r WHERE 100 * c >= 80 * (p.n + q.n - c)),
+w AS (SELECT r AS a, r AS b FROM d UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT w.a AS r, min(t.doc_id) AS component_id FROM w JOIN d t ON w.b = t.r GROUP BY w.a) m USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": OP5, "op10_quality": OP10}
+    return {"op5_licenses": OP5, "op7_set_join": OP7, "op10_quality": OP10}

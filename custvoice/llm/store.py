@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from custvoice.session import scratch_dir
@@ -21,6 +23,11 @@ class Scratch:
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def release(self) -> None:
+        """Let go of shuffle files of finished steps now, not when the driver next happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step and no result reads."""
         for name in names:
