@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from custvoice.llm.eliasfano import _system as file_system
 from custvoice.llm.store import Scratch, only
-from custvoice.llm.words import LOWER, Words, mix, runs
+from custvoice.llm.words import LOWER, Words, counted, mix, runs
 
 END = np.uint64(0x454E44)  # the hash of the end of a text
 HELD = 3_000_000  # hashes a task holds before it merges them
@@ -78,7 +78,7 @@ class _Tally:
         self.held = 0
 
     def add(self, keys: np.ndarray) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
+        keys, counts = counted(keys)
         self.parts.append((keys, counts))
         self.held += len(keys)
         if self.held > HELD:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvoice.llm.store import only
-from custvoice.llm.words import LOWER, Words, runs
+from custvoice.llm.words import LOWER, Words, distinct, runs
 
 EACH = 5000  # labelled texts of each class to learn from, at most
 FEATURES = 1000  # features with a weight, at most
@@ -79,7 +79,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         kinds.append(_beginnings(folded, w.starts[long], n))
         owners.append(doc[long])
     bucket = np.concatenate(kinds) % np.uint64(BUCKETS)
-    key = np.unique(np.concatenate(owners).astype(np.uint64) * np.uint64(BUCKETS) + bucket)
+    key = distinct(np.concatenate(owners).astype(np.uint64) * np.uint64(BUCKETS) + bucket)
     owner = key // np.uint64(BUCKETS)
     return (key % np.uint64(BUCKETS)).astype(np.int32), np.bincount(owner.astype(np.int64), minlength=len(offsets) - 1)
 

@@ -75,10 +75,15 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, fold: np.ndarray | None = None, limit: int | None = None) -> np.ndarray:
-        """A hash of every word, of its first ``limit`` bytes at most."""
-        return hash_spans(self.data if fold is None else fold[self.data], self.starts,
-                          self.ends if limit is None else np.minimum(self.ends, self.starts + limit))
+    def hashes(self, fold: np.ndarray | None = None) -> np.ndarray:
+        """A hash of every word."""
+        if not len(self):
+            return np.zeros(0, np.uint64)
+        lengths = self.ends - self.starts
+        at = np.cumsum(lengths) - lengths
+        value = (_BYTE if fold is None else _BYTE[fold])[self.data[self.inside]]
+        value *= _power(int(lengths.max()))[np.arange(len(value)) - np.repeat(at, lengths)]
+        return mix(np.add.reduceat(value, at) + lengths.astype(np.uint64))
 
     def shingles(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` words inside one text, and the word each starts at."""
@@ -124,3 +129,23 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(values)))
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, rising."""
+    values = np.sort(values)
+    return values[fresh(values)]
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, rising, and how often each occurs."""
+    values = np.sort(values)
+    begin = np.flatnonzero(fresh(values))
+    return values[begin], np.diff(np.append(begin, len(values)))
+
+
+def fresh(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
