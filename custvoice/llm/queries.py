@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvoice.llm import eliasfano, kneser_ney, licenses, packing, pages, quality, setjoin, tokens, toxicity
+from custvoice.llm import eliasfano, kneser_ney, licenses, packing, pages, passages, quality, setjoin, tokens, toxicity
 from custvoice.llm.store import read
 
 
@@ -28,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = kneser_ney.train(docs.where(~kneser_ney.held_out(F.col("doc_id"))))
@@ -56,4 +60,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_kneser_ney, op4_elias_fano, op5_licenses, op6_main_text, op7_set_join, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_passages, op3_kneser_ney, op4_elias_fano, op5_licenses, op6_main_text, op7_set_join, op9_packing, op10_quality)}
