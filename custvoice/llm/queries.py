@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvoice.llm import eliasfano, kneser_ney, licenses, packing, pages, passages, quality, setjoin, tokens, toxicity
+from custvoice.llm import decontaminate, eliasfano, kneser_ney, licenses, packing, pages, passages, quality, setjoin, tokens, toxicity
 from custvoice.llm.store import read
 
 
@@ -55,9 +55,13 @@ def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.component_ids(read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokens.vocabulary(), end_id=1)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_passages, op3_kneser_ney, op4_elias_fano, op5_licenses, op6_main_text, op7_set_join, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_passages, op3_kneser_ney, op4_elias_fano, op5_licenses, op6_main_text, op7_set_join, op8_decontamination, op9_packing, op10_quality)}
