@@ -121,7 +121,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     upper |= wide[np.minimum(begin + 1, len(data) - 1)] & (data[begin] == 0xC3)
     name = upper & (count(small)(begin, end) > 0) & ~starts & ~number & ~unit
     token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return Templates(token, value, text, word, number | unit | name)
+    return Templates(token, value, text, word - w.first[text], number | unit | name)
 
 
 @dataclass
