@@ -35,8 +35,8 @@ TEMPLATES = (
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "attribution noncommercial"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-3", "licensed under the gnu general public license version 3", "general public license version 3"),
+    ("gpl-2", "licensed under the gnu general public license version 2", "general public license version 2"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license version 2"),
