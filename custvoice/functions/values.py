@@ -62,7 +62,8 @@ def with_count_labels(df: DataFrame, counters: Mapping[str, Column]) -> DataFram
         {"q": "CAST({k}_n AS DOUBLE) / {k}_unit", "tenths": "{k}_n DIV ({k}_unit DIV 10)"},
         # Twenty times the number tells on which side of the tie it lies.  Split in
         # two halves, the quotient gives exact products, hence the exact error.
-        {"side": "{k}_n * 20 - (2 * {k}_tenths + 1) * {k}_unit",
+        # Of the number itself only the rest by a tenth counts, so no product overflows.
+        {"side": "({k}_n % ({k}_unit DIV 10)) * 20 - {k}_unit",
          "high": "{k}_q * 134217729D - ({k}_q * 134217729D - {k}_q)"},
         {"error": "({k}_high * {k}_unit - {k}_n) + ({k}_q - {k}_high) * {k}_unit"},
         {"shown": "{k}_tenths + CAST({k}_side > 0 OR ({k}_side = 0 AND ({k}_error > 0 "

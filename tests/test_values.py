@@ -70,3 +70,11 @@ def test_bump_priority(spark):
     for row in df.select("p", "s", vl.bump_priority(F.col("p"), F.col("s")).alias("out")).collect():
         start = PRIORITIES.index(row.p) if row.p in PRIORITIES else 0
         assert row.out == PRIORITIES[min(start + row.s, 4)]
+
+
+def test_count_labels_of_very_large_numbers(spark):
+    numbers = ["999999999999999999", "9223372036854775807", "461168601842738790"]
+    df = spark.createDataFrame([(n,) for n in numbers], "n string")
+    got = {r["n"]: r["label"] for r in vl.with_count_labels(df, {"label": F.col("n")}).collect()}
+    assert got["999999999999999999"] == "1000000000000.0M"
+    assert all(label.endswith("M") for label in got.values())
