@@ -14,9 +14,6 @@ class Lexicon:
     ``fold_keywords`` folds accents and case in the lists too.  It is off by
     default: texts are folded and the lists are not, so an accented keyword
     never matches and its unaccented twin in the list does the work.
-
-    ``matcher`` says how keywords are looked for: ``builtin`` by Spark's substring
-    tests, ``automaton`` in one pass in Python, if the executors have the package.
     """
 
     strong_negative: tuple[str, ...] = fixed.STRONG_NEGATIVE
@@ -28,7 +25,6 @@ class Lexicon:
     churn: tuple[str, ...] = fixed.CHURN
     topics: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(fixed.TOPICS))
     fold_keywords: bool = False
-    matcher: str = "builtin"
 
 
 @dataclass(frozen=True)

@@ -102,3 +102,13 @@ RAW_COLUMNS = (
     "user_id", "in_reply_to", "retweeted_status", "quoted_status", "favorite_count",
     "retweet_count", "reply_count", "views_count",
 )
+
+# Texts of times that are not numeric dates, and how they are read.  Fixed values.
+TIME_FORMATS = (
+    (r"^[A-Za-z]{3} \d{2} \d{2}:\d{2}:\d{2} [+-]\d{4} \d{4}$", "MMM dd HH:mm:ss Z yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}", "MMM d[,] yyyy[ H:mm[:ss]]"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}.* [+-]\d{4}$", "d MMM yyyy H:mm[:ss] Z"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}.* [A-Z]{3}$", "d MMM yyyy H:mm[:ss] z"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}", "d MMM yyyy[ H:mm[:ss]]"),
+)

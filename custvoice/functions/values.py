@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custvoice.fixed_values import PRIORITIES, TRUE_WORDS
+from custvoice.fixed_values import PRIORITIES, TIME_FORMATS, TRUE_WORDS
 from custvoice.functions.text import strip_text
 
 
@@ -22,12 +22,27 @@ def parse_bool(c: Column, words: tuple[str, ...] = TRUE_WORDS, strip: bool = Tru
     return F.coalesce(F.lower(text).isin(*words), F.lit(False))
 
 
-def parse_time(c: Column) -> Column:
-    """ISO dates and ``Wed Oct 10 20:19:24 +0000 2018``; anything else is null."""
+def parse_time(
+    c: Column, day_first: bool = False, formats: tuple[tuple[str, str], ...] = TIME_FORMATS
+) -> Column:
+    """The moment a text names; null for anything else.
+
+    Numeric dates come with hyphens or slashes, year first or last; of the latter
+    ``day_first`` says which number is the day.  They may carry a time, with a zone
+    or AM and PM.  ``formats`` are tried on the rest, in their order: each is a
+    pattern of texts and the format in which those are read, without the weekday.
+    """
     text = strip_text(c.cast("string"))
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(text))
-    without_weekday = F.regexp_replace(text, r"^[A-Za-z]{3} ", "")
-    return F.coalesce(iso, F.try_to_timestamp(without_weekday, F.lit("MMM dd HH:mm:ss Z yyyy")))
+    year_first = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    order = "$3-$2-$1" if day_first else "$3-$1-$2"
+    date = F.regexp_replace(year_first, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})", order)
+    half_day = F.try_to_timestamp(F.upper(date), F.lit("yyyy-M-d h:mm[:ss][ ]a"))
+    numeric = F.when(date.rlike("(?i)[ap]m$"), half_day).otherwise(F.try_to_timestamp(date))
+    read = F.when(date.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), numeric)
+    named = F.regexp_replace(text, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
+    for pattern, form in formats:
+        read = read.when(named.rlike(pattern), F.try_to_timestamp(named, F.lit(form)))
+    return read
 
 
 # The parsed post time, once a stage holds it.

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvoice.config import Lexicon
-from custvoice.functions.automaton import found_keywords
 from custvoice.functions.text import (
     any_keyword,
     has_keyword,
@@ -49,14 +48,9 @@ def asked_keywords(lexicon: Lexicon) -> Counter[str]:
 
 
 def with_known_keywords(df: DataFrame, lexicon: Lexicon) -> tuple[DataFrame, Known]:
-    """Look for keywords ahead of the features: the shared ones, or all by the automaton."""
+    """Look for keywords that several features share ahead of them."""
     asked = asked_keywords(lexicon)
     text = F.col("_lexical")
-    if lexicon.matcher == "automaton":
-        found = df.withColumn("_known", found_keywords(text, list(asked)))
-        return found, {w: F.array_contains("_known", i) for i, w in enumerate(asked)}
-    if lexicon.matcher != "builtin":
-        raise ValueError(f"unknown matcher: {lexicon.matcher}")
     # Columns of their own: tests inside a struct would be inlined, and so repeated.
     shared = {w: f"_known_{i}" for i, (w, times) in enumerate(asked.items()) if times > 1}
     tests = {name: has_keyword(text, word) for word, name in shared.items()}

@@ -57,6 +57,27 @@ def test_parse_time(spark):
         "2018-10-10 20:19:24", None, None, None, None]
 
 
+@pytest.mark.parametrize("text, day_first, expected", [
+    ("2024/01/03 10:00", False, "2024-01-03 10:00:00"),
+    ("03/01/2024 10:00", True, "2024-01-03 10:00:00"),
+    ("03/01/2024 10:00", False, "2024-03-01 10:00:00"),
+    ("31/01/2024", False, None),
+    ("Jan 3 2024 10:00", False, "2024-01-03 10:00:00"),
+    ("Jan 3, 2024", False, "2024-01-03 00:00:00"),
+    ("20240103", False, "2024-01-03 00:00:00"),
+    ("Wed, 03 Jan 2024 10:00:00 GMT", False, "2024-01-03 10:00:00"),
+    ("Wed, 03 Jan 2024 10:00:00 +0200", False, "2024-01-03 08:00:00"),
+    ("3 Jan 2024", False, "2024-01-03 00:00:00"),
+    ("2024-01-03 10:00 AM", False, "2024-01-03 10:00:00"),
+    ("2024-01-03 10:05:06pm", False, "2024-01-03 22:05:06"),
+    ("2024-13-45", False, None), ("99999999", False, None), ("Foo 3 2024", False, None),
+])
+def test_parse_time_of_other_formats(spark, text, day_first, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    shown = F.date_format(vl.parse_time(F.col("t"), day_first), "yyyy-MM-dd HH:mm:ss")
+    assert df.select(shown).first()[0] == expected
+
+
 def test_time_column_of_other_tables(spark):
     moment = datetime.datetime(2024, 1, 2, 3, 4)
     df = spark.createDataFrame([(moment,)], "created_at timestamp")
