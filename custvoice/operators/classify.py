@@ -1,9 +1,9 @@
 """Classification of the kept posts: prompt, answers, defaults.
 
 An answer is the text a classifier returned.  It comes from a table of stored
-answers, or from a scorer that runs over the distinct texts in Arrow batches and
-whose answers are written down once, so that a slow and costly scorer is never
-called again when Spark recomputes something.
+answers, or from a scorer that runs over the distinct texts in Arrow batches.  Its
+answers are appended to a table, a part of the texts at a time, and a text that
+table holds is never asked about again: a stopped run goes on where it ended.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from custvoice import fixed_values as fixed
 from custvoice.fixed_values import COMPLAINT_TYPES, INTENTS, PRIORITIES, SENTIMENTS
 from custvoice.fixed_values import TRUE_WORDS_SHORT
 from custvoice.functions.values import parse_bool
-from custvoice.operators.lookup import HOT_ROWS, first_per_key, lookup_join
+from custvoice.operators.lookup import first_per_key, lookup_join
 from custvoice.schema import SEQ
 from custvoice.session import scratch_dir
+from custvoice.sources.tables import path_exists, remove
 
 # text -> answer; made once per task by a factory.
 Scorer = Callable[[str], str]
@@ -54,33 +55,48 @@ PROMPT_TAIL = (
 )
 
 
+def prompted(client: Callable[[], Callable[[str, str], str]]) -> Callable[[], Scorer]:
+    """A scorer factory from one of clients that take the two parts of the prompt, role and request."""
+    def factory() -> Scorer:
+        call = client()
+        return lambda text: call(PROMPT_ROLE, f"{PROMPT_HEAD}{text}{PROMPT_TAIL}")
+
+    return factory
+
+
 def prompt(text: Column) -> Column:
     """The user prompt for one post."""
     return F.concat(F.lit(PROMPT_HEAD), F.coalesce(text, F.lit("")), F.lit(PROMPT_TAIL))
 
 
-def parse_answer(answer: Column, error: Column | None = None) -> dict[str, Column]:
-    """The six verdict columns of a classifier's answer.
+def with_parsed(df: DataFrame, answer: Column, error: Column | None = None) -> DataFrame:
+    """Add the six verdict columns of a classifier's answer.
 
     The JSON object is looked for between the first and the last brace, so prose
     around it does no harm.  Missing fields and nulls get defaults.  An answer
     that cannot be read, a whole answer that is JSON but no object, and a failed
     call (``error``) give the default verdict and say why.
+
+    Each step is a projection of its own, so that an answer is searched and parsed once.
     """
     error = F.lit(None).cast("string") if error is None else error
-    body = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
-    fields = F.from_json(body, _ANSWER, {"allowSingleQuotes": "false"})
+    body, fields, failed = F.col("_body"), F.col("_fields"), F.col("_failed")
     # The parser stops at the end of the first object; counting the elements of
     # "[body]" reads all of it, but lets single quotes pass, which the parser does not.
     whole = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
-    sound = F.coalesce(
+    steps = df.withColumns({
+        "_body": F.regexp_extract(answer, r"(?s)\{.*\}", 0),
+        "_failed": F.coalesce(
+            error,
+            F.when(answer.isNull(), NO_ANSWER),
+            F.when(F.json_array_length(answer).isNotNull(), NOT_AN_OBJECT),
+        ),
+    })
+    steps = steps.withColumn("_fields", F.from_json(body, _ANSWER, {"allowSingleQuotes": "false"}))
+    steps = steps.withColumn("_sound", F.coalesce(
         whole & (body != "") & fields["_corrupt_record"].isNull(), F.lit(False)
-    )
-    failed = F.coalesce(
-        error,
-        F.when(answer.isNull(), NO_ANSWER),
-        F.when(F.json_array_length(answer).isNotNull(), NOT_AN_OBJECT),
-    )
+    ))
+    sound = F.col("_sound")
     readable = failed.isNull() & sound
 
     def field(name: str, default: str) -> Column:
@@ -91,7 +107,7 @@ def parse_answer(answer: Column, error: Column | None = None) -> dict[str, Colum
         F.substring(answer, 1, fixed.UNPARSED_RESPONSE_CHARS),
         F.lit("..."),
     )
-    return {
+    return steps.withColumns({
         "intent": field("intent", "other"),
         "complaint_type": field("complaint_type", "none"),
         "sentiment": field("sentiment", "neutral"),
@@ -100,19 +116,19 @@ def parse_answer(answer: Column, error: Column | None = None) -> dict[str, Colum
         "llm_explanation": F.when(failed.isNotNull(), F.concat(F.lit(fixed.FAILED_CALL), failed))
         .when(sound, F.coalesce(fields["explanation"], F.lit("")))
         .otherwise(unparsed),
-    }
+    }).drop("_body", "_fields", "_failed", "_sound")
 
 
 def with_verdict(df: DataFrame, keep_col: str, answer_col: str, error_col: str | None) -> DataFrame:
     """Verdict columns from the answer of kept rows; other rows stay ``unknown``."""
     keep = F.coalesce(F.col(keep_col), F.lit(False))
-    verdict = parse_answer(F.col(answer_col), F.col(error_col) if error_col else None)
+    parsed = with_parsed(df, F.col(answer_col), F.col(error_col) if error_col else None)
     unsent = {
         "intent": "unknown", "complaint_type": "none", "sentiment": "neutral",
         "sarcasm": False, "priority": "none", "llm_explanation": "",
     }
-    return df.withColumns({
-        name: F.when(keep, verdict[name]).otherwise(F.lit(unsent[name]))
+    return parsed.withColumns({
+        name: F.when(keep, F.col(name)).otherwise(F.lit(unsent[name]))
         for name in VERDICT_COLUMNS
     })
 
@@ -123,14 +139,19 @@ def classify_stored(
     keep_col: str = "keep_for_analysis",
     id_col: str = "id",
     answer_col: str = "llm_response",
-    hot_rows: int | None = HOT_ROWS,
+    order: str | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Verdicts from stored answers, one row ``(id, answer)`` per post id.
+    """Verdicts from stored answers ``(id, answer)``.
 
-    Only kept rows take part in the join.
+    Of several answers to an id the first by ``order`` counts: the file position
+    by default, or where there is none the answer itself.  Only kept rows take
+    part in the join.  ``df`` may be a stream.
     """
+    order = order or (SEQ if SEQ in answers.columns else answer_col)
+    stored = first_answers(answers, order, id_col, answer_col)
+    stored = stored.select(F.col(id_col).alias("_post"), F.col(answer_col).alias("_answer"))
     asked = df.withColumn("_post", F.when(F.col(keep_col), F.col(id_col)))
-    stored = answers.select(F.col(id_col).alias("_post"), F.col(answer_col).alias("_answer"))
     joined = lookup_join(asked, stored, "_post", spread=SEQ, hot_rows=hot_rows)
     return with_verdict(joined, keep_col, "_answer", None).drop("_post", "_answer")
 
@@ -147,19 +168,22 @@ def score_texts(
     factory: Callable[[], Scorer],
     parallelism: int | None = None,
     pause: float = 0.0,
+    per_second: float | None = None,
 ) -> DataFrame:
     """``(text, answer, error)`` for a table of distinct ``text``.
 
     The scorer is made once per task.  A text it fails on gets the error, the
     rest go on.  ``parallelism`` sets the number of tasks, by default one per core
     or shuffle partition: adaptive execution would put many short texts into one
-    task, and a slow scorer would wait there.  ``pause`` waits after each call,
-    for services with a rate limit.
+    task, and a slow scorer would wait there.  ``pause`` waits after each call;
+    ``per_second`` is the most calls a second of all tasks together.
     """
     if parallelism is None:
         spark = texts.sparkSession
         cores = spark.sparkContext.defaultParallelism
         parallelism = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if per_second:
+        pause = max(pause, parallelism / per_second)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
@@ -181,6 +205,9 @@ def score_texts(
     return asked.mapInPandas(run, "text string, answer string, error string")
 
 
+_SCORED = "_text string, _answer string, _error string"
+
+
 def classify_scored(
     df: DataFrame,
     factory: Callable[[], Scorer],
@@ -189,33 +216,55 @@ def classify_scored(
     parallelism: int | None = None,
     pause: float = 0.0,
     answers_path: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    per_second: float | None = None,
+    chunk_texts: int = 100_000,
+    retry_failed: bool = False,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Verdicts from a scorer, called once per distinct text of the kept rows.
 
-    The answers are written to ``answers_path`` (a fresh scratch folder by
-    default) before they are used, and joined by a digest of the text.
+    The answers are appended to ``answers_path`` (a fresh scratch folder by
+    default), about ``chunk_texts`` at a time, and joined by a digest of the text.
+    Texts that folder already answers are not asked about again, nor those on which
+    the call failed unless ``retry_failed``.  A stopped run loses its last chunk.
     """
     spark = df.sparkSession
     path = answers_path or scratch_dir(spark, "answers")
+    digest = F.sha2("text", 256)
     texts = df.where(F.col(keep_col)).select(F.col(text_col).alias("text")).distinct()
-    scored = score_texts(texts, factory, parallelism, pause)
-    digested = scored.select(
-        F.sha2("text", 256).alias("_text"), F.col("answer").alias("_answer"),
-        F.col("error").alias("_error"),
-    )
-    digested.write.mode("overwrite").parquet(path)
-
-    answers = spark.read.parquet(path)
+    open_texts = texts.where("text is not null").withColumn("_text", digest)
+    if path_exists(spark, path):
+        known = spark.read.schema(_SCORED).parquet(path)
+        if retry_failed:
+            known = known.where("_error is null")
+        open_texts = open_texts.join(known.select("_text"), "_text", "left_anti")
+
+    # What is asked is fixed before the first call, in folders of a chunk each.
+    asked_path = scratch_dir(spark, "asked")
+    chunks = max(1, -(-open_texts.count() // chunk_texts))
+    chunk = F.pmod(F.xxhash64("text"), F.lit(chunks))
+    open_texts.select("text", chunk.alias("chunk")).write.partitionBy("chunk").parquet(asked_path)
+    for number in range(chunks):
+        part = f"{asked_path}/chunk={number}"
+        if path_exists(spark, part):
+            scored = score_texts(spark.read.schema("text string").parquet(part), factory,
+                                 parallelism, pause, per_second)
+            scored.select(digest.alias("_text"), F.col("answer").alias("_answer"),
+                          F.col("error").alias("_error")).write.mode("append").parquet(path)
+    remove(spark, asked_path)
+
+    stored = F.min(F.struct(F.col("_error").isNotNull().alias("late"), "_answer", "_error"))
+    answers = (spark.read.schema(_SCORED).parquet(path) if path_exists(spark, path)
+               else spark.createDataFrame([], _SCORED))
+    answers = answers.groupBy("_text").agg(stored.alias("_row")).select("_text", "_row._answer", "_row._error")
     asked = df.withColumn("_text", F.when(F.col(keep_col), F.sha2(text_col, 256)))
     joined = lookup_join(asked, answers, "_text", spread=SEQ, hot_rows=hot_rows)
     return with_verdict(joined, keep_col, "_answer", "_error").drop("_text", "_answer", "_error")
 
 
 # The cap looks for its last position in at most this many ranges at a time, until
-# a range is short enough to sort the flagged positions in it.
+# a range is a single position.
 CAP_RANGES = 1 << 16
-CAP_SORTED = 1 << 20
 
 
 def cap_kept(
@@ -223,35 +272,52 @@ def cap_kept(
     limit: int | None,
     keep_col: str = "keep_for_analysis",
     order: str = SEQ,
+    tie: str | None = None,
 ) -> DataFrame:
     """Keep the flag on the first ``limit`` flagged rows in file order, clear it on the rest.
 
     The cap becomes one number, the last file position that stays flagged, so no
-    row is moved and the number can be pushed down to the scan.
+    row is moved and the number can be pushed down to the scan.  Where the cap falls
+    among rows of one position, ``tie`` has to tell them apart; without it, or where
+    it does not, the cap is refused.
     """
     if limit is None:
         return df
     if limit <= 0:
         return df.withColumn(keep_col, F.lit(False))
-    last = _last_position(df.where(F.col(keep_col)).select(F.col(order).alias("at")), limit)
+    flagged = df.where(F.col(keep_col))
+    last, among = _last_position(flagged.select(F.col(order).alias("at")), limit)
     if last is None:
         return df
-    return df.withColumn(keep_col, F.col(keep_col) & (F.col(order) <= last))
-
-
-def _last_position(flagged: DataFrame, wanted: int) -> int | None:
+    kept = F.col(order) <= last
+    if among:
+        if tie is None:
+            raise ValueError(f"the cap falls among rows of position {last}: name a second key")
+        shared = flagged.where(F.col(order) == last).select(F.col(tie).alias("tie"))
+        bound = shared.orderBy("tie").limit(among).agg(F.max("tie")).first()[0]
+        if bound is None or shared.where(F.col("tie").isNull() | (F.col("tie") <= bound)).count() != among:
+            raise ValueError(f"{tie} does not tell the rows of position {last} apart")
+        kept = (F.col(order) < last) | ((F.col(order) == last) & (F.col(tie) <= bound))
+    return df.withColumn(keep_col, F.col(keep_col) & F.coalesce(kept, F.lit(False)))
+
+
+def _last_position(flagged: DataFrame, wanted: int) -> tuple[int | None, int]:
     """The ``wanted``-th smallest position, or None if there are not as many.
 
     Positions are counted per range, the range in which the count reaches the
-    wanted number is cut into ranges again, and so on.  Positions are unique, so a
-    short range holds few rows however they are distributed.
+    wanted number is cut into ranges again, down to one position.  If more rows are
+    there than wanted, the second value says how many of them are.
     """
-    low, high = flagged.agg(F.min("at"), F.max("at")).first()
-    while low is not None and high - low >= CAP_SORTED:
-        width = max(CAP_SORTED, -(-(high - low + 1) // CAP_RANGES))
+    low, high, unplaced = flagged.agg(
+        F.min("at"), F.max("at"), F.count_if(F.col("at").isNull())
+    ).first()
+    if unplaced:
+        raise ValueError("flagged rows without a position cannot be capped")
+    while low is not None:
+        width = -(-(high - low + 1) // CAP_RANGES)
         ranges = (
             flagged.where(F.col("at").between(low, high))
-            .groupBy(F.floor((F.col("at") - low) / width).alias("range"))
+            .groupBy(F.expr(f"(at - {low}L) DIV {width}L").alias("range"))
             .agg(F.count(F.lit(1)).alias("rows"))
         )
         upto = F.sum("rows").over(Window.orderBy("range"))
@@ -259,12 +325,10 @@ def _last_position(flagged: DataFrame, wanted: int) -> int | None:
             ranges.withColumn("upto", upto).where(F.col("upto") >= wanted).orderBy("range").first()
         )
         if reached is None:
-            return None
+            break
         wanted -= reached["upto"] - reached["rows"]
         low += reached["range"] * width
         high = min(low + width - 1, high)
-    if low is None:
-        return None
-    short = flagged.where(F.col("at").between(low, high)).orderBy("at")
-    count, last = short.limit(min(wanted, CAP_SORTED)).agg(F.count("at"), F.max("at")).first()
-    return last if count == wanted else None
+        if width == 1:
+            return low, wanted if wanted < reached["rows"] else 0
+    return None, 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from custvoice.fixed_values import PAGE_SIZES
 from custvoice.functions.text import strip_text
 from custvoice.functions.values import time_column, with_count_labels
-from custvoice.operators.lookup import HOT_ROWS, first_per_key, lookup_join
+from custvoice.operators.lookup import first_per_key, lookup_join
 from custvoice.operators.prepare import is_marked_repost
 from custvoice.operators.tickets import text_matches
 from custvoice.schema import SEQ
@@ -152,7 +152,7 @@ def reply_counts(feed: DataFrame) -> DataFrame:
 
 
 def with_reply_counts(
-    posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS
+    posts: DataFrame, feed: DataFrame, hot_rows: int | None = None
 ) -> DataFrame:
     """Posts with their number of replies, 0 if none.
 
@@ -185,7 +185,7 @@ def originals(feed: DataFrame, refs: DataFrame) -> DataFrame:
     return as_originals(feed.join(wanted, ["id", SEQ], "left_semi"))
 
 
-def with_originals(posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def with_originals(posts: DataFrame, feed: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Posts with the original that a retweet or quote embeds, if it is known."""
     refs = posts.where(F.col("ref_id").isNotNull()).select("ref_id").distinct()
     return lookup_join(posts, originals(feed, refs), "ref_id", spread=SEQ, hot_rows=hot_rows)
@@ -205,7 +205,7 @@ def with_engagement(posts: DataFrame) -> DataFrame:
     return labelled.withColumns(chosen).drop(*own)
 
 
-def timeline(posts: DataFrame, feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def timeline(posts: DataFrame, feed: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Posts ready to show: text, embedded original, counters, number of replies."""
     embedded = with_originals(posts, feed, hot_rows)
     return with_reply_counts(with_engagement(embedded), feed, hot_rows)
@@ -237,7 +237,7 @@ def thread(feed: DataFrame, post_id: str) -> DataFrame:
     return answers.orderBy(F.asc_nulls_last("created_ts"), SEQ)
 
 
-def threads(feed: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def threads(feed: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """All replies to known posts, by post and then oldest first.
 
     Each reply occurs once, and the sort key ends in the row's own position, so

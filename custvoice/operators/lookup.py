@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that a single task may hold before the key is split up.
-HOT_ROWS = 200_000
-# Keys that are split up: at most this many, the heaviest first, so the table of
-# them is always small enough to broadcast (keys are ids or digests, some ten
-# megabytes in all).  A key beyond the list is joined unsplit, so the result does
-# not depend on it.
-MAX_HOT_KEYS = 100_000
-
 
 def first_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """One row per non-null key: the first by ``order``.
@@ -32,45 +24,32 @@ def lookup_join(
     key: str,
     how: str = "left",
     spread: str = "_seq",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` with ``right``, which holds at most one row per ``key``.
 
-    * Left rows without a key skip the shuffle.
-    * Keys with ``hot_rows`` or more left rows are spread over several tasks: the
-      left rows by a hash of ``spread``, the single right row by one copy each.
+    Both sides are also dealt by a number that follows from the key, and for left
+    rows without a key from ``spread``: such rows match nothing and would all go to
+    one task otherwise.  As the number is part of the join's keys, both sides are
+    shuffled for this join alone, so adaptive execution can split the left rows of
+    a hot key over tasks, against copies of its one right-hand row.
 
-    ``hot_rows`` None saves the count of the keys where they are known to be
-    spread, such as unique ids.  ``how`` is left, inner or left_semi.
+    ``how`` is left, inner or left_semi.  The left side may be a stream.  With
+    ``hot_rows``, where adaptive execution is off, keys are counted first, and those
+    of more left rows are dealt by ``spread`` too, to copies of the right-hand row.
     """
-    keyed = left.where(F.col(key).isNotNull())
-    found = right.where(F.col(key).isNotNull())
-    if hot_rows is None:
-        joined = keyed.join(found, key, how)
-    else:
-        joined = _salted_join(keyed, found, key, how, spread, hot_rows)
-    if how != "left":
-        return joined
-    keyless = left.where(F.col(key).isNull())
-    return joined.unionByName(keyless, allowMissingColumns=True)
-
-
-def _salted_join(
-    keyed: DataFrame, found: DataFrame, key: str, how: str, spread: str, hot_rows: int
-) -> DataFrame:
-    load = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_load"))
-    fan = F.ceil(F.col("_load") / F.lit(hot_rows)).cast("int")
-    hot = (
-        load.where(F.col("_load") >= hot_rows)
-        .orderBy(F.desc("_load"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, fan.alias("_fan"))
-    )
-
-    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_fan")), F.lit(0)).cast("int")
-    salted = keyed.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_fan")
-
-    found = found.join(F.broadcast(hot), key, "left")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1)
-    found = found.withColumn("_salt", F.explode(copies)).drop("_fan")
-    return salted.join(found, [key, "_salt"], how).drop("_salt")
+    keyed = F.xxhash64(F.col(key).cast("string"))
+    alone = F.xxhash64(F.lit("no key"), F.col(spread))
+    dealt = left.withColumn("_deal", F.when(F.col(key).isNotNull(), keyed).otherwise(alone))
+    found = right.where(F.col(key).isNotNull()).withColumn("_deal", keyed)
+    on = [key, "_deal"]
+    if hot_rows is not None:
+        load = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_load"))
+        hot = load.where(F.col("_load") >= hot_rows).select(
+            key, F.ceil(F.col("_load") / F.lit(hot_rows)).cast("int").alias("_fan"))
+        part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_fan")), F.lit(0)).cast("int")
+        dealt = dealt.join(hot, key, "left").withColumn("_part", part).drop("_fan")
+        copies = F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1)
+        found = found.join(hot, key, "left").withColumn("_part", F.explode(copies)).drop("_fan")
+        on = [*on, "_part"]
+    return dealt.join(found, on, how).drop("_deal", "_part")

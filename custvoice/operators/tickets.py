@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from custvoice.fixed_values import LABEL_TEXT_CHARS, TICKET_STATUSES, TRUE_WORDS_SHORT
 from custvoice.functions.text import is_filled
 from custvoice.functions.values import parse_bool, priority_rank, time_column
-from custvoice.operators.lookup import HOT_ROWS, lookup_join
+from custvoice.operators.lookup import lookup_join
 from custvoice.schema import SEQ
 from custvoice.sources.columns import ensure_ticket_id
 
@@ -172,7 +172,7 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("ticket_id").agg(last).select("ticket_id", "_last.status", "_last.note")
 
 
-def with_status(df: DataFrame, log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def with_status(df: DataFrame, log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Tickets with their last status and note; new tickets have neither."""
     joined = lookup_join(df, latest_status(log), "ticket_id", spread=SEQ, hot_rows=hot_rows)
     return joined.withColumns({

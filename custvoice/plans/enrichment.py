@@ -14,7 +14,7 @@ from custvoice.operators.kpis import compute_kpis
 from custvoice.operators.prepare import prepare
 from custvoice.operators.reconcile import reconcile
 from custvoice.session import shuffles_for
-from custvoice.sources.tables import path_exists, read_raw, write_stage
+from custvoice.sources.tables import path_exists, read_raw, stage_finished, write_stage
 
 # Adds the verdict columns to prepared posts.
 Classifier = Callable[[DataFrame], DataFrame]
@@ -68,20 +68,23 @@ def run_enrichment(
     fmt: str = "csv",
     config: VoiceConfig = DEFAULT,
     by_day: bool = False,
+    line_breaks: bool = True,
 ) -> Enriched:
     """Run the job unless its results are already there.
 
     ``on_existing`` says what to do then: ``skip`` returns them, ``overwrite``
-    runs again, ``error`` refuses.
+    runs again, ``error`` refuses.  A stage that a stopped job left unfinished is
+    no result: ``skip`` runs again.  CSV files without line breaks inside values are
+    split over tasks if ``line_breaks`` is false.
     """
     if on_existing not in ("skip", "overwrite", "error"):
         raise ValueError(f"unknown choice for existing results: {on_existing}")
-    stages = [path_exists(spark, p) for p in (prepared_path, enriched_path)]
-    if any(stages) and on_existing == "error":
+    stages = (prepared_path, enriched_path)
+    if on_existing == "error" and any(path_exists(spark, p) for p in stages):
         raise FileExistsError(f"results exist at {prepared_path} or {enriched_path}")
-    ran = on_existing == "overwrite" or not all(stages)
+    ran = on_existing == "overwrite" or not all(stage_finished(spark, p) for p in stages)
     if ran:
-        raw = read_raw(spark, raw_path, fmt, indexed=True)
+        raw = read_raw(spark, raw_path, fmt, indexed=True, line_breaks=line_breaks)
         with shuffles_for(spark, raw_path):
             enrich(raw, classifier, prepared_path, enriched_path, limit, config, by_day)
     posts = spark.read.parquet(enriched_path)

@@ -24,6 +24,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(hadoop_path)
 
 
+def stage_finished(spark: SparkSession, path: str) -> bool:
+    """A stage counts once its writer has marked it as a whole; a stopped job leaves no mark."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     paths = list(paths)
     for path in paths:

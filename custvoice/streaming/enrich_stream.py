@@ -8,12 +8,11 @@ state: a post is enriched once, in the micro-batch it arrives with.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from custvoice import schema
 from custvoice.config import DEFAULT, VoiceConfig
-from custvoice.operators.classify import with_verdict
+from custvoice.operators.classify import classify_stored
 from custvoice.operators.prepare import prepare
 from custvoice.plans.enrichment import enrich_columns
 
@@ -27,13 +26,9 @@ def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1000)
 
 
 def enrich_stream(raw: DataFrame, answers: DataFrame, config: VoiceConfig = DEFAULT) -> DataFrame:
-    """Enriched posts; ``answers`` is a static table with one row ``(id, llm_response)`` per id."""
+    """Enriched posts; ``answers`` is a static table ``(id, llm_response)``, of which one row per id counts."""
     prepared = prepare(raw, config)
-    asked = prepared.withColumn("_post", F.when(F.col("keep_for_analysis"), F.col("id")))
-    stored = answers.select(F.col("id").alias("_post"), F.col("llm_response").alias("_answer"))
-    verdicts = with_verdict(asked.join(stored, "_post", "left"), "keep_for_analysis", "_answer",
-                            None)
-    return enrich_columns(verdicts.drop("_post", "_answer"), config)
+    return enrich_columns(classify_stored(prepared, answers), config)
 
 
 def write_enriched_stream(

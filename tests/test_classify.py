@@ -46,8 +46,9 @@ def read(answer):
 
 def test_parse_answer(spark):
     df = spark.createDataFrame(list(enumerate(EDGE_ANSWERS)), "n int, a string")
-    parsed = classify.parse_answer(F.col("a"))
-    rows = df.orderBy("n").select(*[c.alias(k) for k, c in parsed.items()]).collect()
+    parsed = classify.with_parsed(df, F.col("a"))
+    rows = parsed.orderBy("n").select(*classify.VERDICT_COLUMNS).collect()
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     for answer, row in zip(EDGE_ANSWERS, rows):
         assert row.asDict() == read(answer), answer
 
@@ -120,9 +121,8 @@ def test_pause_between_calls(spark):
 
 
 @pytest.mark.parametrize("limit", [None, 0, 1, 7, 29, 30, 31, 1000])
-@pytest.mark.parametrize("short, ranges", [(1, 200), (8, 20), (1 << 20, 1 << 16)])
-def test_cap(spark, monkeypatch, limit, short, ranges):
-    monkeypatch.setattr(classify, "CAP_SORTED", short)
+@pytest.mark.parametrize("ranges", [20, 200, 1 << 16])
+def test_cap(spark, monkeypatch, limit, ranges):
     monkeypatch.setattr(classify, "CAP_RANGES", ranges)
     # Positions far apart and close together.
     rows = [(i * 3 if i < 25 else 10**6 + i, i % 4 != 0) for i in range(40)]
@@ -134,6 +134,84 @@ def test_cap(spark, monkeypatch, limit, short, ranges):
         left -= kept
 
 
+@pytest.mark.parametrize("limit", [1, 6, 7, 8, 20, 21, 60])
+def test_cap_of_repeated_positions(spark, limit):
+    rows = [(i // 20, f"{i % 20:02}", True) for i in range(60)]
+    df = spark.createDataFrame(rows, "_seq long, id string, keep_for_analysis boolean")
+    out = classify.cap_kept(df, limit, tie="id").where("keep_for_analysis")
+    assert sorted((r._seq, r.id) for r in out.collect()) == [(s, i) for s, i, _ in rows[:limit]]
+    if limit % 20:
+        with pytest.raises(ValueError):
+            classify.cap_kept(df, limit)
+        with pytest.raises(ValueError):
+            classify.cap_kept(df.withColumn("id", F.lit("x")), limit, tie="id")
+        with pytest.raises(ValueError):
+            classify.cap_kept(df.withColumn("id", F.lit(None).cast("string")), limit, tie="id")
+
+
+def test_cap_needs_positions(spark):
+    df = spark.createDataFrame([(None, True)], "_seq long, keep_for_analysis boolean")
+    with pytest.raises(ValueError):
+        classify.cap_kept(df, 3)
+
+
+def test_repeated_answers_leave_the_row_count(spark):
+    df = spark.createDataFrame([(0, "1", True), (1, "1", True), (2, "2", True)],
+                               "_seq long, id string, keep_for_analysis boolean")
+    stored = spark.createDataFrame(
+        [(5, "1", '{"intent":"praise"}'), (3, "1", '{"intent":"question"}'), (4, "2", None)],
+        "_seq long, id string, llm_response string")
+    out = classify.classify_stored(df, stored).orderBy("_seq").collect()
+    assert [r.intent for r in out] == ["question", "question", "other"]
+    unordered = classify.classify_stored(df, stored.drop("_seq")).orderBy("_seq").collect()
+    assert [r.intent for r in unordered] == ["praise", "praise", "other"]
+
+
+def test_answers_are_kept_between_runs(spark, tmp_path):
+    df = spark.createDataFrame(POSTS, "_seq long, text_clean string, keep_for_analysis boolean")
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def run(rows, **options):
+        out = classify.classify_scored(rows, scorer_factory(str(calls)), parallelism=2,
+                                       answers_path=str(tmp_path / "answers"), **options)
+        return {r._seq: (r.intent, r.llm_explanation) for r in out.collect()}
+
+    part = run(df.where("text_clean < 'free 2'"))
+    assert len(list(calls.glob("call-*"))) == 2
+    # What is missing is asked about, in several chunks.
+    whole = run(df, chunk_texts=1)
+    assert len(list(calls.glob("call-*"))) == 5
+    assert part.items() <= whole.items()
+    # Again, and for a part of the rows: no call, nothing lost.
+    assert run(df) == whole and run(df.where("_seq = 1")) == {1: whole[1]}
+    assert run(df) == whole and len(list(calls.glob("call-*"))) == 5
+    # Failed calls are made again on request only.
+    assert run(df, retry_failed=True) == whole and len(list(calls.glob("call-*"))) == 6
+
+
+def test_nothing_to_ask(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, True), (2, "x", False)],
+                               "_seq long, text_clean string, keep_for_analysis boolean")
+    out = classify.classify_scored(df, scorer_factory(str(tmp_path)), parallelism=1)
+    assert sorted((r._seq, r.intent) for r in out.collect()) == [(1, "other"), (2, "unknown")]
+    assert not list(tmp_path.glob("call-*"))
+
+
+def test_calls_per_second_hold_for_all_tasks(spark):
+    import time
+    texts = spark.createDataFrame([(str(i),) for i in range(4)], "text string")
+    start = time.perf_counter()
+    assert classify.score_texts(texts, lambda: str.upper, 2, per_second=4).count() == 4
+    assert time.perf_counter() - start >= 0.5
+
+
+def test_client_gets_both_parts_of_the_prompt():
+    score = classify.prompted(lambda: lambda role, request: f"{role}|{request}")()
+    role, request = score("ma box").split("|", 1)
+    assert role == classify.PROMPT_ROLE and "ma box" in request
+
+
 def test_cap_of_nothing(spark):
     df = spark.createDataFrame([(1, False)], "_seq long, keep_for_analysis boolean")
     assert classify.cap_kept(df, 3).first().keep_for_analysis is False

@@ -30,14 +30,6 @@ def test_equals_plain_join(sides, how, hot_rows):
     assert sorted(rows, key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
-def test_more_hot_keys_than_are_split(sides, monkeypatch):
-    left, right = sides
-    monkeypatch.setattr(lookup, "MAX_HOT_KEYS", 2)
-    got = lookup.lookup_join(left, right, "key", hot_rows=5)
-    assert got.count() == 3000
-    assert got.where("key = 'hot' and value = 99").count() == 1000
-
-
 def test_hot_key_is_spread(spark, sides):
     left, right = sides
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -54,6 +46,40 @@ def test_hot_key_is_spread(spark, sides):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.fixture()
+def shuffled(spark):
+    """Joins are shuffled, 3000 rows to partitions of fifty; larger ones are split."""
+    settings = {
+        "spark.sql.shuffle.partitions": "60",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("how, key", [
+    ("inner", "key = 'hot'"), ("left", "key = 'hot'"), ("left", "key IS NULL")])
+def test_adaptive_execution_splits_hot_and_missing_keys(shuffled, sides, how, key):
+    left, right = sides
+    # A right side that is summed by the key already is dealt anew all the same.
+    right = right.groupBy("key").agg(F.max("value").alias("value"))
+    got = lookup.lookup_join(left.repartition(8), right, "key", how)
+    # The task is noted before the key is chosen, or the choice would reach the join.
+    sizes = got.withColumn("task", F.spark_partition_id()).where(key).groupBy("task").count().collect()
+    assert sum(r["count"] for r in sizes) == 1000
+    assert len(sizes) > 2 and max(r["count"] for r in sizes) < 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_first_per_key(spark):
     df = spark.createDataFrame(
         [("a", 2, "x"), ("a", 1, None), ("b", 5, "z"), (None, 0, "n")],

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from custvoice.operators import dashboard, features, kpis
+from custvoice.operators import dashboard, features, feed, kpis
 from custvoice.queries import enriched_stage, queries, raw_posts
 from custvoice.sources import tables
 
@@ -70,6 +70,18 @@ def test_report_scans_each_stage_once_per_table(spark):
     assert plan.count("FileScan parquet") == 4
 
 
+@pytest.mark.parametrize("name, scans", [
+    ("classify_stored", 4), ("feed_embedded", 4), ("ticket_status", 3), ("feed_reply_counts", 2)])
+def test_lookups_read_each_side_once(spark, name, scans):
+    plan = plan_of(queries()[name](spark, SF_DIR))
+    assert plan.count("FileScan parquet") <= scans
+
+
+def test_timeline_reads_the_feed_a_few_times(spark):
+    base = feed.feed_base(raw_posts(spark, SF_DIR))
+    assert plan_of(feed.timeline(feed.posts_of(base), base)).count("FileScan parquet") <= 8
+
+
 def test_small_scans_are_spread_and_large_ones_left_alone(spark):
     scan = raw_posts(spark, SF_DIR)
     assert scan.rdd.getNumPartitions() >= 1
