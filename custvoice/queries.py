@@ -52,7 +52,7 @@ def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.first_answers(posts.stored_answers(spark, sf))
+    return posts.stored_answers(spark, sf)
 
 
 def write_enrichment(spark: SparkSession, sf: str) -> tuple[str, str]:
@@ -240,8 +240,8 @@ def prompt_column(spark, sf):
 
 def parse_response(spark, sf):
     stored = posts.stored_answers(spark, sf)
-    parsed = classify.parse_answer(F.col("llm_response"))
-    return stored.select(SEQ, *[c.alias(n) for n, c in parsed.items()])
+    parsed = classify.with_parsed(stored, F.col("llm_response"))
+    return parsed.select(SEQ, *classify.VERDICT_COLUMNS)
 
 
 def classify_stored(spark, sf):
@@ -250,21 +250,32 @@ def classify_stored(spark, sf):
     return verdicts.select(SEQ, "id", "keep_for_analysis", *classify.VERDICT_COLUMNS)
 
 
-def classify_scored(spark, sf):
-    """Classification by a scorer; a fixed rule that fails now and then stands in for it."""
-    def factory():
-        import json
+def _stand_in():
+    """A fixed rule in the place of a scorer; it fails now and then."""
+    import json
+
+    def score(text):
+        if "nuit" in text:
+            raise RuntimeError("service indisponible")
+        kind = "complaint" if "panne" in text.lower() else "other"
+        kind = "question" if "?" in text else kind
+        return "Voici : " + json.dumps({"intent": kind, "explanation": f"{len(text)} signes"})
+
+    return score
+
 
-        def score(text):
-            if "nuit" in text:
-                raise RuntimeError("service indisponible")
-            kind = "complaint" if "panne" in text.lower() else "other"
-            kind = "question" if "?" in text else kind
-            return "Voici : " + json.dumps({"intent": kind, "explanation": f"{len(text)} signes"})
+def classify_scored(spark, sf):
+    verdicts = classify.classify_scored(stages(spark, sf)[0], _stand_in)
+    return verdicts.select(SEQ, "keep_for_analysis", *classify.VERDICT_COLUMNS)
 
-        return score
 
-    verdicts = classify.classify_scored(stages(spark, sf)[0], factory)
+def classify_resumed(spark, sf):
+    """The scorer's run over all posts, after one that ended with the posts that ask something."""
+    path = scratch_dir(spark, "answers")
+    prepared = stages(spark, sf)[0]
+    classify.classify_scored(prepared.where(F.contains("text_clean", F.lit("?"))), _stand_in,
+                             answers_path=path)
+    verdicts = classify.classify_scored(prepared, _stand_in, answers_path=path)
     return verdicts.select(SEQ, "keep_for_analysis", *classify.VERDICT_COLUMNS)
 
 
@@ -273,6 +284,12 @@ def limit_scored(spark, sf):
     return classify.cap_kept(prepared, 100).select(SEQ, "keep_for_analysis")
 
 
+def limit_scored_ties(spark, sf):
+    """The cap where seven rows share each position, as after several ingests."""
+    shared = stages(spark, sf)[0].withColumn("place", F.expr(f"{SEQ} DIV 7"))
+    return classify.cap_kept(shared, 100, order="place", tie=SEQ).select(SEQ, "keep_for_analysis")
+
+
 FINAL_COLUMNS = (
     "final_intent", "final_complaint_type", "final_priority", "final_sentiment", "final_sarcasm",
 )
@@ -515,6 +532,16 @@ def feed_embedded(spark, sf):
     )
 
 
+def feed_timeline(spark, sf):
+    """All posts as they are shown: embedded original, counters, number of replies."""
+    base = feed_posts_base(spark, sf)
+    shown = feed.timeline(feed.posts_of(base), base)
+    return shown.select(
+        SEQ, "id", "feed_type", "ref_id", F.coalesce("orig_found", F.lit(False)).alias("found"),
+        "orig_screen_name", "orig_created_at", "orig_display_text", *LABELS, "comments",
+    )
+
+
 def feed_reply_counts(spark, sf):
     base = feed_posts_base(spark, sf)
     return feed.with_reply_counts(feed.posts_of(base), base).select(SEQ, "id", "comments")
@@ -564,7 +591,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_response": parse_response,
         "classify_stored": classify_stored,
         "classify_scored": classify_scored,
+        "classify_resumed": classify_resumed,
         "limit_scored": limit_scored,
+        "limit_scored_ties": limit_scored_ties,
         "reconcile": reconcile_verdicts,
         "bump_priority": bump_priority,
         "enriched_posts": enriched_posts,
@@ -606,6 +635,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "feed_page": feed_page,
         "feed_page_count": feed_page_count,
         "feed_embedded": feed_embedded,
+        "feed_timeline": feed_timeline,
         "feed_reply_counts": feed_reply_counts,
         "feed_thread": feed_thread,
         "feed_thread_of_post": feed_thread_of_post,

@@ -530,10 +530,24 @@ SELECT _seq, keep_for_analysis,
        CASE WHEN NOT keep_for_analysis THEN ''
             WHEN contains(text_clean, 'nuit') THEN {lit(fixed.FAILED_CALL)} || 'service indisponible'
             ELSE length(text_clean) || ' signes' END AS llm_explanation
+FROM prepared"""),
+        "classify_resumed": on("prepared", f"""
+SELECT _seq, keep_for_analysis,
+       CASE WHEN NOT keep_for_analysis THEN 'unknown' WHEN contains(text_clean, 'nuit') THEN 'other'
+            WHEN contains(text_clean, '?') THEN 'question'
+            WHEN contains(lower(text_clean), 'panne') THEN 'complaint' ELSE 'other' END AS intent,
+       'none' AS complaint_type, 'neutral' AS sentiment, false AS sarcasm, 'none' AS priority,
+       CASE WHEN NOT keep_for_analysis THEN ''
+            WHEN contains(text_clean, 'nuit') THEN {lit(fixed.FAILED_CALL)} || 'service indisponible'
+            ELSE length(text_clean) || ' signes' END AS llm_explanation
 FROM prepared"""),
         "limit_scored": on("prepared", """
 SELECT _seq, keep_for_analysis AND
        row_number() OVER (PARTITION BY keep_for_analysis ORDER BY _seq) <= 100
+       AS keep_for_analysis FROM prepared"""),
+        "limit_scored_ties": on("prepared", """
+SELECT _seq, keep_for_analysis AND
+       row_number() OVER (PARTITION BY keep_for_analysis ORDER BY _seq // 7, _seq) <= 100
        AS keep_for_analysis FROM prepared"""),
         "reconcile": on("enriched", f"SELECT _seq, {FINAL} FROM enriched"),
         "bump_priority": f"""
@@ -651,6 +665,12 @@ SELECT p._seq, p.id, p.feed_type, p.ref_id, o.id IS NOT NULL AS found,
        o.screen_name AS orig_screen_name, o.created_at AS orig_created_at,
        o.display_text AS orig_display_text, {_LABELS}
 FROM feed_posts p LEFT JOIN first_posts o ON o.id = p.ref_id"""),
+        "feed_timeline": on_feed(f"""
+SELECT p._seq, p.id, p.feed_type, p.ref_id, o.id IS NOT NULL AS found,
+       o.screen_name AS orig_screen_name, o.created_at AS orig_created_at,
+       o.display_text AS orig_display_text, {_LABELS}, coalesce(c.comments, 0) AS comments
+FROM feed_posts p LEFT JOIN first_posts o ON o.id = p.ref_id
+LEFT JOIN comment_counts c ON c.id = p.id"""),
         "feed_reply_counts": on_feed("SELECT p._seq, p.id, coalesce(c.comments, 0) AS comments "
                                      "FROM feed_posts p LEFT JOIN comment_counts c "
                                      "ON c.id = p.id"),
