@@ -49,6 +49,13 @@ _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 # Stored bytes per shuffle partition to start from.  Stored text is compressed, so
 # this is a few times as much in memory; what turns out small is coalesced.
 SHUFFLE_BYTES = 64 << 20
+# More partitions than this cost the driver more in bookkeeping than smaller ones save.
+SHUFFLE_LIMIT = 50_000
+
+
+def shuffle_partitions(stored: int, usual: int) -> int:
+    """Partitions to start from for so many stored bytes: never fewer than usual."""
+    return max(usual, min(-(-stored // SHUFFLE_BYTES), SHUFFLE_LIMIT))
 
 
 @contextmanager
@@ -63,7 +70,7 @@ def shuffles_for(spark: SparkSession, path: str) -> Iterator[int]:
     stored = files.getContentSummary(hadoop_path).getLength()
     before = spark.conf.get(_INITIAL, None)
     usual = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(usual, -(-stored // SHUFFLE_BYTES))
+    wanted = shuffle_partitions(stored, usual)
     spark.conf.set(_INITIAL, str(wanted))
     try:
         yield wanted

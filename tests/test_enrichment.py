@@ -63,6 +63,13 @@ def test_shuffles_follow_the_input(spark, tmp_path, monkeypatch):
     assert spark.conf.get(key, None) is None
 
 
+def test_shuffles_of_very_large_inputs():
+    from custvoice.session import SHUFFLE_LIMIT, shuffle_partitions
+    assert shuffle_partitions(10**14, 200) == SHUFFLE_LIMIT
+    assert shuffle_partitions(10**14, 2 * SHUFFLE_LIMIT) == 2 * SHUFFLE_LIMIT
+    assert shuffle_partitions(100 << 30, 200) == 1600 and shuffle_partitions(0, 200) == 200
+
+
 def test_invariants(spark):
     prepared, enriched = stages(spark, SF_DIR)
     total = prepared.count()
