@@ -155,6 +155,27 @@ def test_passages(docs, nothing):
     assert texts[10].split() == (prose(80, 5) + " " + prose(40, 6)).split()
 
 
+def test_passages_among_relatives(spark):
+    """Variants of one passage that are not alike hide no copy behind them: brute force over all pairs of documents."""
+    r, texts, copies = random.Random(11), [], []
+    for family in range(40):
+        own = prose(60, 3000 + family)
+        pair = [edited(own, r.sample(range(6, 54), 2)) for _ in range(7)]
+        texts += [*pair[:5], own, *pair[5:], own]
+        copies.append(len(texts) - 1)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = passages.repeated_passages(frame).collect()
+    found = {(x["doc_id"], x["src_doc_id"]) for x in rows}
+    all_sets = [sets(t) for t in texts]
+    like = {(i, j) for i, a in enumerate(all_sets) for j in range(i) if len(a & all_sets[j]) >= 0.8 * len(a | all_sets[j])}
+    assert set(copies) <= {i for i, _ in found}
+    for x in rows:
+        one, two = (sets(" ".join(texts[x[d]].split()[x[a] : x[b]])) for d, a, b in (("doc_id", "start_word", "end_word"), ("src_doc_id", "src_start_word", "src_end_word")))
+        assert x["src_doc_id"] < x["doc_id"] and len(one & two) >= 0.8 * len(one | two)
+    expected = {i for i, _ in like}
+    assert len(expected & {i for i, _ in found}) >= 0.97 * len(expected)
+
+
 def test_kneser_ney(docs, nothing):
     train = docs.where("doc_id <= 10")
     got = {r["doc_id"]: r for r in kneser_ney.score(docs, kneser_ney.train(train)).collect() if r["doc_id"]}
