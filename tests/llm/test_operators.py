@@ -176,6 +176,37 @@ def test_passages_among_relatives(spark):
     assert len(expected & {i for i, _ in found}) >= 0.97 * len(expected)
 
 
+def test_alike_with_insertions():
+    """Words put in, taken out or changed on one side: wherever the whole is alike, it is found."""
+    gen = np.random.default_rng(5)
+    for trial in range(600):
+        n = int(gen.integers(50, 130))
+        theirs = gen.integers(0, 1 << 60, n).tolist()
+        ours = list(theirs)
+        for _ in range(int(gen.integers(1, 4))):
+            p, k = int(gen.integers(5, len(ours) - 20)), int(gen.integers(1, 15))
+            ours[p : p + int(gen.integers(0, 2)) * k] = gen.integers(0, 1 << 60, k * int(gen.integers(0, 2))).tolist()
+        if trial % 2:
+            ours, theirs = theirs, ours
+        pair = [np.array([hash(tuple(x[i : i + 5])) & (1 << 63) - 1 for i in range(len(x) - 4)], np.uint64) for x in (ours, theirs)]
+        one, two = (set(x.tolist()) for x in pair)
+        if min(len(pair[0]), len(pair[1])) >= 46 and len(one & two) >= 0.8 * len(one | two):
+            noise = [gen.integers(1 << 62, 1 << 63, 30).astype(np.uint64) for _ in range(4)]
+            found = passages.alike(np.concatenate((noise[0], pair[0], noise[1])), np.concatenate((noise[2], pair[1], noise[3])), 46)
+            assert found and max(j - i + 1 for i, j, *_ in found) >= 0.8 * len(pair[0])
+
+
+def test_passages_with_insertions(spark):
+    """The case of 90 words with 11 put in after the first 45, many times over."""
+    texts = []
+    for k in range(30):
+        words_ = prose(90, 5000 + k).split()
+        texts += [" ".join(words_), " ".join(words_[:45] + prose(11, 6000 + k).split() + words_[45:])]
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    whole = {r["doc_id"] for r in rows if r["end_word"] - r["start_word"] >= 95}
+    assert len(whole) >= 27
+
+
 def test_kneser_ney(docs, nothing):
     train = docs.where("doc_id <= 10")
     got = {r["doc_id"]: r for r in kneser_ney.score(docs, kneser_ney.train(train)).collect() if r["doc_id"]}
