@@ -1,11 +1,11 @@
 """Licence scan by a positional index of rare words, in DataFrame functions alone.
 
 Templates are short licence statements.  A text's words that occur in any template are
-kept with their positions; words are weighed by how few documents hold them; of each
-text the ``RARE`` rarest look up the postings of the templates.  Postings that
-agree on where the template would begin (position in text less position in template)
-are intersected, and a template is found where enough of its words agree and a
-mandatory key phrase stands at that place.
+kept with their positions; words are weighed by how few documents hold them.  Each
+template is looked up by the rarest word of its mandatory key phrase, which stands
+wherever the template does, however many other templates the text holds: each posting
+tells where the template would begin (position in text less position in template), and
+the template is found where the phrase stands and enough of its words agree.
 
 Defined results: a null or empty text has no words and no labels; repeated rows are
 scanned each; an empty table gives no rows; other columns are not looked at.
@@ -41,7 +41,6 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl-2", "subject to the terms of the mozilla public license version 2 0", "mozilla public license version 2"),
 )
-RARE = 12  # distinct words of a text that look up postings
 AGREE = 0.8  # share of a template's words that must agree on its place
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,28 +80,33 @@ def rarity(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _templates() -> Column:
-    """The templates as one constant array: tokens, mandatory phrase and where it stands among them."""
+def rarest(phrase: list[str], ranked: list[str]) -> str:
+    """The word of a mandatory phrase that looks its template up."""
+    return min((w for w in phrase if phrase.count(w) == 1), key=ranked.index)
+
+
+def _templates(ranked: list[str]) -> Column:
+    """The templates as one constant array: tokens, mandatory phrase and where it stands among them, its rarest word and where that stands."""
     rows = []
     for label, text, key in TEMPLATES:
         tokens, phrase = text.split(), key.split()
         shift = next(i for i in range(len(tokens)) if tokens[i : i + len(phrase)] == phrase)
-        row = F.struct(F.lit(label).alias("label"), _strings(tokens).alias("tokens"), _strings(phrase).alias("phrase"), F.lit(shift).alias("shift"))
+        row = F.struct(F.lit(label).alias("label"), _strings(tokens).alias("tokens"), _strings(phrase).alias("phrase"), F.lit(shift).alias("shift"),
+                       F.lit(rarest(phrase, ranked)).alias("rare"), F.lit(shift + phrase.index(rarest(phrase, ranked))).alias("at"))
         rows.append(row)
     return F.array(*rows)
 
 
-def _found(template: Column, words: Column, kept: Column, rare: Column) -> Column:
+def _found(template: Column, words: Column, kept: Column) -> Column:
     """The best score of the places of a text where the template stands, or null.
 
-    ``kept`` has the text's licence words with positions, ``rare`` its rarest ones.
+    ``kept`` has the text's words that look templates up, with positions.
     """
     tokens = template["tokens"]
     order = F.sequence(F.lit(0), F.size(tokens) - 1)
-    postings = lambda word: F.filter(order, lambda j: F.get(tokens, j) == word)
-    mine = F.filter(kept, lambda p: F.array_contains(tokens, p["w"]) & F.array_contains(rare, p["w"]))
-    begins = F.flatten(F.transform(mine, lambda p: F.transform(postings(p["w"]), lambda j: p["i"] - j)))
-    agreed = F.filter(F.array_distinct(begins), lambda b: (b + template["shift"] >= 0) & (F.size(F.filter(begins, lambda x: x == b)) >= 2))
+    mine = F.filter(kept, lambda p: p["w"] == template["rare"])
+    begins = F.transform(mine, lambda p: p["i"] - template["at"])
+    agreed = F.filter(begins, lambda b: b + template["shift"] >= 0)
     sure = F.filter(agreed, lambda b: F.slice(words, b + template["shift"] + 1, F.size(template["phrase"])) == template["phrase"])
     scores = F.transform(sure, lambda b: F.size(F.filter(order, lambda j: F.get(words, b + j) == F.get(tokens, j))) / F.size(tokens))
     return F.array_max(F.filter(scores, lambda s: s >= AGREE))
@@ -113,7 +117,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Two passes: the first counts in how many texts each template word stands (a row
     for each word of the fixed templates comes back to the driver), the second ranks
-    every text's licence words by it.  Arrays of words are made only for texts that
+    the words of each mandatory phrase by it.  Arrays of words are made only for texts that
     hold a mandatory or base phrase, without which no label can be found.
     """
     lines = only(docs, doc_id="bigint", text="string").select("doc_id", canonical(F.col("text")).alias("line"))
@@ -126,14 +130,13 @@ def scan(docs: DataFrame) -> DataFrame:
     marked = lines.select("doc_id", n_words.cast("bigint").alias("n_words"), F.when(_holds(line, phrases), F.split(line, " ")).alias("words"))
 
     words = F.col("words")
-    kept = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(ranked))
+    kept = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(sorted({rarest(key.split(), ranked) for _, _, key in TEMPLATES})))
     places = F.filter(
         F.transform(words, lambda w, i: _base_at(words, w, i)),
         lambda p: p["label"].isNotNull(),
     )
-    read = marked.select("doc_id", "n_words", "words", kept.alias("kept"), places.alias("places"),
-                         F.slice(F.array_intersect(_strings(ranked), words), 1, RARE).alias("rare"))
-    scores = F.transform(_templates(), lambda t: F.struct(t["label"].alias("label"), _found(t, F.col("words"), F.col("kept"), F.col("rare")).alias("score")))
+    read = marked.select("doc_id", "n_words", "words", kept.alias("kept"), places.alias("places"))
+    scores = F.transform(_templates(ranked), lambda t: F.struct(t["label"].alias("label"), _found(t, F.col("words"), F.col("kept")).alias("score")))
     found = read.select("doc_id", "n_words", "places", F.when(F.col("words").isNotNull(), F.filter(scores, lambda s: s["score"].isNotNull())).alias("found"))
 
     none = F.array().cast("array<string>")

@@ -304,6 +304,24 @@ def test_licenses(docs, nothing, spark):
     assert licenses.scan(docs).count() == len(TEXTS) and licenses.scan(nothing).count() == 0
 
 
+def test_licenses_of_many_statements(spark):
+    """All templates in one text, and a statement in a long text that holds every template word: as the SQL twin has them."""
+    import duckdb
+
+    everything = ". ".join(t for _, t, _ in licenses.TEMPLATES)
+    scattered = " x ".join(licenses.vocabulary())
+    texts = [(1, everything), (2, scattered + " " + prose(3000, 70) + " licensed under the GNU Lesser General Public License " + scattered), (3, scattered)]
+    texts += [(10 + k, scattered + " x " + t) for k, (_, t, _) in enumerate(licenses.TEMPLATES)]
+    names, rows = spark_rows(licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert (names, rows) == duck_rows(con, sql.oracle_sql()["op5_licenses"])
+    who, at = names.index("doc_id"), names.index("labels")
+    got = {r[who]: set(r[at].split(",")) for r in rows}
+    assert got[1] == {label for label, _, _ in licenses.TEMPLATES} and "lgpl" in got[2]
+
+
 def test_pages(spark):
     cases = {
         None: "", "": "", "no markup": "no markup",
