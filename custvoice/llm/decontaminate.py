@@ -1,8 +1,9 @@
 """Benchmark questions in documents, found by their templates.
 
 Words are stripped of punctuation and lower-cased, and become template tokens: numbers
-one placeholder, units after a number another, names (capitals inside a sentence) a
-third.  Windows of ``WINDOW`` template tokens of a document are joined by hash with
+(number words too) one placeholder, units after a number another, names (capitals inside
+a sentence) a third.  A capital word that begins a sentence or line may be a name or not:
+windows are made both ways, with it as a name and as itself.  Windows of ``WINDOW`` template tokens of a document are joined by hash with
 those of the benchmark.  A question is leaked where the joined windows cover a share
 ``COVER`` of it and the slots agree: what stands for one value of the question must be
 one value in the document, so a question asked again with other numbers or names is
@@ -44,6 +45,12 @@ UNITS = (
     "usd eur gbp w kw v volts watts joules newtons hz mph kmh bytes kb mb gb"
 ).split()
 
+# Numbers as words.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 _DIGIT = np.zeros(256, bool)
@@ -64,27 +71,38 @@ def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return folded, wide
 
 
-_UNITS = np.sort(np.concatenate([hash_spans(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u)])) for u in UNITS]))
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.sort(np.concatenate([hash_spans(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u)])) for u in words]))
+
+
+_UNITS, _NUMBERS = _hashes(UNITS), _hashes(NUMBERS)
 
 
 @dataclass
 class Templates:
-    """Tokens of a run of texts: template, value, text, and the word each one was."""
+    """Tokens of a run of texts: template, the same with names where sentences begin, value, text, and the word each one was."""
 
     token: np.ndarray
+    loose: np.ndarray
     value: np.ndarray
     text: np.ndarray
     word: np.ndarray
     slot: np.ndarray
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of ``n`` tokens inside one text, and where each starts."""
+        """Hashes of all runs of ``n`` tokens inside one text, both ways where they differ, and where each starts."""
+        plain, at = self._windows(n, self.token)
+        loose, _ = self._windows(n, self.loose)
+        other = loose != plain
+        return np.concatenate((plain, loose[other])), np.concatenate((at, at[other]))
+
+    def _windows(self, n: int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(self.token) - n + 1
         if m <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         total = np.full(m, n, np.uint64)
         for k in range(n):
-            total = mix(total) + self.token[k : k + m]
+            total = mix(total) + token[k : k + m]
         at = np.flatnonzero(self.text[:m] == self.text[n - 1 :])
         return mix(total[at]), at
 
@@ -93,7 +111,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     w = Words(data, offsets)
     if not len(w):
         none = np.zeros(0, np.int64)
-        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, np.zeros(0, bool))
+        return Templates(*[np.zeros(0, np.uint64)] * 3, none, none, np.zeros(0, bool))
     place = np.arange(len(data))
     solid = _ALNUM[data]
     following = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
@@ -111,7 +129,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     small = np.zeros(len(data), bool)
     small[:] = _SMALL[data]
     small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0xA0)
-    number = _DIGIT[data[begin]]
+    number = _DIGIT[data[begin]] | (_NUMBERS[np.minimum(np.searchsorted(_NUMBERS, value), len(_NUMBERS) - 1)] == value)
     first = fresh(text)
     after_number = np.concatenate(([False], number[:-1])) & ~first
     unit = after_number & ~number & (_UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value)
@@ -119,9 +137,10 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     starts = first | (count(_ENDER[data])(np.minimum(last, begin), begin) > 0)
     upper = (data[begin] >= 65) & (data[begin] <= 90)
     upper |= wide[np.minimum(begin + 1, len(data) - 1)] & (data[begin] == 0xC3)
-    name = upper & (count(small)(begin, end) > 0) & ~starts & ~number & ~unit
-    token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return Templates(token, value, text, word - w.first[text], number | unit | name)
+    name = upper & (count(small)(begin, end) > 0) & ~number & ~unit
+    loose = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
+    token = np.where(name & starts, value, loose)
+    return Templates(token, loose, value, text, word - w.first[text], number | unit | name)
 
 
 @dataclass
@@ -156,7 +175,7 @@ class Benchmark:
         key, item, where = map(np.concatenate, (keys, items, places))
         order = np.argsort(key, kind="stable")
         tokens = [(made.value[a:b], made.slot[a:b], int(n)) for a, b, n in zip(first, first[1:], size)]
-        windows = np.bincount(item, minlength=len(ids))
+        windows = np.where(size >= SHORTEST, lengths - size + 1, 0)
         return cls(key[order], item[order], where[order], sorted({int(x) for x in size if x >= SHORTEST}), ids, windows, tokens)
 
     def leaks(self, made: Templates) -> list[tuple[int, int, float, int, int, int, int]]:

@@ -347,6 +347,16 @@ def test_decontamination(docs, nothing, spark):
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_that_begin_sentences():
+    """Other names, numbers and line breaks: the same question; other sentences are none."""
+    item = "Anna has 5 apples. Ben has 7 pears. Carla has 9 plums. Who has most?"
+    changed = "Maria has 6 apples. Tom has 2 pears. Lucy has 4 plums. Who has most?"
+    texts = [changed, changed.replace(" ", "\n"), changed.replace("6", "six"), "Maria met Tom. Lucy was late. Nobody knew why she came at all. Who has most?"]
+    raw = [t.encode() for t in texts]
+    made = decontaminate.canonical(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert {row[0] for row in decontaminate.Benchmark.of([1], [item]).leaks(made)} == {0, 1, 2}
+
+
 def test_toxicity(spark, nothing):
     r = random.Random(5)
     rows, labels = [], []
