@@ -63,8 +63,9 @@ def filter_posts(
         if DAY in base.columns:
             shown = shown.where(F.col(DAY).between(F.lit(start), F.lit(end)))
     else:
-        any_dated = base.agg(F.max(ts.isNotNull()).alias("any_dated"))
-        shown = base.where(ts.isNotNull() | ~F.coalesce(any_dated.scalar(), F.lit(False)))
+        # One readable time is enough to know; the scan stops there, and the filter is a plain one.
+        dated = base.where(ts.isNotNull())
+        shown = base if dated.select(TIME).limit(1).isEmpty() else dated
     return shown.where(chosen("final_intent", intents) & chosen("final_sentiment", sentiments))
 
 
@@ -179,6 +180,14 @@ FACETS = {
 }
 
 
+def manager_facets(base: DataFrame) -> DataFrame:
+    """The manager's filters: as ``facets``, but unknown priorities are offered only where no known one occurs."""
+    offered = facets(base)
+    strange = (F.col("facet") == "priority") & ~F.col("value").isin(*PRIORITIES)
+    known = offered.agg(F.max((F.col("facet") == "priority") & ~strange).alias("known"))
+    return offered.where(~strange | ~F.coalesce(known.scalar(), F.lit(False))).orderBy("facet", "place", "value")
+
+
 def facets(base: DataFrame) -> DataFrame:
     """``(facet, value, place)``: the values each filter offers, without nulls.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custvoice.fixed_values import LABEL_TEXT_CHARS, TICKET_STATUSES, TRUE_WORDS_SHORT
+from custvoice.fixed_values import LABEL_TEXT_CHARS, PRIORITIES, TICKET_STATUSES, TRUE_WORDS_SHORT
 from custvoice.functions.text import is_filled
 from custvoice.functions.values import parse_bool, priority_rank, time_column
 from custvoice.operators.lookup import lookup_join
@@ -80,6 +80,46 @@ def filter_tickets(
     return shown
 
 
+def agent_facets(tickets: DataFrame) -> DataFrame:
+    """``(facet, value, place, chosen)``: the values the agents' filters offer, in their order.
+
+    Priorities by urgency, others after them; those and the complaint types stand in the
+    order in which they first occur.  ``chosen`` tells what is selected at first: all but
+    the priority ``none``.
+    """
+    facets = {"priority": "final_priority", "complaint_type": "final_complaint_type"}
+    # A row per combination, with the first position of each: few rows are left to sort.
+    firsts = tickets.groupBy(*facets.values()).agg(F.min(SEQ).alias("first"))
+    pairs = F.inline(F.array(*[
+        F.struct(F.lit(facet).alias("facet"), F.col(column).alias("value"), F.col("first"))
+        for facet, column in facets.items()
+    ]))
+    values = firsts.select(pairs).where("value is not null")
+    values = values.groupBy("facet", "value").agg(F.min("first").alias("first"))
+    urgency = F.array_position(F.lit(list(reversed(PRIORITIES))), F.col("value"))
+    known = F.when((F.col("facet") == "priority") & (urgency > 0), urgency).otherwise(len(PRIORITIES) + 1)
+    order = Window.partitionBy("facet").orderBy(known, "first")
+    placed = values.withColumn("place", F.row_number().over(order).cast("bigint"))
+    kept = (F.col("facet") != "priority") | (F.col("value") != "none")
+    return placed.select("facet", "value", "place", kept.alias("chosen")).orderBy("facet", "place")
+
+
+def ticket_page(df: DataFrame, number: int = 1, size: int = 50, chronological: bool = False) -> DataFrame:
+    """One page of the queue in its order, with each ticket's ``rank`` in the queue."""
+    skipped = (number - 1) * size
+    page = order_tickets(df, chronological).offset(skipped).limit(size)
+    scored = ["priority_score"] if "final_priority" in df.columns else []
+    keys = [*(F.desc(c) for c in scored), *_time_keys(df, chronological)]
+    order = Window.orderBy(*keys, "ticket_id", *([SEQ] if SEQ in df.columns else []))
+    return page.withColumn("rank", (F.row_number().over(order) + skipped).cast("bigint"))
+
+
+def _time_keys(df: DataFrame, chronological: bool) -> list[Column]:
+    if "created_at" not in df.columns:
+        return []
+    return [(time_column(df) if chronological else F.col("created_at")).asc_nulls_last()]
+
+
 def text_matches(c: Column, needle: str, regex: bool = False) -> Column:
     """Case-insensitive search; null never matches."""
     text = F.lower(c)
@@ -98,9 +138,7 @@ def order_tickets(df: DataFrame, chronological: bool = False) -> DataFrame:
     if "final_priority" in df.columns:
         df = df.withColumn("priority_score", priority_rank(F.col("final_priority")))
         keys.append(F.desc("priority_score"))
-    if "created_at" in df.columns:
-        time = time_column(df) if chronological else F.col("created_at")
-        keys.append(time.asc_nulls_last())
+    keys += _time_keys(df, chronological)
     return df.orderBy(*keys, "ticket_id", *([SEQ] if SEQ in df.columns else []))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,11 +15,17 @@ from custvoice.operators.kpis import compute_kpis
 from custvoice.operators.prepare import prepare
 from custvoice.operators.reconcile import reconcile
 from custvoice.session import shuffles_for
-from custvoice.sources.tables import path_exists, read_raw, stage_finished, write_stage
+from custvoice.sources.tables import (
+    path_exists, read_raw, read_text, replace_folder, stage_finished, write_stage, write_text,
+)
+from custvoice.sources.versions import files_fingerprint, input_files, settings_fingerprint
 
 # Adds the verdict columns to prepared posts.
 Classifier = Callable[[DataFrame], DataFrame]
 
+# Beside a stage's files: what it was made from.
+MADE_FROM = "_made_from"
+
 
 @dataclass(frozen=True)
 class Enriched:
@@ -69,23 +76,34 @@ def run_enrichment(
     config: VoiceConfig = DEFAULT,
     by_day: bool = False,
     line_breaks: bool = True,
+    classifier_version: str = "",
 ) -> Enriched:
     """Run the job unless its results are already there.
 
     ``on_existing`` says what to do then: ``skip`` returns them, ``overwrite``
-    runs again, ``error`` refuses.  A stage that a stopped job left unfinished is
-    no result: ``skip`` runs again.  CSV files without line breaks inside values are
-    split over tasks if ``line_breaks`` is false.
+    runs again, ``error`` refuses.  Results count for ``skip`` if they are whole and
+    were made from the same files, cap, word lists and ``classifier_version``.  New
+    results replace old ones when they are finished, not before.  CSV files without line
+    breaks inside values are split over tasks if ``line_breaks`` is false.
     """
     if on_existing not in ("skip", "overwrite", "error"):
         raise ValueError(f"unknown choice for existing results: {on_existing}")
     stages = (prepared_path, enriched_path)
     if on_existing == "error" and any(path_exists(spark, p) for p in stages):
         raise FileExistsError(f"results exist at {prepared_path} or {enriched_path}")
-    ran = on_existing == "overwrite" or not all(stage_finished(spark, p) for p in stages)
+    made_from = settings_fingerprint(
+        config, limit, classifier_version, fmt=fmt, by_day=by_day,
+        files=files_fingerprint(input_files(spark, raw_path)),
+    )
+    same = read_text(spark, f"{enriched_path}/{MADE_FROM}") == made_from
+    ran = on_existing == "overwrite" or not same or not all(stage_finished(spark, p) for p in stages)
     if ran:
         raw = read_raw(spark, raw_path, fmt, indexed=True, line_breaks=line_breaks)
+        drafts = [f"{p.rstrip('/')}.new-{uuid.uuid4().hex}" for p in stages]
         with shuffles_for(spark, raw_path):
-            enrich(raw, classifier, prepared_path, enriched_path, limit, config, by_day)
+            enrich(raw, classifier, *drafts, limit, config, by_day)
+        write_text(spark, f"{drafts[1]}/{MADE_FROM}", made_from)
+        for draft, path in zip(drafts, stages):
+            replace_folder(spark, draft, path)
     posts = spark.read.parquet(enriched_path)
     return Enriched(posts, compute_kpis(posts), ran)

@@ -59,15 +59,16 @@ def shuffle_partitions(stored: int, usual: int) -> int:
 
 
 @contextmanager
-def shuffles_for(spark: SparkSession, path: str) -> Iterator[int]:
-    """Start shuffles with enough partitions for the table at ``path``.
+def shuffles_for(spark: SparkSession, path: str, stored: int | None = None) -> Iterator[int]:
+    """Start shuffles with enough partitions for the table at ``path``, or for ``stored`` bytes.
 
     The number only ever grows: adaptive execution merges partitions that turn out
     small, but it does not split ones that are too large for memory.
     """
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    stored = files.getContentSummary(hadoop_path).getLength()
+    if stored is None:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        stored = files.getContentSummary(hadoop_path).getLength()
     before = spark.conf.get(_INITIAL, None)
     usual = int(before or spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = shuffle_partitions(stored, usual)

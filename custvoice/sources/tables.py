@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,21 +18,64 @@ from custvoice.sources.columns import with_row_index
 _CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Ask the path's own file system, whichever it is."""
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The path's own file system, whichever it is, and the path as that takes it."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop_path = file_system(spark, path)
     return files.exists(hadoop_path)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written by the driver."""
+    files, hadoop_path = file_system(spark, path)
+    out = files.create(hadoop_path)
+    out.write(text.encode())
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The whole of a small file; None where there is none."""
+    files, hadoop_path = file_system(spark, path)
+    if not files.exists(hadoop_path):
+        return None
+    stream = files.open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, source: str, target: str) -> None:
+    """Rename ``source``; an error where ``target`` exists."""
+    files, _ = file_system(spark, source)
+    fs = spark._jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    # With no option, nothing is ever replaced.
+    options = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+    context.rename(fs.Path(source), fs.Path(target), options)
+
+
+def replace_folder(spark: SparkSession, draft: str, path: str) -> None:
+    """Put the finished folder ``draft`` in the place of ``path``, which stays as it is until then."""
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    if path_exists(spark, path):
+        rename_new(spark, path, old)
+    rename_new(spark, draft, path)
+    remove(spark, old)
+
+
 def stage_finished(spark: SparkSession, path: str) -> bool:
     """A stage counts once its writer has marked it as a whole; a stopped job leaves no mark."""
     return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    files, hadoop_path = file_system(spark, path)
+    files.delete(hadoop_path, True)
 
 
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
@@ -47,8 +91,11 @@ def _require(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(f"no such table: {path}")
 
 
-def _scan(spark: SparkSession, path: str, fmt: str, line_breaks: bool = True) -> DataFrame:
-    _require(spark, path)
+def _scan(
+    spark: SparkSession, path: str | list[str], fmt: str, line_breaks: bool = True
+) -> DataFrame:
+    if isinstance(path, str):
+        _require(spark, path)
     if fmt == "csv":
         return spark.read.options(inferSchema=False, multiLine=line_breaks, **_CSV).csv(path)
     return spark.read.format(fmt).load(path)
@@ -68,8 +115,9 @@ def read_raw(
     fmt: str = "csv",
     indexed: bool = False,
     line_breaks: bool = True,
+    several: bool = False,
 ) -> DataFrame:
-    """Raw posts, all strings, from the first path that exists.
+    """Raw posts, all strings, from the first path that exists, or with ``several`` from all paths.
 
     Header names are stripped; for CSV the null tokens become null.  ``indexed``
     adds the file order as ``_seq`` and spreads a file that does not split.
@@ -78,7 +126,10 @@ def read_raw(
     is one task: say ``line_breaks=False`` where it has none, and convert to
     Parquet once in either case.
     """
-    path = paths if isinstance(paths, str) else first_existing(spark, paths)
+    if several:
+        path = list(paths)
+    else:
+        path = paths if isinstance(paths, str) else first_existing(spark, paths)
     scan = _scan(spark, path, fmt, line_breaks)
     df = balanced(with_row_index(scan, schema.SEQ), scan) if indexed else scan
     df = df.toDF(*[name.strip() for name in df.columns])
