@@ -2,8 +2,8 @@
 
 An answer is the text a classifier returned.  It comes from a table of stored
 answers, or from a scorer that runs over the distinct texts in Arrow batches.  Its
-answers are appended to a table, a part of the texts at a time, and a text that
-table holds is never asked about again: a stopped run goes on where it ended.
+answers are appended to a table as each task ends, and a text that table holds is
+never asked about again: a stopped run goes on where it ended.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from custvoice import fixed_values as fixed
@@ -163,42 +163,63 @@ def first_answers(
     return first_per_key(answers, id_col, order, [answer_col])
 
 
+# Distinct texts a scoring task gets, and so the most that a lost task asks again.
+TASK_TEXTS = 10_000
+# More tasks, and so files of answers, than this a run does not make.
+TASKS_LIMIT = 100_000
+
+
 def score_texts(
     texts: DataFrame,
     factory: Callable[[], Scorer],
     parallelism: int | None = None,
     pause: float = 0.0,
     per_second: float | None = None,
+    retries: int = 0,
+    backoff: float = 1.0,
 ) -> DataFrame:
     """``(text, answer, error)`` for a table of distinct ``text``.
 
-    The scorer is made once per task.  A text it fails on gets the error, the
-    rest go on.  ``parallelism`` sets the number of tasks, by default one per core
+    The scorer is made once per task.  A text it fails on is tried ``retries`` times
+    more, after ``backoff`` seconds and twice as long each time; then it gets the error,
+    and the rest go on.  ``parallelism`` sets the number of tasks, by default one per core
     or shuffle partition: adaptive execution would put many short texts into one
-    task, and a slow scorer would wait there.  ``pause`` waits after each call;
-    ``per_second`` is the most calls a second of all tasks together.
+    task, and a slow scorer would wait there.  ``pause`` waits after each call.
+
+    ``per_second`` is the most calls a second of all tasks together.  It is shared out
+    among the tasks that can run at a time, one for each core, however many tasks there
+    are: each leaves so much time from the start of a call to the next one's, also
+    after its last call, as its core's next task begins then.
     """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
     if parallelism is None:
-        spark = texts.sparkSession
-        cores = spark.sparkContext.defaultParallelism
-        parallelism = max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if per_second:
-        pause = max(pause, parallelism / per_second)
+        parallelism = max(cores, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    interval = min(parallelism, cores) / per_second if per_second else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
-        for batch in batches:
-            answers, errors = [], []
-            for text in batch["text"]:
+
+        def ask(text: str) -> tuple[str | None, str | None]:
+            error = None
+            for attempt in range(retries + 1):
+                if error is not None:
+                    time.sleep(backoff * 2 ** (attempt - 1))
+                start = time.monotonic()
                 answer = error = None
                 try:
                     answer = scorer(text)
                 except Exception as exc:  # noqa: BLE001 - any failure is this row's verdict
                     error = str(exc)
-                answers.append(answer)
-                errors.append(error)
-                if pause > 0:
-                    time.sleep(pause)
+                rest = max(pause, interval - (time.monotonic() - start))
+                if rest > 0:
+                    time.sleep(rest)
+                if error is None:
+                    break
+            return answer, error
+
+        for batch in batches:
+            told = [ask(text) for text in batch["text"]]
+            answers, errors = [a for a, _ in told], [e for _, e in told]
             yield pd.DataFrame({"text": batch["text"], "answer": answers, "error": errors})
 
     asked = texts.repartition(parallelism)
@@ -208,6 +229,54 @@ def score_texts(
 _SCORED = "_text string, _answer string, _error string"
 
 
+def answer_texts(
+    texts: DataFrame,
+    factory: Callable[[], Scorer],
+    path: str,
+    parallelism: int | None = None,
+    task_texts: int = TASK_TEXTS,
+    retry_failed: bool = False,
+    **options: float | None,
+) -> int:
+    """Append the answers to the distinct ``text`` that the table at ``path`` lacks; how many were asked for.
+
+    One job asks for all of them, a task for some ``task_texts``.  A task's answers are
+    in place as soon as it is finished, whatever becomes of the job; asked again, a
+    text gives one more row, of which readers take one.
+    """
+    spark = texts.sparkSession
+    digest = F.sha2("text", 256)
+    open_texts = texts.where("text is not null").distinct().withColumn("_text", digest)
+    if path_exists(spark, path):
+        known = spark.read.schema(_SCORED).parquet(path)
+        if retry_failed:
+            known = known.where("_error is null")
+        open_texts = open_texts.join(known.select("_text"), "_text", "left_anti")
+    # What is asked is fixed before the first call.
+    asked_path = scratch_dir(spark, "asked")
+    open_texts.select("text").write.parquet(asked_path)
+    asked = spark.read.schema("text string").parquet(asked_path)
+    many = asked.count()
+    if many:
+        cores = spark.sparkContext.defaultParallelism
+        tasks = parallelism or min(max(cores, -(-many // task_texts)), TASKS_LIMIT, many)
+        scored = score_texts(asked, factory, tasks, **options)
+        columns = [digest.alias("_text"), F.col("answer").alias("_answer"), F.col("error").alias("_error")]
+        # This committer moves files when a task ends, not when the job does.
+        at_task_end = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+        scored.select(columns).write.options(**at_task_end).mode("append").parquet(path)
+    remove(spark, asked_path)
+    return many
+
+
+def stored_texts(spark: SparkSession, path: str) -> DataFrame:
+    """One row ``(_text, _answer, _error)`` per text that the table at ``path`` answers; an answer counts before an error."""
+    rows = (spark.read.schema(_SCORED).parquet(path) if path_exists(spark, path)
+            else spark.createDataFrame([], _SCORED))
+    best = F.min(F.struct(F.col("_error").isNotNull().alias("late"), "_answer", "_error"))
+    return rows.groupBy("_text").agg(best.alias("_row")).select("_text", "_row._answer", "_row._error")
+
+
 def classify_scored(
     df: DataFrame,
     factory: Callable[[], Scorer],
@@ -217,48 +286,26 @@ def classify_scored(
     pause: float = 0.0,
     answers_path: str | None = None,
     per_second: float | None = None,
-    chunk_texts: int = 100_000,
+    task_texts: int = TASK_TEXTS,
     retry_failed: bool = False,
     hot_rows: int | None = None,
+    retries: int = 0,
+    backoff: float = 1.0,
 ) -> DataFrame:
     """Verdicts from a scorer, called once per distinct text of the kept rows.
 
     The answers are appended to ``answers_path`` (a fresh scratch folder by
-    default), about ``chunk_texts`` at a time, and joined by a digest of the text.
-    Texts that folder already answers are not asked about again, nor those on which
-    the call failed unless ``retry_failed``.  A stopped run loses its last chunk.
+    default), task by task, and joined by a digest of the text.  Texts that folder
+    already answers are not asked about again, nor those on which the call failed
+    unless ``retry_failed``.  A stopped run loses the tasks it was in.
     """
     spark = df.sparkSession
     path = answers_path or scratch_dir(spark, "answers")
-    digest = F.sha2("text", 256)
-    texts = df.where(F.col(keep_col)).select(F.col(text_col).alias("text")).distinct()
-    open_texts = texts.where("text is not null").withColumn("_text", digest)
-    if path_exists(spark, path):
-        known = spark.read.schema(_SCORED).parquet(path)
-        if retry_failed:
-            known = known.where("_error is null")
-        open_texts = open_texts.join(known.select("_text"), "_text", "left_anti")
-
-    # What is asked is fixed before the first call, in folders of a chunk each.
-    asked_path = scratch_dir(spark, "asked")
-    chunks = max(1, -(-open_texts.count() // chunk_texts))
-    chunk = F.pmod(F.xxhash64("text"), F.lit(chunks))
-    open_texts.select("text", chunk.alias("chunk")).write.partitionBy("chunk").parquet(asked_path)
-    for number in range(chunks):
-        part = f"{asked_path}/chunk={number}"
-        if path_exists(spark, part):
-            scored = score_texts(spark.read.schema("text string").parquet(part), factory,
-                                 parallelism, pause, per_second)
-            scored.select(digest.alias("_text"), F.col("answer").alias("_answer"),
-                          F.col("error").alias("_error")).write.mode("append").parquet(path)
-    remove(spark, asked_path)
-
-    stored = F.min(F.struct(F.col("_error").isNotNull().alias("late"), "_answer", "_error"))
-    answers = (spark.read.schema(_SCORED).parquet(path) if path_exists(spark, path)
-               else spark.createDataFrame([], _SCORED))
-    answers = answers.groupBy("_text").agg(stored.alias("_row")).select("_text", "_row._answer", "_row._error")
+    texts = df.where(F.col(keep_col)).select(F.col(text_col).alias("text"))
+    answer_texts(texts, factory, path, parallelism, task_texts, retry_failed,
+                 pause=pause, per_second=per_second, retries=retries, backoff=backoff)
     asked = df.withColumn("_text", F.when(F.col(keep_col), F.sha2(text_col, 256)))
-    joined = lookup_join(asked, answers, "_text", spread=SEQ, hot_rows=hot_rows)
+    joined = lookup_join(asked, stored_texts(spark, path), "_text", spread=SEQ, hot_rows=hot_rows)
     return with_verdict(joined, keep_col, "_answer", "_error").drop("_text", "_answer", "_error")
 
 
@@ -294,13 +341,33 @@ def cap_kept(
         if tie is None:
             raise ValueError(f"the cap falls among rows of position {last}: name a second key")
         shared = flagged.where(F.col(order) == last).select(F.col(tie).alias("tie"))
-        bound = shared.orderBy("tie").limit(among).agg(F.max("tie")).first()[0]
+        bound = _nth_smallest(shared, among)
         if bound is None or shared.where(F.col("tie").isNull() | (F.col("tie") <= bound)).count() != among:
             raise ValueError(f"{tie} does not tell the rows of position {last} apart")
         kept = (F.col(order) < last) | ((F.col(order) == last) & (F.col(tie) <= bound))
     return df.withColumn(keep_col, F.col(keep_col) & F.coalesce(kept, F.lit(False)))
 
 
+def _nth_smallest(ties: DataFrame, wanted: int) -> object:
+    """The ``wanted``-th smallest ``tie``, nulls first; no task or driver gets more than a range of them."""
+    if ties.where("tie is null").limit(wanted).count() == wanted:
+        return None
+    wanted -= ties.where("tie is null").count()
+    ties = ties.where("tie is not null")
+    while True:
+        ranges = ties.repartitionByRange("tie").groupBy(F.spark_partition_id().alias("range")).agg(
+            F.min("tie").alias("low"), F.max("tie").alias("high"), F.count(F.lit(1)).alias("rows"))
+        found = sorted(ranges.collect(), key=lambda r: r["range"])
+        for r in found:
+            if wanted <= r["rows"]:
+                break
+            wanted -= r["rows"]
+        if r["rows"] <= CAP_RANGES or r["low"] == r["high"] or len(found) == 1:
+            shared = ties.where(F.col("tie").between(r["low"], r["high"]))
+            return shared.orderBy("tie").limit(wanted).agg(F.max("tie")).first()[0]
+        ties = ties.where(F.col("tie").between(r["low"], r["high"]))
+
+
 def _last_position(flagged: DataFrame, wanted: int) -> tuple[int | None, int]:
     """The ``wanted``-th smallest position, or None if there are not as many.
 

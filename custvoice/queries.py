@@ -13,10 +13,11 @@ from custvoice.config import DEFAULT
 from custvoice.fixed_values import PRIORITIES, RAW_COLUMNS, TRUE_WORDS_SHORT
 from custvoice.functions import text as tx
 from custvoice.functions import values as vl
-from custvoice.operators import classify, dashboard, feed, features, kpis, prepare, tickets
-from custvoice.plans import enrichment, report
+from custvoice.operators import classify, cube, dashboard, feed, features, kpis, prepare, tickets
+from custvoice.plans import enrichment, incremental, report
 from custvoice.session import scratch_dir
 from custvoice.sources import columns, posts, tables
+from custvoice.streaming import enrich_stream
 
 LEX = DEFAULT.lexicon
 SEQ = schema.SEQ
@@ -83,6 +84,15 @@ def enriched_stage(spark: SparkSession, sf: str) -> DataFrame:
     return stages(spark, sf)[1]
 
 
+def cube_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """The dashboard's counts, made once per session: the one scan of posts the panels cost."""
+    key = _key(spark, sf, "cube")
+    if key not in _STAGES:
+        counts = cube.build_cube(enriched_stage(spark, sf))
+        _STAGES[key] = tables.write_stage(counts, scratch_dir(spark, "cube"))
+    return spark.read.schema(cube.CUBE).parquet(_STAGES[key])
+
+
 # --- sources ------------------------------------------------------------------
 
 def scan_raw(spark, sf):
@@ -279,6 +289,18 @@ def classify_resumed(spark, sf):
     return verdicts.select(SEQ, "keep_for_analysis", *classify.VERDICT_COLUMNS)
 
 
+def classify_stream_scored(spark, sf):
+    """The scorer on a stream of the prepared posts' source, in micro-batches of two files."""
+    raw_posts(spark, sf)
+    root = scratch_dir(spark, "scored-stream")
+    raw = enrich_stream.read_raw_stream(spark, _STAGES[_key(spark, sf, "raw")], files_per_batch=2)
+    running = enrich_stream.write_scored_stream(
+        raw, _stand_in, f"{root}/answers", f"{root}/posts", f"{root}/checkpoint", once=True)
+    running.awaitTermination()
+    scored = enrich_stream.read_scored_stream(spark, f"{root}/posts")
+    return scored.select(SEQ, "keep_for_analysis", *classify.VERDICT_COLUMNS)
+
+
 def limit_scored(spark, sf):
     prepared = stages(spark, sf)[0]
     return classify.cap_kept(prepared, 100).select(SEQ, "keep_for_analysis")
@@ -325,6 +347,54 @@ def enriched_posts(spark, sf):
     )
 
 
+def pipeline_from_csv(spark, sf):
+    """The job as it is run: from CSV files, with a cap on the posts to classify, stored by day."""
+    root = scratch_dir(spark, "job")
+    ordered = raw_posts(spark, sf).orderBy(SEQ).drop(SEQ)
+    raw = tables.write_stage(ordered, f"{root}/raw", "csv")
+    stored = answers(spark, sf)
+    job = enrichment.run_enrichment(
+        spark, raw, f"{root}/prepared", f"{root}/enriched",
+        lambda df: classify.classify_stored(df, stored), limit=300, by_day=True)
+    return job.posts.select(
+        SEQ, "id", "keep_for_analysis", F.col(schema.DAY).cast("string").alias("day"),
+        *classify.VERDICT_COLUMNS, *FINAL_COLUMNS)
+
+
+def _grown(spark, sf):
+    """A version of the conversations' posts, then one with the documents' posts added; once per session."""
+    key = _key(spark, sf, "grown")
+    root = _STAGES.get(key) or scratch_dir(spark, "grown")
+    stored = answers(spark, sf)
+
+    def run():
+        return incremental.enrich_new(
+            spark, f"{root}/raw", f"{root}/store", lambda df: classify.classify_stored(df, stored),
+            classifier_version="stored 1", fmt="parquet")
+
+    if key not in _STAGES:
+        place = F.col(SEQ) >= 1_000_000_000_000
+        for late in (False, True):
+            part = raw_posts(spark, sf).where(place == late).orderBy(SEQ).drop(SEQ)
+            part.write.mode("append").parquet(f"{root}/raw")
+            run()
+        _STAGES[key] = root
+    return run()
+
+
+def enriched_incremental(spark, sf):
+    """All posts, of which the second run enriched the added files alone."""
+    snapshot = _grown(spark, sf)
+    return snapshot.posts.select(
+        SEQ, "id", "keep_for_analysis", F.lit(len(snapshot.version.segments)).alias("segments"),
+        *classify.VERDICT_COLUMNS, *FINAL_COLUMNS)
+
+
+def cube_incremental(spark, sf):
+    """Key figures of both segments, from the counts each brought along."""
+    return cube.manager_kpis(cube.filter_posts(_grown(spark, sf).cube))
+
+
 # --- key figures and report ---------------------------------------------------
 
 def _enriched(operator: Callable[[DataFrame], DataFrame]):
@@ -382,16 +452,28 @@ def chosen_posts(spark, sf):
     )
 
 
-def chosen_complaints(spark, sf):
-    return dashboard.filter_complaints(chosen_posts(spark, sf), CHOSEN_TYPES, CHOSEN_PRIORITIES)
-
-
 def _shown(operator: Callable[[DataFrame], DataFrame]):
     def query(spark, sf):
         return operator(shown_posts(spark, sf))
     return query
 
 
+def shown_counts(spark, sf):
+    return cube.filter_posts(cube_stage(spark, sf))
+
+
+def chosen_counts(spark, sf):
+    return cube.filter_posts(
+        cube_stage(spark, sf), **PERIOD, intents=CHOSEN_INTENTS, sentiments=CHOSEN_SENTIMENTS
+    )
+
+
+def _counted(operator: Callable[[DataFrame], DataFrame]):
+    def query(spark, sf):
+        return operator(shown_counts(spark, sf))
+    return query
+
+
 def manager_filtered(spark, sf):
     return chosen_posts(spark, sf).select(
         SEQ, shown_time(F.col("created_ts")).alias("created"), "final_intent", "final_sentiment"
@@ -399,32 +481,33 @@ def manager_filtered(spark, sf):
 
 
 def manager_kpis_filtered(spark, sf):
-    return dashboard.manager_kpis(chosen_posts(spark, sf), CHOSEN_TYPES, CHOSEN_PRIORITIES)
+    return cube.manager_kpis(chosen_counts(spark, sf), CHOSEN_TYPES, CHOSEN_PRIORITIES)
 
 
 def manager_by_type_filtered(spark, sf):
-    return dashboard.by_type(chosen_complaints(spark, sf))
+    shown = cube.filter_complaints(chosen_counts(spark, sf), CHOSEN_TYPES, CHOSEN_PRIORITIES)
+    return cube.by_type(shown)
 
 
 def _complaints(operator: Callable[[DataFrame], DataFrame]):
     def query(spark, sf):
-        return operator(dashboard.filter_complaints(shown_posts(spark, sf)))
+        return operator(cube.filter_complaints(shown_counts(spark, sf)))
     return query
 
 
 def date_bounds(spark, sf):
-    bounds = dashboard.date_bounds(dashboard_base(spark, sf))
+    bounds = cube.date_bounds(cube_stage(spark, sf))
     return bounds.select(
         *[F.col(c).cast("string").alias(c) for c in ("first_day", "last_day")], "dated_posts"
     )
 
 
 def daily_volume(spark, sf):
-    return dashboard.daily_volume(shown_posts(spark, sf)).select(shown_day(), "n")
+    return cube.daily_volume(shown_counts(spark, sf)).select(shown_day(), "n")
 
 
 def daily_negative(spark, sf):
-    return dashboard.daily_negative(shown_posts(spark, sf)).select(shown_day(), "pct_negative")
+    return cube.daily_negative(shown_counts(spark, sf)).select(shown_day(), "pct_negative")
 
 
 def daily_error_share(spark, sf):
@@ -448,6 +531,12 @@ def ticket_queue(spark, sf):
     return queue.withColumn("priority_score", F.col("priority_score").cast("bigint"))
 
 
+def ticket_queue_page(spark, sf):
+    """The second page of the queue, as its order has it."""
+    page = tickets.ticket_page(open_tickets(spark, sf), number=2, size=20)
+    return page.select("rank", SEQ, "ticket_id", "created_at", "final_priority", "screen_name")
+
+
 def ticket_queue_filtered(spark, sf):
     chosen = tickets.filter_tickets(
         open_tickets(spark, sf), types=CHOSEN_TYPES, comments=False, search="Free"
@@ -592,11 +681,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "classify_stored": classify_stored,
         "classify_scored": classify_scored,
         "classify_resumed": classify_resumed,
+        "classify_stream_scored": classify_stream_scored,
         "limit_scored": limit_scored,
         "limit_scored_ties": limit_scored_ties,
         "reconcile": reconcile_verdicts,
         "bump_priority": bump_priority,
         "enriched_posts": enriched_posts,
+        "pipeline_from_csv": pipeline_from_csv,
+        "enriched_incremental": enriched_incremental,
         "kpi_global": _enriched(kpis.global_counts),
         "kpi_by_intent": _enriched(kpis.by_intent),
         "kpi_complaints_by_type": _enriched(kpis.complaints_by_type),
@@ -608,21 +700,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_metrics_partial": report_metrics_partial,
         "report_lines": report_lines,
         "manager_filtered": manager_filtered,
-        "manager_kpis": _shown(dashboard.manager_kpis),
+        "manager_kpis": _counted(cube.manager_kpis),
         "manager_kpis_filtered": manager_kpis_filtered,
-        "manager_by_intent": _shown(dashboard.by_intent),
-        "manager_by_type": _complaints(dashboard.by_type),
+        "manager_by_intent": _counted(cube.by_intent),
+        "manager_by_type": _complaints(cube.by_type),
         "manager_by_type_filtered": manager_by_type_filtered,
-        "manager_by_priority": _complaints(dashboard.by_priority),
-        "manager_matrix": _complaints(dashboard.type_priority_matrix),
+        "manager_by_priority": _complaints(cube.by_priority),
+        "manager_matrix": _complaints(cube.type_priority_matrix),
         "suggestions_head": _shown(dashboard.suggestions),
         "positive_head": _shown(dashboard.positive_feedback),
         "date_bounds": date_bounds,
         "daily_volume": daily_volume,
         "daily_negative": daily_negative,
         "daily_error_share": daily_error_share,
-        "facets": lambda spark, sf: dashboard.facets(dashboard_base(spark, sf)),
+        "facets": lambda spark, sf: cube.facets(cube_stage(spark, sf)),
+        "facets_manager": lambda spark, sf: dashboard.manager_facets(cube_stage(spark, sf)),
+        "facets_agent": lambda spark, sf: tickets.agent_facets(open_tickets(spark, sf)),
+        "cube_incremental": cube_incremental,
         "ticket_queue": ticket_queue,
+        "ticket_queue_page": ticket_queue_page,
         "ticket_queue_filtered": ticket_queue_filtered,
         "ticket_queue_flags": ticket_queue_flags,
         "ticket_label": ticket_label,

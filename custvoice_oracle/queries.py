@@ -322,6 +322,19 @@ def pivot(source: str, row: str, column: str, domain, where: str = "TRUE") -> st
     )
 
 
+# The chain with a cap on the posts to classify, in file order.
+CAPPED = """
+capped AS (
+  SELECT * REPLACE (keep_for_analysis AND row_number() OVER (PARTITION BY keep_for_analysis ORDER BY _seq) <= 300
+                    AS keep_for_analysis) FROM prepared)"""
+
+
+def on_capped(select: str) -> str:
+    lexical = LEXICAL.replace("FROM prepared)", "FROM capped)")
+    return "WITH " + ",\n".join([POSTS, PREPARED, CAPPED, lexical, ANSWERS, VERDICTS, ENRICHED]) + "\n" + select
+
+
+FILE_ORDER = "row_number() OVER (ORDER BY _seq) - 1 AS _seq"
 COMPLAINT = "final_intent = 'complaint'"
 TYPE_DOMAIN = list(dict.fromkeys(fixed.COMPLAINT_TYPES + tuple(fixed.TOPICS)))
 URGENCY_ORDER = ["critical", "high", "medium", "low", "none"]
@@ -540,6 +553,16 @@ SELECT _seq, keep_for_analysis,
        CASE WHEN NOT keep_for_analysis THEN ''
             WHEN contains(text_clean, 'nuit') THEN {lit(fixed.FAILED_CALL)} || 'service indisponible'
             ELSE length(text_clean) || ' signes' END AS llm_explanation
+FROM prepared"""),
+        "classify_stream_scored": on("prepared", f"""
+SELECT _seq, keep_for_analysis,
+       CASE WHEN NOT keep_for_analysis THEN 'unknown' WHEN contains(text_clean, 'nuit') THEN 'other'
+            WHEN contains(text_clean, '?') THEN 'question'
+            WHEN contains(lower(text_clean), 'panne') THEN 'complaint' ELSE 'other' END AS intent,
+       'none' AS complaint_type, 'neutral' AS sentiment, false AS sarcasm, 'none' AS priority,
+       CASE WHEN NOT keep_for_analysis THEN ''
+            WHEN contains(text_clean, 'nuit') THEN {lit(fixed.FAILED_CALL)} || 'service indisponible'
+            ELSE length(text_clean) || ' signes' END AS llm_explanation
 FROM prepared"""),
         "limit_scored": on("prepared", """
 SELECT _seq, keep_for_analysis AND
@@ -557,6 +580,12 @@ FROM (SELECT event_id, ([{", ".join(lit(p) for p in _BUMPED)}])[event_id % 6 + 1
         "enriched_posts": on("enriched", "SELECT _seq, id, created_at, screen_name, text_clean, "
                              "author_type, tweet_type, is_about_brand, keep_for_analysis, "
                              f"{FEATURES}, {VERDICT}, {FINAL} FROM enriched"),
+        "pipeline_from_csv": on_capped(
+            f"SELECT {FILE_ORDER}, id, keep_for_analysis, CAST(CAST({parsed_time('created_at')} "
+            f"AS DATE) AS VARCHAR) AS day, {VERDICT}, {FINAL} FROM enriched"),
+        "enriched_incremental": on("enriched", f"SELECT {FILE_ORDER}, id, keep_for_analysis, "
+                                   f"2 AS segments, {VERDICT}, {FINAL} FROM enriched"),
+        "cube_incremental": on("dashboard", manager_kpis("shown", "TRUE")),
         "kpi_global": on("enriched", "SELECT count(*) AS total_posts, CAST(NULL AS BIGINT) AS "
                          f"kept_for_analysis, count(*) FILTER ({COMPLAINT}) AS complaints_final "
                          "FROM enriched"),
@@ -617,6 +646,30 @@ FROM (SELECT 'intent' AS facet, final_intent AS value FROM enriched
       UNION ALL SELECT 'priority', final_priority FROM enriched
       UNION ALL SELECT 'sentiment', final_sentiment FROM enriched)
 WHERE value IS NOT NULL"""),
+        "facets_manager": on("enriched", """
+SELECT DISTINCT facet, value,
+       CASE WHEN facet = 'priority' THEN CASE value WHEN 'critical' THEN 1 WHEN 'high' THEN 2
+            WHEN 'medium' THEN 3 WHEN 'low' THEN 4 WHEN 'none' THEN 5 ELSE 6 END
+            ELSE 0 END::BIGINT AS place
+FROM (SELECT 'intent' AS facet, final_intent AS value FROM enriched
+      UNION ALL SELECT 'complaint_type', final_complaint_type FROM enriched
+      UNION ALL SELECT 'priority', final_priority FROM enriched
+      UNION ALL SELECT 'sentiment', final_sentiment FROM enriched)
+WHERE value IS NOT NULL AND (facet <> 'priority' OR value IN ('critical', 'high', 'medium', 'low', 'none')
+      OR NOT EXISTS (FROM enriched WHERE final_priority IN ('critical', 'high', 'medium', 'low', 'none')))"""),
+        "facets_agent": on("enriched", """
+SELECT facet, value, row_number() OVER (PARTITION BY facet ORDER BY known, first) AS place,
+       facet <> 'priority' OR value <> 'none' AS chosen
+FROM (SELECT facet, value, min(_seq) AS first, CASE WHEN facet <> 'priority' THEN 6 ELSE CASE value
+             WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4
+             WHEN 'none' THEN 5 ELSE 6 END END AS known
+      FROM (SELECT 'priority' AS facet, final_priority AS value, _seq FROM tickets
+            UNION ALL SELECT 'complaint_type', final_complaint_type, _seq FROM tickets)
+      WHERE value IS NOT NULL GROUP BY ALL)""", TICKETS),
+        "ticket_queue_page": on("enriched", f"""
+SELECT * FROM (SELECT row_number() OVER (ORDER BY {rank('final_priority')} DESC, created_at ASC NULLS LAST, ticket_id, _seq) AS rank,
+                      _seq, ticket_id, created_at, final_priority, screen_name FROM tickets)
+WHERE rank BETWEEN 21 AND 40""", TICKETS),
         "ticket_queue": on("enriched", f"SELECT {TICKET_COLUMNS}, "
                            f"CAST({rank('final_priority')} AS BIGINT) AS priority_score "
                            "FROM tickets", TICKETS),

@@ -179,8 +179,8 @@ def test_answers_are_kept_between_runs(spark, tmp_path):
 
     part = run(df.where("text_clean < 'free 2'"))
     assert len(list(calls.glob("call-*"))) == 2
-    # What is missing is asked about, in several chunks.
-    whole = run(df, chunk_texts=1)
+    # What is missing is asked about.
+    whole = run(df, task_texts=1)
     assert len(list(calls.glob("call-*"))) == 5
     assert part.items() <= whole.items()
     # Again, and for a part of the rows: no call, nothing lost.
@@ -223,3 +223,96 @@ def test_prompt_holds_the_text_and_the_domains(spark):
     assert 'free {x} "y"' in first and second
     for word in (*fixed.INTENTS, *fixed.COMPLAINT_TYPES, *fixed.SENTIMENTS, *fixed.PRIORITIES):
         assert word in first
+
+
+def test_a_failing_call_is_tried_again(spark, tmp_path):
+    """The scorer fails twice on each text: two retries get the answer, one does not."""
+    def factory():
+        def score(text):
+            seen = tmp_path / f"{text}-{len(list(tmp_path.glob(f'{text}-*')))}"
+            seen.touch()
+            if len(list(tmp_path.glob(f"{text}-*"))) < 3:
+                raise RuntimeError("busy")
+            return text
+        return score
+
+    texts = spark.createDataFrame([("a",), ("b",)], "text string")
+    first = classify.score_texts(texts, factory, 2, retries=1, backoff=0.01).collect()
+    assert {(r.answer, r.error) for r in first} == {(None, "busy")}
+    second = classify.score_texts(texts, factory, 2, retries=2, backoff=0.01).collect()
+    assert {(r.text, r.answer, r.error) for r in second} == {("a", "a", None), ("b", "b", None)}
+
+
+def test_more_tasks_than_cores_share_one_rate(spark):
+    import time
+    texts = spark.createDataFrame([(str(i),) for i in range(32)], "text string")
+    start = time.perf_counter()
+    assert classify.score_texts(texts, lambda: str.upper, 32, per_second=32).count() == 32
+    # 32 calls at 32 a second; dealt by task instead of core, they would have taken 4 s.
+    assert 0.9 <= time.perf_counter() - start < 3.5
+
+
+def test_answers_of_finished_tasks_outlive_the_job(spark, tmp_path):
+    """One task dies after the others have ended: their answers are kept, and a file belongs to a task."""
+    import time
+
+    def factory():
+        def score(text):
+            if text == "0":
+                time.sleep(4)
+                raise SystemExit
+            return text
+        return score
+
+    texts = spark.createDataFrame([(str(i),) for i in range(8)], "text string")
+    path = str(tmp_path / "answers")
+    with pytest.raises(Exception):
+        classify.answer_texts(texts, factory, path, parallelism=8)
+    known = classify.stored_texts(spark, path).count()
+    assert known >= 5
+    assert classify.answer_texts(texts, lambda: str.upper, path, parallelism=8) == 8 - known
+    assert classify.stored_texts(spark, path).count() == 8
+    assert len(list((tmp_path / "answers").glob("part-*"))) <= 16
+
+
+def test_scored_stream(spark, tmp_path):
+    """Each text is asked about once; a micro-batch that runs again calls nothing and writes nothing twice."""
+    from custvoice.streaming import enrich_stream
+    columns = "_seq long, id string, created_at string, full_text string, screen_name string"
+    rows = [(i, str(i), None, f"free {i % 6}" if i % 4 else "rien", "client") for i in range(24)]
+    source, calls = str(tmp_path / "in"), tmp_path / "calls"
+    calls.mkdir()
+    spark.createDataFrame(rows[:12], columns).repartition(3).write.parquet(source)
+
+    def run():
+        raw = enrich_stream.read_raw_stream(spark, source, files_per_batch=1)
+        query = enrich_stream.write_scored_stream(
+            raw, scorer_factory(str(calls)), str(tmp_path / "answers"), str(tmp_path / "out"),
+            str(tmp_path / "check"), once=True, parallelism=2)
+        assert query.awaitTermination(300)
+        return enrich_stream.read_scored_stream(spark, str(tmp_path / "out"))
+
+    first = run()
+    assert first.count() == 12 and {r["batch"] for r in first.collect()} == {0, 1, 2}
+    asked = {r[3] for r in rows[:12] if r[3] != "rien"}
+    assert len(list(calls.glob("call-*"))) == len(asked)
+    spark.createDataFrame(rows[12:], columns).coalesce(1).write.mode("append").parquet(source)
+    second = run()
+    every = len({r[3] for r in rows if r[3] != "rien"})
+    assert second.count() == 24 and len(list(calls.glob("call-*"))) == every
+    # The last micro-batch again, as after a stop between its write and its commit.
+    before = sorted(map(str, second.collect()))
+    for f in (tmp_path / "check" / "commits").glob("*3*"):
+        f.unlink()
+    again = run()
+    assert len(list(calls.glob("call-*"))) == every and again.count() == 24
+    assert sorted(map(str, again.collect())) == before
+
+
+@pytest.mark.parametrize("wanted", [1, 5, 40, 79, 80, 100])
+def test_nth_smallest(spark, monkeypatch, wanted):
+    monkeypatch.setattr(classify, "CAP_RANGES", 7)
+    values = [None] * 3 + [f"{i * 7919 % 97:03}" for i in range(97)]
+    df = spark.createDataFrame([(v,) for v in values], "tie string").repartition(5)
+    expected = sorted(values, key=lambda v: (v is not None, v))[wanted - 1]
+    assert classify._nth_smallest(df, wanted) == expected
