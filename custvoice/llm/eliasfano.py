@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 
 from custvoice.llm.store import Scratch, only
 from custvoice.llm.tokens import encoder
+from custvoice.llm.words import runs
 
 MAGIC = b"EFIDS001"
 SAMPLE = 256
 SHARD = 32_000_000  # ids in a file, about; a longer document is not cut
-BATCH = 64
+BATCH = 1 << 22  # bytes of texts encoded together
+READ = 10_000  # documents looked up together
 
 
 class EliasFano:
@@ -95,8 +97,27 @@ class EliasFano:
             low |= (int(self.low[p >> 3]) >> (p & 7) & 1) << k
         return (bit - i << self.width) | low
 
+    def select_many(self, i: int, j: int) -> np.ndarray:
+        """The ``i``-th to the ``j``-th value, without this last: one look at the stretch of bits between their samples."""
+        if not 0 <= i <= j <= self.count:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        block, beyond = i // SAMPLE, (j - 1) // SAMPLE + 1
+        first = int(self.samples[block])
+        stop = int(self.samples[beyond]) if beyond < len(self.samples) else 8 * len(self.high)
+        window = np.unpackbits(self.high[first // 8 : -(-stop // 8)], bitorder="little")
+        ones = np.flatnonzero(window[first % 8 :])[i - block * SAMPLE : j - block * SAMPLE] + first
+        found = (ones - np.arange(i, j)) << self.width
+        if self.width:
+            from_byte = i * self.width // 8
+            bits = np.unpackbits(self.low[from_byte : -(-j * self.width // 8)], bitorder="little")
+            bits = bits[i * self.width - 8 * from_byte :][: (j - i) * self.width].reshape(j - i, self.width)
+            found |= (bits.astype(np.int64) << np.arange(self.width)).sum(axis=1)
+        return found
+
     def values(self) -> np.ndarray:
-        """All values at once."""
+        """All values at once, for tests."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count]
         found = (ones - np.arange(self.count)).astype(np.uint64) << np.uint64(self.width)
         if self.width:
@@ -116,8 +137,11 @@ class Shard:
         self.names, at = EliasFano.from_buffer(data, at)
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.without + (self.names.values() + self.base).tolist()
+    def doc_ids(self, i: int, j: int) -> pa.Array:
+        """The identifiers of the ``i``-th to the ``j``-th document, without this last; those that have none come first."""
+        nulls = min(max(self.without - i, 0), j - i)
+        known = self.names.select_many(i + nulls - self.without, j - self.without) if j > self.without else np.zeros(0, np.int64)
+        return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(known + self.base, pa.int64())])
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the ``i``-th document, found by two selects."""
@@ -172,9 +196,8 @@ def _write(folder: str, vocabulary: str, end_id: int) -> Callable:
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
-                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode_all(some["text"].to_pylist())):
+            for some, _, _ in runs(batch, size=BATCH):
+                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode_all(some["text"])):
                     names.append(doc)
                     parts.append(np.concatenate((ids.astype(kind, copy=False), end)))
                     held += len(parts[-1])
@@ -189,12 +212,12 @@ def _write(folder: str, vocabulary: str, end_id: int) -> Callable:
 def write_ids(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
     """Write the files; a row for each: its place in the order, its path and its counts.
 
-    Documents are parted by ranges of id, with a hash of the text as second key, so
-    even an id that many rows share is split.
+    Documents are parted by ranges of id, with the length of the text as second key, so
+    even an id that many rows share is split; rows alike in both follow a hash of the text.
     """
     plain = only(docs, doc_id="bigint", text="string")
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    ordered = plain.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = [F.col("doc_id").asc_nulls_first(), F.octet_length("text").asc_nulls_first()]
+    ordered = plain.repartitionByRange(*keys).sortWithinPartitions(*keys, F.xxhash64("text"))
     return ordered.mapInArrow(_write(folder, vocabulary, end_id), "part bigint, number bigint, file string, n_docs bigint, n_ids bigint")
 
 
@@ -202,12 +225,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch["file"].to_pylist(), batch["base"].to_pylist()):
             shard = open_shard(path)
-            bounds, names = shard.bounds.values(), shard.doc_ids()
-            for at in range(0, shard.count, 10_000):
-                stop = min(at + 10_000, shard.count)
-                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[at:stop], bounds[at + 1 : stop + 1])]
+            for at in range(0, shard.count, READ):
+                stop = min(at + READ, shard.count)
+                bounds = shard.bounds.select_many(at, stop + 1)
+                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[at:stop], pa.int64()), pa.array(bounds[at:stop] + base), pa.array(np.diff(bounds[at : stop + 1])), pa.array(crc, pa.int64())],
+                    [shard.doc_ids(at, stop), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
@@ -219,7 +242,9 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return placed.repartition(F.col("file")).select("file", "base").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A number keeps adaptive execution from putting the files, which are few rows, into one task.
+    files = max(1, manifest.count())
+    return placed.repartition(files, "file").select("file", "base").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:

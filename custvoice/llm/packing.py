@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 
 from custvoice.llm.store import Scratch, only
 from custvoice.llm.tokens import encoder
+from custvoice.llm.words import runs
 
 WINDOW = 2048
 GROUP = 1500
-BATCH = 64  # texts encoded together
+BATCH = 1 << 22  # bytes of texts encoded together
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, row bigint"
 
@@ -40,10 +41,9 @@ def _pieces(path: str, end_id: int, window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, enc = TaskContext.get().partitionId(), 0, encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
+            for some, _, _ in runs(batch, size=BATCH):
                 rows = []
-                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode_all(some["text"].to_pylist())):
+                for doc, ids in zip(some["doc_id"].to_pylist(), enc.encode_all(some["text"])):
                     whole = np.append(ids.astype("<u4"), np.uint32(end_id)).astype("<u4")
                     full = len(whole) // window * window
                     cuts = [*range(0, full, window), *range(full, len(whole), share), len(whole)]
