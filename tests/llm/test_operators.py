@@ -253,6 +253,22 @@ def test_encoder():
         assert fast.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_of_batches(monkeypatch):
+    """Many texts at once, with a memo that is full again and again, and slices of a few texts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MEMO", 300)
+    monkeypatch.setattr(tokens, "_SLICE", 500)
+    monkeypatch.setattr(tokens, "_GATHER", 64)
+    plain, fast = Tokenizer.from_file(tokens.vocabulary()), tokens.Encoder(tokens.vocabulary())
+    r = random.Random(2)
+    texts = [r.choice([None, "", prose(r.randint(1, 60), 900 + k), " " + prose(5, k), prose(4, k) + "  " + prose(3, k), "x" * 300 + " y", "é\u2003a b", "z" * 700]) for k in range(400)]
+    for _ in range(3):
+        r.shuffle(texts)
+        for text, ids in zip(texts, fast.encode_all(texts)):
+            assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
 def ids_of(text, end):
     from tokenizers import Tokenizer
 
@@ -271,6 +287,9 @@ def test_elias_fano(docs, nothing):
     for values in ([], [0], [0, 0, 5, 5, 1000], list(range(0, 9000, 9)), [10**9, 10**9 + 1]):
         whole = eliasfano.EliasFano.from_buffer(memoryview(eliasfano.EliasFano.of(np.array(values, np.int64)).to_bytes()), 0)[0]
         assert whole.values().tolist() == values == [whole.select(i) for i in range(len(values))]
+        for i in range(0, len(values) + 1, 97):
+            for j in {i, min(i + 1, len(values)), min(i + 300, len(values)), len(values)}:
+                assert whole.select_many(i, j).tolist() == values[i:j]
 
 
 def test_packing(docs, nothing):
