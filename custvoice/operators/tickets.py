@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -199,15 +200,27 @@ def record_status(changes: DataFrame, path: str) -> str:
         F.monotonically_increasing_id().alias("event_id"),
         F.when(known, F.col("status")).otherwise(refused).alias("status"),
         F.coalesce(F.col("note"), F.lit("")).alias("note"),
+        # Two appends may have one time and the same numbers.
+        F.lit(uuid.uuid4().hex).alias("batch"),
     )
     entries.write.mode("append").parquet(path)
     return path
 
 
+ENTRY = "ticket_id string, ts timestamp, event_id bigint, status string, note string, batch string"
+
+
+def last_entries(log: DataFrame) -> DataFrame:
+    """The last entry of each ticket, whole: by time, then by append and place in it."""
+    order = [n for n in ("ts", "batch", "event_id") if n in log.columns]
+    rest = [c for c in log.columns if c not in order and c != "ticket_id"]
+    last = F.max(F.struct(*order, *rest)).alias("_last")
+    return log.groupBy("ticket_id").agg(last).select("ticket_id", *[f"_last.{c}" for c in (*order, *rest)])
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """The last status and note per ticket from an append-only log."""
-    last = F.max_by(F.struct("status", "note"), F.struct("ts", "event_id")).alias("_last")
-    return log.groupBy("ticket_id").agg(last).select("ticket_id", "_last.status", "_last.note")
+    return last_entries(log).select("ticket_id", "status", "note")
 
 
 def with_status(df: DataFrame, log: DataFrame, hot_rows: int | None = None) -> DataFrame:

@@ -14,9 +14,10 @@ from custvoice.fixed_values import PRIORITIES, RAW_COLUMNS, TRUE_WORDS_SHORT
 from custvoice.functions import text as tx
 from custvoice.functions import values as vl
 from custvoice.operators import classify, cube, dashboard, feed, features, kpis, prepare, tickets
-from custvoice.plans import enrichment, incremental, report
+from custvoice.plans import enrichment, feed_stage, incremental, report
 from custvoice.session import scratch_dir
-from custvoice.sources import columns, posts, tables
+from custvoice.sources import columns, posts, split_csv, tables
+from custvoice.sources.status_log import StatusLog
 from custvoice.streaming import enrich_stream
 
 LEX = DEFAULT.lexicon
@@ -102,6 +103,14 @@ def scan_raw(spark, sf):
     return tables.read_raw(spark, path, indexed=True)
 
 
+def scan_raw_split(spark, sf):
+    """The same files, whose texts hold line breaks, read by several tasks each."""
+    path = scratch_dir(spark, "raw-csv")
+    ordered = raw_posts(spark, sf).orderBy(SEQ).drop(SEQ)
+    tables.write_stage(ordered, path, "csv")
+    return tables.null_tokens(split_csv.read_csv_split(spark, path, SEQ))
+
+
 def scan_enriched(spark, sf):
     path = scratch_dir(spark, "enriched-csv")
     tables.write_stage(enriched_stage(spark, sf), path, "csv")
@@ -570,6 +579,18 @@ def ticket_status(spark, sf):
     return overlaid.select(SEQ, "ticket_id", "status", "note")
 
 
+def ticket_status_compacted(spark, sf):
+    """Status from a snapshot of the log's first half and the entries after it."""
+    log = StatusLog(spark, scratch_dir(spark, "status"))
+    entries = posts.ticket_log(spark, sf)
+    early = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    log.append(entries.where(early))
+    log.compact()
+    log.append(entries.where(~early))
+    overlaid = tickets.with_status(open_tickets(spark, sf), log.state())
+    return overlaid.select(SEQ, "ticket_id", "status", "note")
+
+
 # --- feed ---------------------------------------------------------------------
 
 def feed_posts_base(spark, sf):
@@ -647,9 +668,75 @@ def feed_thread_of_post(spark, sf):
     return feed.thread(feed_posts_base(spark, sf), "0").select(SEQ, "id", "screen_name")
 
 
+def stored_feed(spark, sf) -> feed_stage.Feed:
+    """The feed's stage, written once per session."""
+    key = _key(spark, sf, "feed")
+    if key not in _STAGES:
+        path = scratch_dir(spark, "feed")
+        feed_stage.write_feed(raw_posts(spark, sf), path, buckets=4)
+        _STAGES[key] = path
+    return feed_stage.Feed.open(spark, _STAGES[key])
+
+
+def feed_timeline_stored(spark, sf):
+    shown = stored_feed(spark, sf).posts
+    return shown.select(
+        "place", "kind_place", SEQ, "id", "feed_type", "ref_id",
+        F.coalesce("orig_found", F.lit(False)).alias("found"), "orig_screen_name",
+        "orig_created_at", "orig_display_text", *LABELS, "comments",
+    )
+
+
+def _page(shown):
+    return shown.select(
+        "place", SEQ, "id", "feed_type", "screen_name", "display_text", "orig_screen_name",
+        *LABELS, "comments",
+    )
+
+
+def feed_page_deep(spark, sf):
+    """The last page of the feed."""
+    stored = stored_feed(spark, sf)
+    return _page(stored.page(stored.page_count(20).first()["pages"], 20))
+
+
+def feed_page_of_kind(spark, sf):
+    """The second page of the retweets."""
+    return stored_feed(spark, sf).page(2, 10, "retweet").select("kind_place", SEQ, "id", "comments")
+
+
+def feed_page_after(spark, sf):
+    """The page that follows the fortieth post, found from that post alone."""
+    shown = feed.posts_of(feed_posts_base(spark, sf))
+    last = feed.page_of(shown, 2, 20).orderBy(F.desc("place")).first()
+    page = feed.page_after(shown, last["created_ts"], last["id"], last[SEQ], 20)
+    return page.select("place", SEQ, "id", "feed_type", "screen_name")
+
+
+def feed_search_indexed(spark, sf):
+    found = stored_feed(spark, sf).search(" Fibre ", "original")
+    return found.select(SEQ, "id", "screen_name", "feed_type")
+
+
+def feed_search_blocks(spark, sf):
+    """A rare needle: what is found, and how few of the blocks are opened."""
+    stored = stored_feed(spark, sf)
+    blocks = stored.blocks("SRC3")
+    found = stored.search("SRC3").where(F.col("block").isin(blocks))
+    return found.select(SEQ, "id", "screen_name", "feed_type")
+
+
+def feed_thread_stored(spark, sf):
+    return stored_feed(spark, sf).threads().select(
+        "post_id", SEQ, "screen_name", shown_time(F.col("created_ts")).alias("created"),
+        "display_text",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "scan_raw": scan_raw,
+        "scan_raw_split": scan_raw_split,
         "scan_enriched": scan_enriched,
         "pad_columns": pad_columns,
         "surrogate_key": surrogate_key,
@@ -724,6 +811,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ticket_label": ticket_label,
         "ticket_detail": ticket_detail,
         "ticket_status": ticket_status,
+        "ticket_status_compacted": ticket_status_compacted,
         "feed_posts": feed_posts,
         "feed_replies": feed_replies,
         "feed_search": feed_search,
@@ -735,4 +823,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "feed_reply_counts": feed_reply_counts,
         "feed_thread": feed_thread,
         "feed_thread_of_post": feed_thread_of_post,
+        "feed_timeline_stored": feed_timeline_stored,
+        "feed_page_deep": feed_page_deep,
+        "feed_page_of_kind": feed_page_of_kind,
+        "feed_page_after": feed_page_after,
+        "feed_search_indexed": feed_search_indexed,
+        "feed_search_blocks": feed_search_blocks,
+        "feed_thread_stored": feed_thread_stored,
     }

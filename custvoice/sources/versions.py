@@ -88,12 +88,44 @@ class Version:
         return sum(s.kept for s in self.segments)
 
 
+class Publications:
+    """Numbered JSON files in a folder; each is there as a whole or not at all, and the last counts."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def path(self, number: int) -> str:
+        return f"{self.folder}/{number:08d}.json"
+
+    def last(self) -> int | None:
+        if not path_exists(self.spark, self.folder):
+            return None
+        files, folder = file_system(self.spark, self.folder)
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=None)
+
+    def read(self, number: int) -> dict:
+        return json.loads(read_text(self.spark, self.path(number)))
+
+    def publish(self, number: int, told: dict) -> None:
+        """Put ``told`` under its number, unless that is taken."""
+        draft, target = f"{self.folder}/.draft-{uuid.uuid4().hex}", self.path(number)
+        write_text(self.spark, draft, json.dumps(told))
+        try:
+            rename_new(self.spark, draft, target)
+        except Exception as error:
+            remove(self.spark, draft)
+            if path_exists(self.spark, target):
+                raise ConflictingVersion(f"version {number} exists in {self.folder}") from error
+            raise
+
+
 class VersionLog:
     """The versions under a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.log = f"{self.root}/versions"
+        self.numbers = Publications(spark, f"{self.root}/versions")
 
     def fresh_manifest(self) -> str:
         return f"{self.root}/manifests/{uuid.uuid4().hex}"
@@ -110,28 +142,16 @@ class VersionLog:
 
     def last(self) -> Version | None:
         """The version that counts; None before the first."""
-        if not path_exists(self.spark, self.log):
-            return None
-        files, folder = file_system(self.spark, self.log)
-        names = [f.getPath().getName() for f in files.listStatus(folder)]
-        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
-        return self.read(max(numbers)) if numbers else None
+        number = self.numbers.last()
+        return None if number is None else self.read(number)
 
     def read(self, number: int) -> Version:
-        made = json.loads(read_text(self.spark, f"{self.log}/{number:08d}.json"))
+        made = self.numbers.read(number)
         return Version(**made | {"segments": tuple(Segment(**s) for s in made["segments"])})
 
     def publish(self, version: Version) -> Version:
         """Make ``version`` the one that counts, unless its number is taken."""
-        draft, target = f"{self.log}/.draft-{uuid.uuid4().hex}", f"{self.log}/{version.number:08d}.json"
-        write_text(self.spark, draft, json.dumps(asdict(version)))
-        try:
-            rename_new(self.spark, draft, target)
-        except Exception as error:
-            remove(self.spark, draft)
-            if path_exists(self.spark, target):
-                raise ConflictingVersion(f"version {version.number} exists in {self.log}") from error
-            raise
+        self.numbers.publish(version.number, asdict(version))
         return version
 
     def clean(self) -> list[str]:
@@ -143,7 +163,7 @@ class VersionLog:
         used = set()
         if last:
             used = {self.folder(stage, s.name) for stage in STAGES for s in last.segments}
-            used |= {last.manifest, f"{self.log}/{last.number:08d}.json"}
+            used |= {last.manifest, self.numbers.path(last.number)}
         gone = []
         for kind in (*STAGES, "manifests", "versions"):
             if not path_exists(self.spark, f"{self.root}/{kind}"):

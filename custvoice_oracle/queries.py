@@ -476,6 +476,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_raw": on("posts", "SELECT row_number() OVER (ORDER BY _seq) - 1 AS _seq, "
                        + ", ".join(null_tokens(c) for c in raw_all) + " FROM posts"),
+        "scan_raw_split": on("posts", "SELECT row_number() OVER (ORDER BY _seq) - 1 AS _seq, "
+                             + ", ".join(null_tokens(c) for c in raw_all) + " FROM posts"),
         "scan_enriched": on("enriched", "SELECT _seq, id, nullif(text_clean, '') AS text_clean, "
                             "keep_for_analysis, final_intent, final_priority, final_sarcasm, "
                             "nlp_sentiment_score AS score, nullif(nlp_topics, '') AS nlp_topics, "
@@ -691,6 +693,12 @@ WHERE rank BETWEEN 21 AND 40""", TICKETS),
                             + ", text_clean, llm_explanation FROM tickets", TICKETS),
         "ticket_status": on("enriched", """
 SELECT t._seq, t.ticket_id, coalesce(s.status, 'Nouveau') AS status, coalesce(s.note, '') AS note
+FROM tickets t LEFT JOIN (
+  SELECT * FROM ticket_log
+  QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY ts DESC, event_id DESC) = 1) s
+ON s.ticket_id = t.ticket_id""", TICKETS, TICKET_LOG),
+        "ticket_status_compacted": on("enriched", """
+SELECT t._seq, t.ticket_id, coalesce(s.status, 'Nouveau') AS status, coalesce(s.note, '') AS note
 FROM tickets t LEFT JOIN (
   SELECT * FROM ticket_log
   QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY ts DESC, event_id DESC) = 1) s
@@ -711,6 +719,35 @@ FROM (SELECT *, row_number() OVER (ORDER BY created_ts DESC NULLS LAST, id DESC,
              AS place FROM feed_posts) p
 LEFT JOIN first_posts o ON o.id = p.ref_id LEFT JOIN comment_counts c ON c.id = p.id
 WHERE place BETWEEN 21 AND 40"""),
+        "feed_page_deep": on_feed(f"""
+SELECT p.place, p._seq, p.id, p.feed_type, p.screen_name, p.display_text,
+       o.screen_name AS orig_screen_name, {_LABELS}, coalesce(c.comments, 0) AS comments
+FROM (SELECT *, row_number() OVER (ORDER BY created_ts DESC NULLS LAST, id DESC, _seq DESC)
+             AS place FROM feed_posts) p
+LEFT JOIN first_posts o ON o.id = p.ref_id LEFT JOIN comment_counts c ON c.id = p.id
+WHERE place > ((SELECT count(*) FROM feed_posts) - 1) // 20 * 20"""),
+        "feed_page_of_kind": on_feed("""
+SELECT kind_place, _seq, p.id, coalesce(c.comments, 0) AS comments
+FROM (SELECT *, row_number() OVER (ORDER BY created_ts DESC NULLS LAST, id DESC, _seq DESC)
+             AS kind_place FROM feed_posts WHERE feed_type = 'retweet') p
+LEFT JOIN comment_counts c ON c.id = p.id WHERE kind_place BETWEEN 11 AND 20"""),
+        "feed_page_after": on_feed("""
+SELECT place - 40 AS place, _seq, id, feed_type, screen_name
+FROM (SELECT *, row_number() OVER (ORDER BY created_ts DESC NULLS LAST, id DESC, _seq DESC) AS place FROM feed_posts) WHERE place BETWEEN 41 AND 60"""),
+        "feed_search_indexed": on_feed("SELECT _seq, id, screen_name, feed_type FROM feed_posts WHERE "
+                                       "feed_type = 'original' AND (contains(lower(full_text), 'fibre') "
+                                       "OR contains(lower(screen_name), 'fibre'))"),
+        "feed_search_blocks": on_feed("SELECT _seq, id, screen_name, feed_type FROM feed_posts WHERE "
+                                      "contains(lower(full_text), 'src3') OR "
+                                      "contains(lower(screen_name), 'src3')"),
+        "feed_timeline_stored": on_feed(f"""
+SELECT row_number() OVER (ORDER BY p.created_ts DESC NULLS LAST, p.id DESC, p._seq DESC) AS place,
+       row_number() OVER (PARTITION BY p.feed_type ORDER BY p.created_ts DESC NULLS LAST, p.id DESC, p._seq DESC) AS kind_place,
+       p._seq, p.id, p.feed_type, p.ref_id, o.id IS NOT NULL AS found,
+       o.screen_name AS orig_screen_name, o.created_at AS orig_created_at,
+       o.display_text AS orig_display_text, {_LABELS}, coalesce(c.comments, 0) AS comments
+FROM feed_posts p LEFT JOIN first_posts o ON o.id = p.ref_id
+LEFT JOIN comment_counts c ON c.id = p.id"""),
         "feed_page_count": on_feed("SELECT count(*) AS posts, (count(*) + 19) // 20 AS pages "
                                    "FROM feed_posts"),
         "feed_embedded": on_feed(f"""
@@ -731,6 +768,10 @@ LEFT JOIN comment_counts c ON c.id = p.id"""),
                                f"{shown_time('created_ts')} AS created, display_text FROM feed "
                                "WHERE feed_type = 'reply' AND in_reply_to IN "
                                "(SELECT id FROM feed_posts)"),
+        "feed_thread_stored": on_feed("SELECT in_reply_to AS post_id, _seq, screen_name, "
+                               f"{shown_time('created_ts')} AS created, display_text FROM feed "
+                               "WHERE feed_type = 'reply' AND in_reply_to IN "
+                               "(SELECT id FROM feed_posts)"),
         "feed_thread_of_post": on_feed("SELECT _seq, id, screen_name FROM feed "
                                        "WHERE feed_type = 'reply' AND in_reply_to = '0'"),
     }
