@@ -1,12 +1,18 @@
 """Main text of web pages by the distribution of text over lines.
 
-A page is cut into blocks, one line each.  Markup that is never article (menus, forms,
-adverts, notices, scripts, comments of readers, blocks that are mostly links) leaves
-empty lines in its place.  Over the lengths of the lines a window of ``WINDOW`` lines
-slides; where its sum rises from nothing is a surge, where it falls back to nothing a
-dive, and the text between the two is one region.  Where the page has an ``article``
-or ``main`` with text, lines outside of it count as empty and all its regions are kept;
-else the largest region is, and those of at least ``SHARE`` of its length.
+A page is cut into blocks, one line each; every container that opens or closes between two
+blocks leaves an empty line, and what is never article by its element (menus, headers,
+footers, asides, forms) leaves ``WINDOW`` of them, as do blocks outside of the article that
+are mostly links.  Adverts, notices, share bars and readers' comments, known by their class
+or role, are taken out and leave nothing: what stands before and after them is as near as if
+they were not there.  Over the lengths of the lines a window of ``WINDOW`` lines slides; where
+its sum rises from nothing is a surge, where it falls back to nothing a dive, and the text
+between the two is one region.
+
+Where the page has an ``article`` or ``main`` with text, lines outside of it count as empty,
+and of the regions inside those go of which ``LINKED`` or more is links: lists of links set
+apart from the text.  On other pages the largest region stays, those of at least ``SHARE``
+of its length, and what lies between regions that stay and is no list of links.
 
 Defined results: a null, empty or unreadable page has the empty text; an element never
 closed ends with the page or where the article begins; repeated rows are read each;
@@ -18,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +45,17 @@ INLINE = frozenset(
 )
 NESTED = frozenset("article main section div header nav footer aside form menu dialog fieldset ul ol dl table body blockquote figure".split())
 MAIN = frozenset(("article", "main"))
+# A name as a whole, or a part of a compound one.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|footer|comments?|replies|disqus|"
-    r"cookies?|consent|notices?|alert|popup|modal|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|"
-    r"widget|pager|pagination|toolbar|skip|masthead)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|comments?|disqus|"
+    r"cookies?|consent|popup|modal|share|sharing|newsletter|subscribe|signup|login|widget|pager|pagination|toolbar|masthead)(?:$|[\s_-])"
+    # Words that also stand in names of articles count as whole names, or with what such boxes are called.
+    r"|(?:^|\s)(?:side|search|related|notices?|alert|replies|social|skip|recommend\w*)"
+    r"(?:[_-](?:bar|box|links?|posts?|articles?|stories|list|form|icons?|media|message|to|items?|content))*(?:$|\s)",
     re.IGNORECASE,
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
@@ -54,33 +64,49 @@ def _noise(name: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or name in MAIN and not inside or name == "body":
         return False
-    return bool(_HIDDEN.search(attributes)) or any(NOISE.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
+    # The id of a heading or paragraph is the target of a link and says nothing.
+    by_id = name in NESTED
+    named = ((what.lower(), a or b or c) for what, a, b, c in _NAMED.findall(attributes))
+    return bool(_HIDDEN.search(attributes)) or any(NOISE.search(value) for what, value in named if what != "id" or by_id)
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """The page's blocks in order: text, whether it may be article, whether it stands in the article."""
-    found: list[tuple[str, bool, bool]] = []
+class Block(NamedTuple):
+    text: str
+    noise: bool
+    inside: bool  # of the article
+    gap: int  # empty lines before it
+    linked: float  # share of its text that is links
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks in order."""
+    found: list[Block] = []
     open_: list[tuple[str, bool]] = []  # nested elements: name, whether noise
     noisy = inside = 0  # how many of the open ones are noise, how many hold the article
     parts: list[str] = []
-    length = linked = link = 0
+    length = linked = link = gap = 0
     passing = ""  # an element that is no nested one, but noise
 
     def end_block() -> None:
-        nonlocal length, linked, passing
+        nonlocal length, linked, passing, gap
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            found.append((text, not noisy and not passing and linked < LINKED * length, inside > 0))
+            found.append(Block(text, bool(noisy or passing), inside > 0, gap, linked / max(length, 1)))
+            gap = 0
         parts.clear()
         length = linked = 0
         passing = ""
 
     def close(upto: int) -> None:
-        nonlocal noisy, inside
+        nonlocal noisy, inside, gap
         while len(open_) > upto:
             name, noise = open_.pop()
             noisy -= noise
             inside -= name in MAIN
+            if not noisy:
+                gap += not noise
+                if noise and not inside and (name in ASIDE or name == "header"):
+                    gap += WINDOW
 
     at, size = 0, len(page)
     lower = None
@@ -137,6 +163,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     open_.append((name, noise))
                     noisy += noise
                     inside += name in MAIN
+                    gap += not noisy
             elif not ending and (name in ASIDE or _noise(name, attributes, inside > 0)):
                 passing = name
     end_block()
@@ -157,19 +184,33 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    article = any(good and inside for _, good, inside in found)
+    article = any(b.inside and not b.noise for b in found)
     lines: list[str] = []
-    for text, good, inside in found:
-        if good and (inside or not article):
-            lines.append(text)
-        else:
-            lines += [""] * WINDOW
-    lengths = np.array([len(line) for line in lines], np.int64)
-    stretches = [(a, b, int(lengths[a : b + 1].sum())) for a, b in regions(lengths)] if len(lines) else []
-    if not article:
-        most = max((n for _, _, n in stretches), default=0)
-        stretches = [s for s in stretches if s[2] >= SHARE * most]
-    return "\n".join(line for a, b, _ in stretches for line in lines[a : b + 1] if line)
+    links: list[float] = []
+    gap = 0
+    for block in found:
+        gap += block.gap
+        if block.noise:
+            continue
+        if article and not block.inside or not article and block.linked >= LINKED:
+            gap += WINDOW
+            continue
+        lines += [""] * min(gap, WINDOW) + [block.text]
+        links += [0.0] * min(gap, WINDOW) + [block.linked * len(block.text)]
+        gap = 0
+    if not lines:
+        return ""
+    lengths, linked = np.array([len(line) for line in lines], np.int64), np.array(links)
+    stretches = regions(lengths)
+    sizes = [int(lengths[a : b + 1].sum()) for a, b in stretches]
+    text = [linked[a : b + 1].sum() < LINKED * n for (a, b), n in zip(stretches, sizes)]
+    if article:
+        # Links are all there is to an article of nothing else.
+        stay = text if any(text) else [True] * len(text)
+    else:
+        large = [i for i, n in enumerate(sizes) if n >= SHARE * max(sizes)]
+        stay = [large[0] <= i <= large[-1] and (i in large or text[i]) for i in range(len(sizes))]
+    return "\n".join(line for (a, b), keep in zip(stretches, stay) if keep for line in lines[a : b + 1] if line)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

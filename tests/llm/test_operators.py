@@ -348,6 +348,18 @@ def test_pages(spark):
         "<article><p>A</p><div class='ad'>Buy</div><p>B</p><section id=comments><p>Nice!</p></section></article>": "A\nB",
         "<script>var t='</p>'</script><article><p>cut &am": "cut &am",
         "<div class=menu><ul><li><a href=x>y</a></ul><article><p>open menu": "open menu",
+        # Ids of headings and compound names say nothing inside the article; links are text there.
+        "<article><h2 id=search>S</h2><p>One</p><h2 id='related-work'>R</h2><p id=comments>Two</p></article>": "S\nOne\nR\nTwo",
+        "<article><section class='content side-by-side'><p>A</p></section><p>B</p></article>": "A\nB",
+        "<article><p>Text before.</p><ul><li><a href=x>all link</a></li><li>more</li></ul><p><a href=y>link too</a></p></article>": "Text before.\nall link\nmore\nlink too",
+        # On pages of nothing but div: no distance where an advert or a share bar was.
+        "<body><div id=nav><a href=x>Home</a></div><div class=page><h1>Title</h1><div class='share-bar'>Tweet</div><div class=text>"
+        + "<p>A long paragraph of text.</p>" * 3 + "<div class=ad>Buy</div><p>End.</p></div></div><footer>f</footer></body>": "Title\n" + "A long paragraph of text.\n" * 3 + "End.",
+        # A list of links set apart inside the article goes; the text decides, not the tag.
+        "<article><div><div><p>" + "Real text. " * 9 + "</p></div></div><div><div><ul><li><a href=x>Other one</a></li><li><a href=y>Other two</a></li></ul></div></div></article>":
+            ("Real text. " * 9).strip(),
+        "<div><p>" + "word " * 60 + "</p></div><nav>n</nav><div><p>Imprint</p></div>": ("word " * 60).strip(),
+        "<article><ul><li><a href=x>only</a></li><li><a href=y>links</a></li></ul></article>": "only\nlinks",
     }
     frame = spark.createDataFrame([(i, None, html, 0) for i, html in enumerate(cases)], "page_id bigint, url string, html string, text int")
     rows = {r["page_id"]: r for r in pages.extract(frame).collect()}
@@ -355,6 +367,33 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
 
 
+def test_pages_awkward_rows(spark):
+    """No rows, repeated rows, a very long page, columns with clashing names, deep nesting."""
+    long = "<article>" + "".join(f"<p>Paragraph {k} &eacute;</p><div class=ad>x</div>" for k in range(20_000)) + "</article>"
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    kind = "page_id bigint, url string, html string, text int, n_chars string, blocks string"
+    rows = [(1, "u", long, 0, "a", "b"), (2, None, deep, 1, None, ""), (2, None, deep, 1, None, ""), (None, "v", None, 2, "", None)]
+    got = sorted(((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in pages.extract(spark.createDataFrame(rows, kind)).collect()))
+    whole = "\n".join(f"Paragraph {k} é" for k in range(20_000))
+    assert got == [(0, "v", "", 0), (1, "u", whole, len(whole)), (2, "", "deep", 4), (2, "", "deep", 4)]
+    assert pages.extract(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_regions_against_definition():
+    """A region is a longest stretch of lines in which no window of empty lines lies, between lines with text."""
+    r = random.Random(9)
+    for _ in range(400):
+        lengths = [r.choice([0, 0, 0, 1, 9]) for _ in range(r.randint(1, 25))]
+        full = [i for i, n in enumerate(lengths) if n]
+        expected = []
+        for i in full:
+            if expected and i - expected[-1][1] <= pages.WINDOW:
+                expected[-1] = (expected[-1][0], i)
+            else:
+                expected.append((i, i))
+        assert pages.regions(np.array(lengths)) == expected
+
+
 def test_decontamination(docs, nothing, spark):
     items = spark.createDataFrame([(1, "A farmer sells 12 kg of apples to Anna for 30 dollars, then gives 5 kg to Bob. How many are left?"), (2, None), (3, "too short")],
                                   "item_id bigint, text string")
