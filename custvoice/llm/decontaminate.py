@@ -14,8 +14,8 @@ at once has a bound whatever its size; documents are read once for each block (o
 for any usual benchmark), and never shuffled.
 
 Defined results: a null, empty or short text (fewer than ``WINDOW`` tokens) leaks
-nothing; items of three tokens or fewer say too little and are left out, items shorter
-than a window are one window; repeated rows are tested each; empty tables find nothing.
+nothing; items of three tokens or fewer, and items of placeholders alone, say too little
+and are left out, items shorter than a window are one window; repeated rows are tested each; empty tables find nothing.
 """
 
 from __future__ import annotations
@@ -40,9 +40,11 @@ BLOCK = 2_000_000
 
 # Units of measure and money.
 UNITS = (
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams ton tons ounce ounces pound pounds ml l liter liters litre litres "
-    "second seconds s minute minutes min hour hours h day days week weeks month months year years percent degrees dollar dollars euro euros cent cents "
-    "usd eur gbp w kw v volts watts joules newtons hz mph kmh bytes kb mb gb"
+    "mm cm m km inch inches foot feet ft yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres centimeter "
+    "centimeters centimetre centimetres millimeter millimeters millimetre millimetres mg g kg gram grams kilogram kilograms milligram milligrams "
+    "ton tons tonne tonnes ounce ounces oz pound pounds lb lbs ml cl l liter liters litre litres milliliter milliliters millilitre millilitres "
+    "gallon gallons acre acres hectare hectares second seconds s minute minutes min hour hours h day days week weeks month months year years percent degrees dollar dollars euro euros cent cents "
+    "usd eur gbp w kw v volt volts watt watts joule joules newton newtons amp amps hz mph kmh bytes kb mb gb"
 ).split()
 
 # Numbers as words.
@@ -59,7 +61,10 @@ _SMALL = np.zeros(256, bool)
 _SMALL[97:123] = True
 _ENDER = np.zeros(256, bool)
 _ENDER[list(b".!?:\n")] = True
-_NUMBER, _UNIT, _NAME = mix(np.array([101, 102, 103], np.uint64))
+_NUMERIC = _DIGIT.copy()
+_NUMERIC[list(b".,")] = True
+_PLACEHOLDERS = mix(np.array([101, 102, 103], np.uint64))
+_NUMBER, _UNIT, _NAME = _PLACEHOLDERS
 
 
 def _folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +83,10 @@ def _hashes(words: list[str]) -> np.ndarray:
 _UNITS, _NUMBERS = _hashes(UNITS), _hashes(NUMBERS)
 
 
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 @dataclass
 class Templates:
     """Tokens of a run of texts: template, the same with names where sentences begin, value, text, and the word each one was."""
@@ -92,18 +101,21 @@ class Templates:
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` tokens inside one text, both ways where they differ, and where each starts."""
         plain, at = self._windows(n, self.token)
-        loose, _ = self._windows(n, self.loose)
-        other = loose != plain
-        return np.concatenate((plain, loose[other])), np.concatenate((at, at[other]))
+        changed = np.concatenate(([0], np.cumsum(self.token != self.loose)))
+        loose, where = self._windows(n, self.loose)
+        other = changed[where + n] > changed[where]
+        return np.concatenate((plain, loose[other])), np.concatenate((at, where[other]))
 
     def _windows(self, n: int, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(self.token) - n + 1
         if m <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         total = np.full(m, n, np.uint64)
+        said = np.zeros(m, bool)
         for k in range(n):
             total = mix(total) + token[k : k + m]
-        at = np.flatnonzero(self.text[:m] == self.text[n - 1 :])
+            said |= ~np.isin(token[k : k + m], _PLACEHOLDERS)
+        at = np.flatnonzero((self.text[:m] == self.text[n - 1 :]) & said)
         return mix(total[at]), at
 
 
@@ -120,6 +132,16 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     word = np.flatnonzero(begin < end)
     begin, end, text = begin[word], end[word], w.doc()[word]
     folded, wide = _folded(data)
+    # A unit written to its number is a token of its own.
+    cut = np.minimum.accumulate(np.where(_NUMERIC[data], len(data), place)[::-1])[::-1][begin]
+    glued = np.flatnonzero(_DIGIT[data[begin]] & (cut < end))
+    glued = glued[_among(_UNITS, hash_spans(folded, cut[glued], end[glued]))]
+    last_digit = preceding[cut[glued] - 1] + 1
+    begin = np.insert(begin, glued + 1, cut[glued])
+    until = end[glued]
+    end[glued] = last_digit
+    end = np.insert(end, glued + 1, until)
+    word, text = np.insert(word, glued + 1, word[glued]), np.insert(text, glued + 1, text[glued])
     value = hash_spans(folded, begin, end)
 
     def count(mask: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -129,10 +151,10 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     small = np.zeros(len(data), bool)
     small[:] = _SMALL[data]
     small[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0xA0)
-    number = _DIGIT[data[begin]] | (_NUMBERS[np.minimum(np.searchsorted(_NUMBERS, value), len(_NUMBERS) - 1)] == value)
+    number = _DIGIT[data[begin]] | _among(_NUMBERS, value)
     first = fresh(text)
     after_number = np.concatenate(([False], number[:-1])) & ~first
-    unit = after_number & ~number & (_UNITS[np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)] == value)
+    unit = after_number & ~number & _among(_UNITS, value)
     last = np.concatenate(([0], end[:-1]))
     starts = first | (count(_ENDER[data])(np.minimum(last, begin), begin) > 0)
     upper = (data[begin] >= 65) & (data[begin] <= 90)
@@ -140,7 +162,9 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> Templates:
     name = upper & (count(small)(begin, end) > 0) & ~number & ~unit
     loose = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
     token = np.where(name & starts, value, loose)
-    return Templates(token, loose, value, text, word - w.first[text], number | unit | name)
+    # Names in a row are one: the first stands for all.
+    one = ~(name & ~starts & np.concatenate(([False], name[:-1])))
+    return Templates(token[one], loose[one], value[one], text[one], (word - w.first[text])[one], (number | unit | name)[one])
 
 
 @dataclass
@@ -164,53 +188,66 @@ class Benchmark:
         lengths = np.diff(first)
         size = np.minimum(lengths, WINDOW)
         keys, items, places = [], [], []
+        windows = np.zeros(len(ids), np.int64)
         for n in sorted({int(x) for x in size if x >= SHORTEST}):
             found, at = made.windows(n)
             own = size[made.text[at]] == n
             keys.append(found[own])
             items.append(made.text[at][own])
             places.append(at[own] - first[made.text[at][own]])
+            windows += np.bincount(made.text[np.unique(at[own])], minlength=len(ids))
         if not keys:
             keys, items, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         key, item, where = map(np.concatenate, (keys, items, places))
         order = np.argsort(key, kind="stable")
         tokens = [(made.value[a:b], made.slot[a:b], int(n)) for a, b, n in zip(first, first[1:], size)]
-        windows = np.where(size >= SHORTEST, lengths - size + 1, 0)
         return cls(key[order], item[order], where[order], sorted({int(x) for x in size if x >= SHORTEST}), ids, windows, tokens)
 
     def leaks(self, made: Templates) -> list[tuple[int, int, float, int, int, int, int]]:
         """For texts of a run: text, item, share covered, first and last word, slots, slots of another value."""
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        found_at, found_item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in self.sizes:
             found, at = made.windows(n)
             low = np.searchsorted(self.keys, found)
             hit = np.flatnonzero(self.keys[np.minimum(low, len(self.keys) - 1)] == found) if len(self.keys) else np.zeros(0, np.int64)
-            high = np.searchsorted(self.keys, found[hit], "right")
-            for p, i, j in zip(at[hit].tolist(), low[hit].tolist(), high.tolist()):
-                for k in range(i, j):
-                    hits[int(made.text[p]), int(self.items[k])].append((p, int(self.places[k])))
+            many = np.searchsorted(self.keys, found[hit], "right") - low[hit]
+            found_at.append(np.repeat(at[hit], many))
+            found_item.append(np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[hit], many))
+        at, entry = np.concatenate(found_at), np.concatenate(found_item)
+        text, item, place = made.text[at], self.items[entry], self.places[entry]
+        order = np.lexsort((at, place, item, text))
+        at, text, item, place = (x[order] for x in (at, text, item, place))
+        pair = fresh(text) | fresh(item) if len(at) else np.zeros(0, bool)
+        begin = np.flatnonzero(pair)
+        covered = np.add.reduceat(pair | fresh(place), begin) if len(at) else begin
         out = []
-        for (text, item), places in hits.items():
-            share = len({q for _, q in places}) / int(self.windows[item])
-            if share < COVER:
-                continue
-            values, slots, n = self.tokens[item]
-            pairs = {(p + k, q + k) for p, q in places for k in range(n) if slots[q + k]}
-            told: dict[int, Counter] = defaultdict(Counter)
-            for p, q in pairs:
-                told[int(values[q])][int(made.value[p])] += 1
-            kept = sum(max(c.values()) for c in told.values())
-            if kept < AGREE * len(pairs) and len(told) < len(pairs):
-                # Several copies with different values may stand in one text: each is tested alone.
-                by_shift: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for p, q in places:
-                    by_shift[p - q].append((p, q))
-                if not any(self._agrees(made, item, some) for some in by_shift.values()):
-                    continue
-            other = sum(int(made.value[p]) != int(values[q]) for p, q in pairs)
-            out.append((text, item, share, int(made.word[min(p for p, _ in places)]), int(made.word[max(p for p, _ in places) + n - 1]), len(pairs), other))
+        for a, b, n_covered in zip(begin.tolist(), np.append(begin[1:], len(at)).tolist(), covered.tolist()):
+            text_, item_ = int(text[a]), int(item[a])
+            share = n_covered / int(self.windows[item_])
+            if share >= COVER:
+                row = self._judged(made, item_, list(zip(at[a:b].tolist(), place[a:b].tolist())))
+                if row:
+                    out.append((text_, item_, share, *row))
         return out
 
+    def _judged(self, made: Templates, item: int, places: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+        """First and last word, slots, and slots of another value, of the windows at these places, if the slots agree."""
+        values, slots, n = self.tokens[item]
+        pairs = {(p + k, q + k) for p, q in places for k in range(n) if slots[q + k]}
+        told: dict[int, Counter] = defaultdict(Counter)
+        for p, q in pairs:
+            told[int(values[q])][int(made.value[p])] += 1
+        kept = sum(max(c.values()) for c in told.values())
+        if kept < AGREE * len(pairs) and len(told) < len(pairs):
+            # Several copies with different values may stand in one text: each is tested alone.
+            by_shift: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for p, q in places:
+                by_shift[p - q].append((p, q))
+            if not any(self._agrees(made, item, some) for some in by_shift.values()):
+                return None
+        other = sum(int(made.value[p]) != int(values[q]) for p, q in pairs)
+        return int(made.word[min(p for p, _ in places)]), int(made.word[max(p for p, _ in places) + n - 1]), len(pairs), other
+
     def _agrees(self, made: Templates, item: int, places: list[tuple[int, int]]) -> bool:
         values, slots, n = self.tokens[item]
         if len({q for _, q in places}) < COVER * int(self.windows[item]):

@@ -415,6 +415,76 @@ def test_decontamination_of_names_that_begin_sentences():
     assert {row[0] for row in decontaminate.Benchmark.of([1], [item]).leaks(made)} == {0, 1, 2}
 
 
+def leaked(items, texts):
+    raw = [(t or "").encode() for t in texts]
+    made = decontaminate.canonical(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return {(row[0], row[1]) for row in decontaminate.Benchmark.of(list(range(len(items))), items).leaks(made)}
+
+
+def test_decontamination_of_units_and_long_names():
+    items = ["A field is 12 meters long and 7 meters wide. What is its area in square feet?",
+             "The train runs 60 km in 2 hours. How far does it get in 5 hours at this speed?",
+             "In spring Anna Maria Smith gave 3 apples to Bob and kept the rest for the winter."]
+    texts = ["A field is 30 feet long and 9 feet wide. What is its area in square feet?",
+             "The train runs 80km in 3 hours. How far does it get in 7h at this speed?",
+             "In spring Lucy gave 8 apples to Tom Jones and kept the rest for the winter.", "A field is wide. The train runs. In spring Lucy gave."]
+    assert leaked(items, texts) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_decontamination_against_brute_force():
+    """Random items asked again, each number, name and unit replaced by one other of its own: all are found, and nothing else."""
+    names, units = ["Anna", "Bob", "Carla", "Dieter", "Émile", "Fatima"], ["kg", "meters", "dollars", "hours", "litres"]
+
+    def question(seed, again):
+        q, change = random.Random(seed), random.Random(seed + 1000)
+        other = {w: c for kind in (names, units) for w, c in zip(kind, change.sample(kind, len(kind)))} if again else {}
+        numbers, out = {}, []
+        for k in range(q.randint(10, 40)):
+            kind, word = q.random(), q.choice(LEXICON)
+            name, number, unit = q.choice(names), str(q.randint(2, 99)), q.choice(units)
+            if kind < 0.12 and k:
+                out += [other.get(name, name), word]
+            elif kind < 0.25:
+                number = numbers.setdefault(number, str(500 + 3 * len(numbers))) if again else number
+                unit = other.get(unit, unit)
+                out += ([number + unit] if change.random() < 0.3 else [number, unit]) + [word]
+            else:
+                out.append(word)
+        return " ".join(out)
+
+    items = [question(s, False) for s in range(60)]
+    texts, expected = [], set()
+    for k in range(60):
+        texts.append(prose(30, 800 + k) + " " + question(k, True) + " " + prose(30, 900 + k))
+        expected.add((len(texts) - 1, k))
+        texts.append(prose(80, 1000 + k))
+    assert leaked(items, texts) == expected
+    assert leaked(items, items) == {(k, k) for k in range(60)}
+
+
+def test_decontamination_of_numbers_alone():
+    """A table of numbers against items with series of numbers: no product of places, nothing found."""
+    import time
+
+    r = random.Random(3)
+    series = lambda n: " ".join(str(r.randint(0, 9999)) for _ in range(n))
+    items = [f"What comes next in the row {series(30)} and why do you think so?" for _ in range(500)] + [series(40), "Anna Bob 5 7"]
+    texts = [series(20_000), "Say what comes next in the row 1 2 3 4 5 6 7 8 and why do you think so?", None, ""]
+    start = time.perf_counter()
+    found = leaked(items, texts)
+    assert {t for t, _ in found} <= {1} and time.perf_counter() - start < 20
+
+
+def test_decontamination_of_repeated_rows(spark):
+    item = "A farmer sells 12 kg of apples to Anna for 30 dollars and then gives 5 kg to Bob."
+    kind = "doc_id bigint, text string, item_id int, covered string"
+    docs = spark.createDataFrame([(1, item, 0, "x"), (1, item, 0, "x"), (None, item, 0, "x"), (2, (prose(50_000, 77) + " " + item), 1, "y")], kind)
+    items = spark.createDataFrame([(7, item), (7, item), (8, item.replace("12", "99")), (None, None)], "item_id bigint, text string")
+    rows = sorted(((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.leaks(docs, items).collect()))
+    assert rows == sorted([(d, i) for d in (0, 1, 1, 2) for i in (7, 7, 8)])
+    assert decontaminate.without_leaks(docs, items).count() == 0 and decontaminate.without_leaks(docs, items).columns == docs.columns
+
+
 def test_toxicity(spark, nothing):
     r = random.Random(5)
     rows, labels = [], []
