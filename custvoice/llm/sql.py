@@ -45,7 +45,7 @@ t AS (SELECT label, string_split(txt, ' ') AS ts, string_split(phrase, ' ') AS k
       FROM (VALUES {_TEMPLATES}) v(label, txt, phrase)),
 h AS (SELECT r, label, ts, (i - shift)::BIGINT AS o, ws FROM u JOIN t ON w = ks[1] AND ws[i + 1 : i + len(ks)] = ks),
 s AS (SELECT r, label, list_sum(list_transform(range(len(ts)), lambda j: CASE WHEN o + j >= 0 AND ws[o + j + 1] = ts[j + 1] THEN 1 ELSE 0 END)) / len(ts) AS score FROM h),
-ss AS (SELECT r, list(DISTINCT label) AS ls, max(score) AS score FROM s WHERE score >= {licenses.AGREE} GROUP BY r)
+ss AS (SELECT r, list(DISTINCT label) AS ls, max(score) AS score FROM s WHERE score >= 0.8 GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(bb.ls), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(coalesce(bb.ls, []) || coalesce(ss.ls, []))), ','), '') AS labels,

@@ -341,6 +341,30 @@ def test_licenses_of_many_statements(spark):
     assert got[1] == {label for label, _, _ in licenses.TEMPLATES} and "lgpl" in got[2]
 
 
+def test_licenses_with_changed_words(spark):
+    """Statements with as many words changed as may differ, or one more, anywhere: as the SQL twin has them, whatever words are rare."""
+    import duckdb
+
+    r, texts = random.Random(8), []
+    for k, (_, text, _) in enumerate(licenses.TEMPLATES * 4):
+        w = text.split()
+        for p in r.sample(range(len(w)), min(len(w) // 5 + r.randint(0, 1), len(w))):
+            w[p] = r.choice(["other", "license", "the"])
+        texts.append((k, prose(r.randint(0, 40), 5000 + k) + ". " + " ".join(w) + "; " + prose(10, 6000 + k)))
+    texts += [(None, None), (1, ""), (1, ""), (9000, "mozilla " * 3000), (9001, ("cc by 4 0 licensed under " * 800).strip())]
+    names, rows = spark_rows(licenses.scan(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert (names, rows) == duck_rows(con, sql.oracle_sql()["op5_licenses"])
+
+
+def test_postings_follow_rarity():
+    tokens = "a b c d e f g h i j".split()
+    assert licenses.postings(tokens, tokens) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert licenses.postings(tokens, tokens[::-1]) == [("j", 9), ("i", 8), ("h", 7), ("g", 6)]
+
+
 def test_pages(spark):
     cases = {
         None: "", "": "", "no markup": "no markup",
