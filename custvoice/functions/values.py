@@ -72,7 +72,8 @@ def with_count_labels(df: DataFrame, counters: Mapping[str, Column]) -> DataFram
     """
     number = df.withColumns({f"_{k}_text": strip_text(c) for k, c in counters.items()})
     steps = [
-        {"n": "CASE WHEN {k}_text RLIKE '^[+-]?[0-9]+$' THEN try_cast({k}_text AS BIGINT) END"},
+        {"whole": "CASE WHEN {k}_text RLIKE '^[+-]?[0-9]+$' THEN {k}_text END"},
+        {"n": "try_cast({k}_whole AS BIGINT)"},
         {"unit": "CASE WHEN {k}_n >= 1000000 THEN 1000000L WHEN {k}_n >= 1000 THEN 1000L END"},
         {"q": "CAST({k}_n AS DOUBLE) / {k}_unit", "tenths": "{k}_n DIV ({k}_unit DIV 10)"},
         # Twenty times the number tells on which side of the tie it lies.  Split in
@@ -89,8 +90,15 @@ def with_count_labels(df: DataFrame, counters: Mapping[str, Column]) -> DataFram
             f"_{k}_{part}": F.expr(sql.format(k=f"_{k}"))
             for k in counters for part, sql in step.items()
         })
+    # Beyond a long: the quotient in decimal, then the double nearest to it, as a division of whole numbers
+    # gives it.  Its fraction has few bits, so its tenths are exact; beyond 2 ** 53 it has none.
+    large = "coalesce(CAST(try_cast({k}_whole AS DECIMAL(38, 0)) / 1000000 AS DOUBLE), CAST({k}_whole AS DOUBLE) / 1000000D)"
+    tenths = f"CAST(rint({large} % 1D * 10D) AS BIGINT)"
     label = (
-        "CASE WHEN {k}_n IS NULL THEN '0' WHEN {k}_unit IS NULL THEN CAST({k}_n AS STRING) "
+        "CASE WHEN {k}_n IS NULL AND {k}_whole LIKE '-%' THEN coalesce(CAST(try_cast({k}_whole AS DECIMAL(38, 0)) AS STRING), {k}_whole) "
+        f"WHEN {{k}}_n IS NULL AND {{k}}_whole IS NOT NULL AND {large} >= 9007199254740992D THEN concat(format_string('%.1f', {large}), 'M') "
+        f"WHEN {{k}}_n IS NULL AND {{k}}_whole IS NOT NULL THEN concat(CAST({large} - {large} % 1D AS BIGINT) + {tenths} DIV 10, '.', {tenths} % 10, 'M') "
+        "WHEN {k}_n IS NULL THEN '0' WHEN {k}_unit IS NULL THEN CAST({k}_n AS STRING) "
         "ELSE concat({k}_shown DIV 10, '.', {k}_shown % 10, "
         "CASE WHEN {k}_unit = 1000 THEN 'K' ELSE 'M' END) END"
     )

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from custvoice.config import DEFAULT, VoiceConfig
 from custvoice.operators.classify import cap_kept
+from custvoice.operators.cube import CUBE, build_cube, compute_kpis
 from custvoice.operators.features import lexical_features
-from custvoice.operators.kpis import compute_kpis
 from custvoice.operators.prepare import prepare
 from custvoice.operators.reconcile import reconcile
 from custvoice.session import shuffles_for
@@ -30,6 +30,7 @@ MADE_FROM = "_made_from"
 @dataclass(frozen=True)
 class Enriched:
     posts: DataFrame
+    cube: DataFrame  # the dashboard's counts, which all key figures are sums of
     kpis: dict[str, DataFrame]
     ran: bool
 
@@ -89,6 +90,7 @@ def run_enrichment(
     if on_existing not in ("skip", "overwrite", "error"):
         raise ValueError(f"unknown choice for existing results: {on_existing}")
     stages = (prepared_path, enriched_path)
+    counts_path = f"{enriched_path.rstrip('/')}_cube"
     if on_existing == "error" and any(path_exists(spark, p) for p in stages):
         raise FileExistsError(f"results exist at {prepared_path} or {enriched_path}")
     made_from = settings_fingerprint(
@@ -96,14 +98,18 @@ def run_enrichment(
         files=files_fingerprint(input_files(spark, raw_path)),
     )
     same = read_text(spark, f"{enriched_path}/{MADE_FROM}") == made_from
-    ran = on_existing == "overwrite" or not same or not all(stage_finished(spark, p) for p in stages)
+    ran = on_existing == "overwrite" or not same or not all(
+        stage_finished(spark, p) for p in (*stages, counts_path))
     if ran:
         raw = read_raw(spark, raw_path, fmt, indexed=True, line_breaks=line_breaks)
         drafts = [f"{p.rstrip('/')}.new-{uuid.uuid4().hex}" for p in stages]
         with shuffles_for(spark, raw_path):
             enrich(raw, classifier, *drafts, limit, config, by_day)
-        write_text(spark, f"{drafts[1]}/{MADE_FROM}", made_from)
-        for draft, path in zip(drafts, stages):
+        drafts.insert(1, f"{drafts[1]}_cube")
+        write_stage(build_cube(spark.read.parquet(drafts[2])), drafts[1])
+        write_text(spark, f"{drafts[2]}/{MADE_FROM}", made_from)
+        # The enriched stage comes last: what it is known by says that all are there.
+        for draft, path in zip(drafts, (prepared_path, counts_path, enriched_path)):
             replace_folder(spark, draft, path)
-    posts = spark.read.parquet(enriched_path)
-    return Enriched(posts, compute_kpis(posts), ran)
+    counts = spark.read.schema(CUBE).parquet(counts_path)
+    return Enriched(spark.read.parquet(enriched_path), counts, compute_kpis(counts), ran)

@@ -172,7 +172,7 @@ def test_skip_looks_at_what_results_were_made_from(spark, tmp_path):
     assert run(limit=1, classifier_version="2").ran
     spark.createDataFrame([("9", None, "free", "x")], "id string, created_at string, full_text string, screen_name string").write.mode("append").option("header", True).csv(raw)
     assert run(limit=1, classifier_version="2").posts.count() == 5
-    assert sorted(f.name for f in tmp_path.iterdir()) == ["e", "p", "raw"]
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["e", "e_cube", "p", "raw"]
 
     def broken(df):
         raise RuntimeError("no classifier")
@@ -186,12 +186,13 @@ def test_skip_looks_at_what_results_were_made_from(spark, tmp_path):
 
 def test_panels_agree_on_posts_and_counts(spark):
     """Every panel from the cube equals the one from posts, with and without filters, and with no readable time at all."""
-    base = dashboard.dashboard_base(enriched_stage(spark, SF_DIR))
+    base = dashboard.dashboard_base(enriched_stage(spark, SF_DIR)).select(
+        "_seq", "created_ts", "text_clean", "nlp_has_resiliation_risk", *cube.DIMENSIONS, "final_sarcasm").coalesce(1).cache()
     undated = base.withColumn("created_ts", F.lit(None).cast("timestamp"))
     from custvoice.queries import CHOSEN_INTENTS, CHOSEN_PRIORITIES, CHOSEN_SENTIMENTS, CHOSEN_TYPES, PERIOD
     choices = [{}, PERIOD | {"intents": CHOSEN_INTENTS, "sentiments": CHOSEN_SENTIMENTS}, {"intents": ()}, {"sentiments": ("negative",)}]
     for source in (base, undated, base.limit(0)):
-        counts = cube.build_cube(source)
+        counts = cube.build_cube(source).coalesce(1).cache()
         assert dashboard.date_bounds(source).collect() == cube.date_bounds(counts).collect()
         assert dashboard.facets(source).collect() == cube.facets(counts).collect()
         for choice in choices:

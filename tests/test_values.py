@@ -99,3 +99,14 @@ def test_count_labels_of_very_large_numbers(spark):
     got = {r["n"]: r["label"] for r in vl.with_count_labels(df, {"label": F.col("n")}).collect()}
     assert got["999999999999999999"] == "1000000000000.0M"
     assert all(label.endswith("M") for label in got.values())
+
+
+def test_count_labels_beyond_a_long(spark):
+    """Whole numbers beyond a long, as Python divides and shows them: ties too, and up to where a double has no fraction."""
+    numbers = [2**63 - 1, 2**63, -2**63 - 1, 99999999999999999999, -10**25]
+    numbers += [10**20 + k * 10**4 for k in range(-40, 40, 3)] + [2**70 + 12345 * k for k in range(20)]
+    texts = [str(n) for n in numbers] + [f" +{2**63} ", "00" + str(10**19)]
+    values = numbers + [2**63, 10**19]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["label"] for r in vl.with_count_labels(df, {"label": F.col("t")}).collect()}
+    assert [got[i] for i in range(len(texts))] == [str(v) if v < 1000 else f"{v / 1_000_000:.1f}M" for v in values]
