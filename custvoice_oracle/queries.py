@@ -6,8 +6,9 @@ other fixed values, and the prompt text.  All logic is written again here.
 
 from __future__ import annotations
 
+import unicodedata
+
 from custvoice import fixed_values as fixed
-from custvoice.functions.text import fold_literal
 from custvoice.operators.classify import NO_ANSWER, NOT_AN_OBJECT, PROMPT_HEAD, PROMPT_TAIL
 from custvoice.plans import report
 from custvoice.queries import (
@@ -444,7 +445,10 @@ SELECT row_number() OVER (ORDER BY part, place, level, weight, name) AS line_no,
 
 _WORDS = ["True", " yes ", "1", "Y", "no", "FALSE", "", "vrai"]
 _BUMPED = [*fixed.PRIORITIES, "urgent"]
-FOLDED_CHURN = [fold_literal(w.lower()) for w in fixed.CHURN]
+FOLDED_CHURN = [
+    "".join(c for c in unicodedata.normalize("NFD", w.lower()) if not unicodedata.combining(c))
+    for w in fixed.CHURN
+]
 TICKETS = "tickets AS (SELECT *, id AS ticket_id, tweet_type = 'reply' AS is_comment " \
           f"FROM enriched WHERE {COMPLAINT})"
 TICKET_COLUMNS = (
