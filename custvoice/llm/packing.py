@@ -59,32 +59,38 @@ def _pieces(path: str, end_id: int, window: int) -> Callable:
 
 
 def partition(sizes: np.ndarray, windows: int) -> list[list[int]]:
-    """Indices of ``sizes`` in ``windows`` near-equal parts, by multiway differencing."""
+    """Indices of ``sizes`` in ``windows`` near-equal parts, by multiway differencing.
+
+    A partial partition lists the windows in use alone, by rising sums; the others are empty.
+    """
     parts: list[tuple] = []  # heap of (-spread, tie, sums rising, node of each window)
     left, right = [-1] * len(sizes), [-1] * len(sizes)
     for tie, i in enumerate(np.argsort(-sizes, kind="stable").tolist()):
-        sums, nodes = np.zeros(windows, np.int64), np.full(windows, -1)
-        sums[-1], nodes[-1] = sizes[i], i
-        parts.append((-int(sizes[i]), tie, sums, nodes))
+        parts.append((-int(sizes[i]), tie, sizes[i : i + 1].astype(np.int64), np.array([i])))
     heapq.heapify(parts)
     tie = len(parts)
     while len(parts) > 1:
-        _, _, a, of_a = heapq.heappop(parts)
-        _, _, b, of_b = heapq.heappop(parts)
-        sums, of_b = a + b[::-1], of_b[::-1]
-        nodes = np.maximum(of_a, of_b)
-        for w in np.flatnonzero((of_a >= 0) & (of_b >= 0)).tolist():
-            nodes[w] = len(left)
-            left.append(int(of_a[w]))
-            right.append(int(of_b[w]))
-        order = np.argsort(sums, kind="stable")
+        _, _, sums, nodes = heapq.heappop(parts)
+        _, _, more, others = heapq.heappop(parts)
+        # The largest of one meet the smallest of the other; where there are windows enough, none meets one in use.
+        met = len(sums) + len(more) - windows
+        if met > 0:
+            numbers = np.arange(len(left), len(left) + met)
+            left += nodes[:met].tolist()
+            right += others[:met][::-1].tolist()
+            both = sums[:met] + more[:met][::-1]
+            sums, nodes = np.concatenate((both, sums[met:], more[met:])), np.concatenate((numbers, nodes[met:], others[met:]))
+        else:
+            sums, nodes = np.concatenate((sums, more)), np.concatenate((nodes, others))
+        order = sums.argsort(kind="stable")
         sums, nodes = sums[order], nodes[order]
-        sums_free = sums - sums[0]
-        heapq.heappush(parts, (-int(sums_free[-1]), tie, sums, nodes))
+        if len(sums) == windows:
+            sums = sums - sums[0]
+        heapq.heappush(parts, (-int(sums[-1]), tie, sums, nodes))
         tie += 1
     found = []
     for node in parts[0][3].tolist() if parts else []:
-        items, todo = [], [node] if node >= 0 else []
+        items, todo = [], [node]
         while todo:
             n = todo.pop()
             if left[n] < 0:
