@@ -155,6 +155,30 @@ def test_passage_pairs_grow_with_the_rows(spark, monkeypatch, n):
     assert counts["stretches"] <= 25 * n
 
 
+def test_no_copy_hides_in_a_large_family(spark):
+    """Of 800 variants of one passage, those like an earlier one, by brute force over all pairs: each is found, with neighbours or without."""
+    r, own = random.Random(1), prose(60, 99)
+    texts = [edited(own, r.sample(range(6, 54), 3)) for _ in range(800)]
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()
+    every = [sets(x) for x in texts]
+    like = {i for i in range(800) if any(len(every[i] & every[j]) >= 0.8 * len(every[i] | every[j]) for j in range(i))}
+    assert len(like) > 100 and len(like & {x["doc_id"] for x in rows}) >= 0.97 * len(like)
+    for x in rows:
+        one, two = (sets(" ".join(texts[x[d]].split()[x[a] : x[b]])) for d, a, b in (("doc_id", "start_word", "end_word"), ("src_doc_id", "src_start_word", "src_end_word")))
+        assert x["src_doc_id"] < x["doc_id"] and len(one & two) >= 0.8 * len(one | two)
+
+
+def test_blocks_of_lone_windows(spark, monkeypatch):
+    """A group dealt in many blocks makes the same pairs as in one."""
+    r, own, found = random.Random(5), prose(60, 98), []
+    texts = [edited(own, r.sample(range(6, 54), 3)) for _ in range(150)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for size in (passages.BLOCK, 16):
+        monkeypatch.setattr(passages, "BLOCK", size)
+        found.append({tuple(x) for x in passages.repeated_passages(frame).collect()})
+    assert found[0] == found[1]
+
+
 def test_toxicity_of_awkward_rows(spark):
     """Repeated and null ids, very long and empty texts, clashing columns, an id with two labels: a score for each row."""
     kind = "doc_id bigint, text string, label int, score string, toxic int, features string"
