@@ -140,3 +140,13 @@ def test_scratch_folder(spark, tmp_path):
     with pytest.raises(RuntimeError):
         scratch_dir(Session("yarn", {}), "a")
     assert scratch_dir(spark, "a") != scratch_dir(spark, "a")
+
+
+def test_stages_are_stored_small(spark, tmp_path):
+    """Texts that repeat words take fewer bytes than the session's own codec stores them in."""
+    df = spark.range(3000).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(500)).cast("string")), " ").alias("text")).coalesce(1)
+    df.write.parquet(str(tmp_path / "usual"))
+    tables.write_stage(df, str(tmp_path / "stage"))
+    size = {n: sum(f.stat().st_size for f in (tmp_path / n).glob("*.parquet")) for n in ("usual", "stage")}
+    assert size["stage"] < 0.8 * size["usual"]
+    assert spark.read.parquet(str(tmp_path / "stage")).exceptAll(df).isEmpty()
