@@ -316,3 +316,18 @@ def test_nth_smallest(spark, monkeypatch, wanted):
     df = spark.createDataFrame([(v,) for v in values], "tie string").repartition(5)
     expected = sorted(values, key=lambda v: (v is not None, v))[wanted - 1]
     assert classify._nth_smallest(df, wanted) == expected
+
+
+def test_rows_not_kept_are_not_joined(spark):
+    """Rows that are not kept take no part in the lookup, whose kept side alone is read for it."""
+    rows = [(i, str(i % 5) if i % 7 else None, "free", i % 3 == 0 if i % 4 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "_seq long, id string, text_clean string, keep_for_analysis boolean")
+    stored = spark.createDataFrame([(k, str(k), '{"intent":"thanks"}') for k in range(4)], "_seq long, id string, llm_response string")
+    got = classify.classify_stored(df, stored)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.index("Union") < plan.index("Join")
+    found = {r["_seq"]: r["intent"] for r in got.collect()}
+    assert len(found) == 40
+    for seq, key, _, keep in rows:
+        assert (found[seq] == "thanks") == bool(keep and key in {"0", "1", "2", "3"})
+        assert (found[seq] == "unknown") >= (not keep)
