@@ -22,6 +22,7 @@ from custvoice.config import DEFAULT, VoiceConfig
 from custvoice.operators.classify import Scorer, classify_scored, classify_stored
 from custvoice.operators.prepare import prepare
 from custvoice.plans.enrichment import enrich_columns
+from custvoice.sources.tables import balanced
 
 
 def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -74,7 +75,8 @@ def write_scored_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         # The texts are read for their digests and again for the rows.
-        prepared = prepare(batch, config).persist()
+        # A micro-batch of few files has few splits; its row work takes all cores.
+        prepared = prepare(balanced(batch), config).persist()
         try:
             verdicts = classify_scored(prepared, factory, answers_path=answers_path, **options)
             enriched = enrich_columns(verdicts, config)

@@ -331,3 +331,16 @@ def test_rows_not_kept_are_not_joined(spark):
     for seq, key, _, keep in rows:
         assert (found[seq] == "thanks") == bool(keep and key in {"0", "1", "2", "3"})
         assert (found[seq] == "unknown") >= (not keep)
+
+
+def test_micro_batches_take_all_cores(spark, tmp_path, monkeypatch):
+    """A micro-batch of one file is prepared by as many tasks as there are cores."""
+    from custvoice.streaming import enrich_stream
+    columns = "_seq long, id string, created_at string, full_text string, screen_name string"
+    rows = [(i, str(i), None, f"free {i % 6}", "client") for i in range(24)]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen, prepare = [], enrich_stream.prepare
+    monkeypatch.setattr(enrich_stream, "prepare", lambda df, config: (seen.append(df.rdd.getNumPartitions()), prepare(df, config))[1])
+    raw = enrich_stream.read_raw_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    enrich_stream.write_scored_stream(raw, lambda: str, *(str(tmp_path / n) for n in ("answers", "out", "checkpoint")), once=True).awaitTermination()
+    assert seen and min(seen) >= spark.sparkContext.defaultParallelism
