@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from custvoice.operators import feed
 from custvoice.operators.tickets import text_matches
 from custvoice.schema import SEQ
-from custvoice.sources.tables import write_stage
+from custvoice.sources.tables import STAGE_CODEC, remove, write_stage
 
 BLOCK = 256
 BITS = 1 << 15  # of a block's bitmap
@@ -46,10 +46,9 @@ def write_feed(raw: DataFrame, path: str, buckets: int | None = None) -> Feed:
     """Write the stage under ``path`` from raw posts, and open it."""
     spark = raw.sparkSession
     typed = spark.read.parquet(write_stage(feed.feed_base(raw), f"{path}/typed"))
-    shown = feed.timeline(feed.posts_of(typed), typed)
-    laid = shown.repartitionByRange(*_newest()).sortWithinPartitions(*_newest())
-    laid = spark.read.parquet(write_stage(laid.withColumn("_at", F.monotonically_increasing_id()), f"{path}/laid"))
-    posts = spark.read.parquet(_write_posts(laid, f"{path}/posts"))
+    placed = write_stage(_places(spark, typed, path), f"{path}/placed")
+    posts = spark.read.parquet(_write_posts(typed, spark.read.parquet(placed), f"{path}/posts"))
+    remove(spark, placed)
     grams = block_grams(posts)
     write_stage(grams, f"{path}/grams")
 
@@ -61,13 +60,28 @@ def write_feed(raw: DataFrame, path: str, buckets: int | None = None) -> Feed:
         buckets = max(1, -(-feed.replies_of(typed).count() // BUCKET_ROWS))
     bucketed = replies.withColumn("bucket", _bucket(F.col("post_id"), buckets)).hint("rebalance", "bucket")
     ordered = bucketed.sortWithinPartitions("bucket", "post_id", F.asc_nulls_last("created_ts"), SEQ)
-    ordered.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{path}/replies")
+    ordered.write.mode("overwrite").options(compression=STAGE_CODEC, **{"parquet.block.size": ROW_GROUP}).partitionBy("bucket").parquet(f"{path}/replies")
     spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
     return Feed(spark, path, buckets)
 
 
-def _write_posts(laid: DataFrame, path: str) -> str:
-    """Posts with their places: those before a partition are counted, those in it are numbered."""
+# Columns that are not moved until their rows' places are known, and where in the typed posts a row stands.
+_HEAVY = ("full_text", "display_text")
+_ROW = ("_file", "_row")
+
+
+def _located(typed: DataFrame) -> DataFrame:
+    meta = F.col("_metadata")
+    return typed.select("*", meta.file_name.alias("_file"), meta.row_index.alias("_row"))
+
+
+def _places(spark: SparkSession, typed: DataFrame, path: str) -> DataFrame:
+    """Posts as they are shown, without their own texts, with their places: those before a partition are counted, those in it are numbered."""
+    shown = feed.timeline(feed.posts_of(_located(typed)).drop(*_HEAVY), typed)
+    keys = feed.posts_of(_located(typed)).select(*_ROW, "created_ts", "id", SEQ, "feed_type")
+    laid = keys.repartitionByRange(*_newest()).sortWithinPartitions(*_newest())
+    laid = laid.select(*_ROW, "feed_type", F.monotonically_increasing_id().alias("_at"))
+    laid = spark.read.parquet(write_stage(laid, f"{path}/laid"))
     part = F.shiftright("_at", 33)
     sizes = laid.groupBy(part.alias("part"), "feed_type").agg(F.count(F.lit(1)).alias("rows"), F.min("_at").alias("first"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,9 +95,16 @@ def _write_posts(laid: DataFrame, path: str) -> str:
     placed = laid.withColumn("part", part).join(F.broadcast(numbers), ["part", "feed_type"])
     placed = placed.withColumn("place", F.col("_at") + F.col("shift") + 1)
     placed = placed.withColumn("kind_place", F.col("kind_before") + F.row_number().over(inner))
-    stored = placed.drop("part", "_at", "shift", "kind_before").withColumn("block", F.expr(f"(place - 1) div {BLOCK}"))
+    return shown.join(placed.select(*_ROW, "place", "kind_place"), list(_ROW))
+
+
+def _write_posts(typed: DataFrame, placed: DataFrame, path: str) -> str:
+    """Posts with their places, in files that follow them; texts move once to their row and once to their place."""
+    texts = feed.posts_of(_located(typed)).select(*_ROW, *_HEAVY)
+    whole = placed.join(texts, list(_ROW)).withColumn("block", F.expr(f"(place - 1) div {BLOCK}"))
+    stored = whole.select(*typed.columns, *[c for c in whole.columns if c not in (*typed.columns, *_ROW)])
     ordered = stored.repartitionByRange("place").sortWithinPartitions("place")
-    ordered.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+    ordered.write.mode("overwrite").options(compression=STAGE_CODEC, **{"parquet.block.size": ROW_GROUP}).parquet(path)
     return path
 
 

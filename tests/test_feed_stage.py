@@ -103,3 +103,9 @@ def test_hot_post_and_empty_feed(spark, tmp_path):
 def test_open_finds_the_layout(stored):
     again = feed_stage.Feed.open(stored.spark, stored.path)
     assert again.buckets == 3 and again.posts.agg(F.max("block")).first()[0] == (again.posts.count() - 1) // feed_stage.BLOCK
+
+
+def test_texts_wait_until_places_are_known(spark, stored):
+    """Rows are ordered and numbered without their texts, which move to their places alone."""
+    laid = spark.read.parquet(f"{stored.path}/laid")
+    assert not {"full_text", "display_text", "orig_display_text"} & set(laid.columns)
