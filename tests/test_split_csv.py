@@ -2,6 +2,7 @@
 
 import csv
 import random
+import re
 
 import pytest
 
@@ -66,3 +67,30 @@ def test_small_files(spark, tmp_path):
 def test_short_and_long_rows(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1\n2,3\n4,5,6\n")
     assert [tuple(r) for r in split_csv.read_csv_split(spark, str(tmp_path), "_seq").orderBy("_seq").collect()] == [(0, "1", None), (1, "2", "3"), (2, "4", "5")]
+
+
+@pytest.mark.parametrize("lines", ["1", "4"])
+def test_records_over_batches(spark, small_splits, tmp_path, lines):
+    """Splits that reach Python in batches of a few lines; a file of empty lines alone, and one of a header."""
+    rows = [[str(k), VALUES[k % len(VALUES)], "x" * (k % 7)] for k in range(60)]
+    write(tmp_path, "a.csv", [])
+    (tmp_path / "b.csv").write_text("\n\r\n\n")
+    write(tmp_path, "c.csv", rows, tail="\n")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, lines)
+    try:
+        got = split_csv.read_csv_split(spark, str(tmp_path), "_seq").orderBy("_seq").collect()
+        found = split_csv.csv_records(spark, str(tmp_path)).orderBy("number").collect()
+    finally:
+        spark.conf.unset(batch)
+    assert [[x["_seq"], *(x[c] or "" for c in ("id", "full_text", "x"))] for x in got] == [[k, *row] for k, row in enumerate(rows)]
+    assert [x["number"] for x in found] == list(range(62)) and [x["place"] for x in found] == [0, *range(61)]
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    """A task holds a batch of lines, whatever the size of its split and of the file."""
+    write(tmp_path, "a.csv", [[str(k), "two\nlines", ""] for k in range(5)])
+    df = split_csv.read_csv_split(spark, str(tmp_path), "_seq")
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) (Exchange|Sort|Window)\b", part.strip())]
+    assert moved and not [part for part in moved if "line#" in part or "from_csv" in part or "values#" in part]
