@@ -50,6 +50,27 @@ def test_whole_job_from_csv(spark, tmp_path, raw_csv):
     assert prepared.where("keep_for_analysis").count() > 5
 
 
+def test_days_are_listed_by_few_tasks(spark, tmp_path, raw_csv, monkeypatch):
+    """The folders of the days are listed once to count and once to be returned, not in a task each."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    usual, listed = spark.conf.get(key), []
+    reader = type(spark.read)
+    plain = reader.parquet
+
+    def parquet(self, *paths, **options):
+        listed.extend(spark.conf.get(key) for p in paths if "/enriched" in p and "_cube" not in p)
+        return plain(self, *paths, **options)
+
+    monkeypatch.setattr(reader, "parquet", parquet)
+    stored = answers(spark, SF_DIR)
+    job = enrichment.run_enrichment(
+        spark, raw_csv, str(tmp_path / "prepared"), str(tmp_path / "enriched"),
+        lambda df: classify.classify_stored(df, stored), by_day=True)
+    assert listed == [str(4 * spark.sparkContext.defaultParallelism)] * 2
+    assert spark.conf.get(key) == usual
+    assert job.cube.agg(F.sum("n")).first()[0] == job.posts.count()
+
+
 def test_shuffles_follow_the_input(spark, tmp_path, monkeypatch):
     from custvoice import session
     path = tables.write_stage(spark.range(10_000), str(tmp_path / "t"))
