@@ -227,3 +227,14 @@ def test_an_open_period_filters_the_scan(spark, tmp_path):
     path = tables.write_stage(dashboard.dashboard_base(enriched_stage(spark, SF_DIR)), str(tmp_path / "b"))
     plan = dashboard.filter_posts(spark.read.parquet(path))._jdf.queryExecution().toString()
     assert "IsNotNull(created_ts)" in plan and "any_dated" not in plan
+
+
+def test_added_files_are_stored_like_stages(spark):
+    """The raw files of the growing input hold every text: they take the stages' codec."""
+    from pathlib import Path
+
+    from custvoice import queries
+    assert queries.enriched_incremental(spark, SF_DIR).count() == queries.raw_posts(spark, SF_DIR).count()
+    root = queries._STAGES[queries._key(spark, SF_DIR, "grown")].removeprefix("file:")
+    names = [f.name for f in Path(root, "raw").glob("*.parquet")]
+    assert names and all(n.endswith(f".{tables.STAGE_CODEC}.parquet") for n in names)
