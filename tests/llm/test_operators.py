@@ -84,6 +84,17 @@ def test_quality(docs, nothing):
     assert told["symbols"] == 1 and set(told) == set(quality.STRICT.rules)
 
 
+def test_quality_hands_a_text_over_once(docs):
+    """Python gets the rows alone; a text that is no string is still judged as one."""
+    kept = quality.filter_quality(docs)
+    plan = kept.sparkSession._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
+    (given,) = re.findall(r"MapInArrow\nInput \[(\d+)\]", plan)
+    assert given == "1"
+    other = quality.filter_quality(docs.withColumn("text", docs["text"].cast("binary")))
+    assert Counter(r["doc_id"] for r in other.collect()) == Counter(r["doc_id"] for r in kept.collect())
+    assert dict(other.dtypes)["text"] == "binary"
+
+
 def test_set_join(docs, nothing):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.component_ids(docs).collect()), key=repr)
     all_sets = [sets(t) for _, t in TEXTS]
