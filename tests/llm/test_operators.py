@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,23 @@ def test_quality_hands_a_text_over_once(docs):
     assert dict(other.dtypes)["text"] == "binary"
 
 
+def test_common_shingles_are_counted_in_little_memory():
+    """Counts over several rounds are exact, and millions of shingles held once are not sorted again with each round."""
+    r = np.random.default_rng(5)
+    often = [" ".join(map(str, r.integers(0, 10**6, 9).tolist())) for _ in range(3)]
+    texts = [" ".join(map(str, r.integers(0, 10**6, 40_000).tolist())) + " " + " ".join(often[: k % 4]) for k in range(110)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 20])], names=["text"]) for k in range(0, len(texts), 20)]
+    tracemalloc.start()
+    (found,) = setjoin._common(iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    told = Counter(found["n"].to_pylist())
+    # Nine words make five shingles; two phrases side by side have four more over their border.
+    assert told == {sum(k % 4 >= 1 for k in range(110)): 5, sum(k % 4 >= 2 for k in range(110)): 9, sum(k % 4 >= 3 for k in range(110)): 9}
+    assert set(found["sets"].to_pylist()) == {110}
+    assert peak < 220e6
+
+
 def test_set_join(docs, nothing):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.component_ids(docs).collect()), key=repr)
     all_sets = [sets(t) for _, t in TEXTS]
