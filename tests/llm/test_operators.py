@@ -114,6 +114,17 @@ def test_common_shingles_are_counted_in_little_memory():
     assert peak < 220e6
 
 
+def test_common_shingles_of_many_small_sets():
+    """Shingles held once do not pile up: a task's memory does not follow its rows."""
+    r = np.random.default_rng(6)
+    batches = [pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, r.integers(0, 10**6, 500).tolist())) + " a b c d e f" for _ in range(2000)])], names=["text"]) for _ in range(5)]
+    tracemalloc.start()
+    (found,) = setjoin._common(iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["n"].to_pylist() == [10_000] * 2 and peak < 110e6
+
+
 def test_set_join(docs, nothing):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.component_ids(docs).collect()), key=repr)
     all_sets = [sets(t) for _, t in TEXTS]
