@@ -3,8 +3,10 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,50 @@ def test_blocks_of_lone_windows(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def _some_windows(r, n, k):
+    out = np.zeros(k, passages._OWN)
+    out["group"], out["c"] = r.integers(0, 4, k), r.integers(0, n, k)
+    out["l"], out["r"] = r.integers(0, out["c"] + 1), r.integers(0, n - out["c"].astype(int))
+    return out
+
+
+def test_window_pairs_against_brute_force():
+    """Windows of two documents that share a group and enough shingles, also where shingles stand more than once."""
+    r = np.random.default_rng(3)
+    for trial in range(60):
+        body, there = (r.integers(0, r.integers(2, 60), n).astype("<u4") for n in r.integers(1, 80, 2))
+        ours, theirs, least = _some_windows(r, len(body), 15), _some_windows(r, len(there), 25), int(r.integers(1, 12))
+        order = np.argsort(there, kind="stable")
+        one, two = passages._of_pair(ours, body, theirs[np.argsort(theirs["group"])], order, there[order], least)
+        span = lambda w: (int(w["c"]), int(w["c"]) - int(w["l"]), int(w["c"]) + int(w["r"]) + 1)
+        held = lambda a, b: np.isin(body[a[1] : a[2]], there[b[1] : b[2]]).sum()
+        want = {(span(a), span(b)) for a in ours for b in theirs if a["group"] == b["group"] and held(span(a), span(b)) >= least}
+        assert {(span(a), span(b)) for a, b in zip(one, two)} == want
+
+
+def test_lists_of_documents_count_what_two_share(monkeypatch):
+    """From shingles to pairs: for each document with lone windows and each earlier one, how often it has what the other holds."""
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    monkeypatch.setattr(passages, "PAIRED", 20)
+    r = np.random.default_rng(4)
+    bodies = [r.integers(0, 40, n).astype("<u4") * 97_000_000 for n in r.integers(1, 60, 12)]
+    windows = [_some_windows(r, len(x), 5) for x in bodies]
+    lone = [int(k) for k in r.integers(0, 4, 12)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(lone), pa.array([w.tobytes() for w in windows]), pa.array([x.tobytes() for x in bodies])], names=["id", "n_lone", "windows", "body"])
+    dealt = pa.Table.from_batches(passages._deal_held(2)(iter([rows])))
+    counts = Counter()
+    for bucket in set(dealt["bucket"].to_pylist()):
+        for row in passages._lists(dealt.filter(pa.array([b == bucket for b in dealt["bucket"].to_pylist()]))).to_pylist():
+            blocks = [(k, row["n"], row["docs"], row["many"]) for k in range((row["size"] - 1) // 3 + 1)]
+            given = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*blocks)], names=["block", "n", "docs", "many"])
+            for out in passages._paired(iter([given])):
+                for x in out.to_pylist():
+                    counts[x["doc"], x["src"]] += x["n"]
+    part = lambda i, k: {p for w in windows[i][:k] for p in range(int(w["c"]) - int(w["l"]), int(w["c"]) + int(w["r"]) + 1)}
+    want = {(i, j): sum(bodies[i][p] in {bodies[j][q] for q in part(j, 5)} for p in part(i, lone[i])) for i in range(12) for j in range(i)}
+    assert counts == {k: n for k, n in want.items() if n}
+
+
 def test_toxicity_of_awkward_rows(spark):
     """Repeated and null ids, very long and empty texts, clashing columns, an id with two labels: a score for each row."""
     kind = "doc_id bigint, text string, label int, score string, toxic int, features string"
