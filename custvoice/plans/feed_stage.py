@@ -11,14 +11,16 @@ stage is written.  Its tables are:
 * ``grams``: for each block of ``BLOCK`` places a bitmap of the three-byte strings in its
   texts and authors.  A search opens only blocks that have all those of the needle.
 
-The driver sees counts for each of the posts' partitions, and the blocks a search may
-open, of which it lists ``LISTED`` at most; where more qualify, the scan is not narrowed.
+The driver sees counts for each of the posts' partitions, and ``STRETCHES`` stretches of
+blocks at most, to which the scan of a search is narrowed in the same way at any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from custvoice.sources.tables import STAGE_CODEC, remove, write_stage
 BLOCK = 256
 BITS = 1 << 15  # of a block's bitmap
 LISTED = 10_000
+STRETCHES = 256  # of blocks that a search reads, at most
 BUCKET_ROWS = 500_000  # replies in a folder, about
 ROW_GROUP = 8 << 20  # bytes
 
@@ -194,21 +197,36 @@ class Feed:
         """All replies to known posts; in each file by post and then oldest first."""
         return self.replies.where("known").drop("bucket", "known")
 
-    def blocks(self, needle: str) -> list[int] | None:
-        """The blocks that may hold the needle; None where all have to be opened."""
+    def holding(self, needle: str) -> DataFrame:
+        """The blocks that may hold the needle, however many; all of them where it is too short to tell."""
         needle = needle.strip()
         if len(needle.lower().encode()) < 3:
+            return self.posts.select("block").distinct()
+        return self.grams.where(may_hold(F.col("grams"), needle)).select("block")
+
+    def blocks(self, needle: str) -> list[int] | None:
+        """The blocks that may hold the needle as a list; None where it is too short to tell, or they are too many for one."""
+        if len(needle.strip().lower().encode()) < 3:
             return None
-        found = self.grams.where(may_hold(F.col("grams"), needle)).select("block").limit(LISTED + 1).collect()
+        found = self.holding(needle).limit(LISTED + 1).collect()
         return None if len(found) > LISTED else sorted(r["block"] for r in found)
 
+    def stretches(self, needle: str) -> list[tuple[int, int]]:
+        """First and last blocks of the stretches that have all blocks that may hold the needle, rising.
+
+        Each lies in a cell of its own; cells are as wide as makes them ``STRETCHES`` at most.
+        """
+        last = self.posts.agg(F.max("block")).first()[0] or 0
+        cell = F.expr(f"block div {last // STRETCHES + 1}")
+        found = self.holding(needle).groupBy(cell.alias("cell")).agg(F.min("block").alias("low"), F.max("block").alias("high"))
+        return sorted((r["low"], r["high"]) for r in found.collect())
+
     def search(self, needle: str, kind: str | None = None) -> DataFrame:
         """Posts whose text or author holds the needle, whatever the case."""
         shown = feed.posts_of(self.posts, kind) if kind else self.posts
         needle = needle.strip()
         if not needle:
             return shown
-        blocks = self.blocks(needle)
-        if blocks is not None:
-            shown = shown.where(F.col("block").isin(blocks))
+        opened = [F.col("block").between(low, high) for low, high in self.stretches(needle)]
+        shown = shown.where(reduce(or_, opened, F.lit(False)))
         return shown.where(text_matches(F.col("full_text"), needle) | text_matches(F.col("screen_name"), needle))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from custvoice import queries
 from custvoice.operators import feed
 from custvoice.plans import feed_stage
 from custvoice.queries import feed_posts_base, raw_posts
@@ -89,6 +90,23 @@ def test_search_opens_few_blocks(spark, tmp_path, monkeypatch):
     assert stored.blocks("texte") is None and stored.search("TEXTE").count() == 400
 
 
+def test_search_does_not_depend_on_how_many_blocks_qualify(spark, tmp_path, monkeypatch):
+    expected = sorted(map(tuple, queries.feed_search_blocks(spark, SF_DIR).collect()))
+    assert expected
+    monkeypatch.setattr(feed_stage, "LISTED", 0)
+    assert sorted(map(tuple, queries.feed_search_blocks(spark, SF_DIR).collect())) == expected
+    monkeypatch.setattr(feed_stage, "BLOCK", 2)
+    monkeypatch.setattr(feed_stage, "STRETCHES", 3)
+    rows = [(i, str(i), f"2024-01-01 00:{i // 60:02}:{i % 60:02}", f"texte xk{i % 7}kx" if i % 10 else None, "a" if i % 3 else None) for i in range(100)]
+    raw = spark.createDataFrame(rows, "_seq bigint, id string, created_at string, full_text string, screen_name string")
+    stored = feed_stage.write_feed(raw, str(tmp_path / "f"), buckets=1)
+    assert len(stored.stretches("xk3kx")) == 3 and stored.stretches("no such thing") == []
+    for needle in ("XK3KX", "texte", "a", "xk", "no such thing"):
+        wanted = [r[0] for r in rows if needle.lower() in (r[3] or "") or needle.lower() in (r[4] or "")]
+        assert sorted(r["_seq"] for r in stored.search(needle).collect()) == wanted
+        assert sorted(r["_seq"] for r in stored.search(needle).join(stored.holding(needle), "block", "left_semi").collect()) == wanted
+
+
 def test_hot_post_and_empty_feed(spark, tmp_path):
     rows = [(i, str(i), None, "re", "a", "0" if i else None) for i in range(3000)]
     raw = spark.createDataFrame(rows, "_seq bigint, id string, created_at string, full_text string, screen_name string, in_reply_to string")
