@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from custvoice.llm import decontaminate, passages, quality, setjoin, sql, tokens, toxicity
+from custvoice.llm.store import Scratch
 from tests.compare import duck_rows
 from tests.llm.test_operators import edited, prose, sets
 
@@ -238,3 +240,38 @@ def test_toxicity_of_awkward_rows(spark):
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     long = next(r["score"] for r in got if r["doc_id"] is None)
     assert long >= 0.3 > next(r["score"] for r in got if r["doc_id"] == 1)
+
+
+def test_release_lets_go_of_the_last_query_too(spark, tmp_path):
+    """Shuffle files of a finished query are gone soon after, although Spark's queues of events held on to it."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    scratch = Scratch(spark, "release")
+    for k in range(3):
+        before = files()
+        scratch.save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), f"t{k}")
+        made = files() - before
+        assert made
+        scratch.release()
+        until = time.monotonic() + 3
+        while made & files() and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not made & files()
+    scratch.drop("t0", "t1", "t2")
+
+
+def test_sets_are_compared_with_many_others(spark):
+    """A text is sent along with a few hundred sets at most; all its pairs are compared."""
+    base = prose(60, 9900)
+    docs = spark.createDataFrame([(k, edited(base, [k % 60])) for k in range(400)] + [(1000, base)], "doc_id bigint, text string")
+    nodes = docs.mapInArrow(setjoin._contents, "doc_id bigint, node bigint, body binary").select("doc_id", "node", F.length("body").alias("n"))
+    one = nodes.where("doc_id = 1000").first()["node"]
+    others = [r[0] for r in nodes.where("doc_id < 60").select("node").distinct().collect()]
+    pairs = spark.createDataFrame([(one, x) for x in others * 6], "a bigint, b bigint")
+    assert len(others) * 6 > setjoin.LISTED
+    got = {r["b"]: (r["shared"], r["joint"]) for r in setjoin.compare(pairs, nodes, docs).collect()}
+    whole = sets(base)
+    wanted = {r["doc_id"]: r["node"] for r in nodes.where("doc_id < 60").collect()}
+    for k, node in wanted.items():
+        other = sets(edited(base, [k]))
+        assert got[node] == (len(whole & other), len(whole | other))
