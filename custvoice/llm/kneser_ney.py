@@ -43,7 +43,8 @@ from custvoice.llm.store import Scratch, only
 from custvoice.llm.words import LOWER, Words, counted, mix, runs
 
 END = np.uint64(0x454E44)  # the hash of the end of a text
-HELD = 3_000_000  # hashes a task holds before it merges them
+HELD = 1_000_000  # hashes a task holds before it merges them
+FINER = 3  # pairs have two to this power as many buckets as words: a bucket is merged in one worker's memory
 MANY = 255
 
 
@@ -192,7 +193,7 @@ class Vocabulary:
         self.size = int(self.base[-1])
         self.parts = {b: _load(path, [("<u8", n), ("<i8", n)]) for b, path, n in files}
         total = sum(int(counts.sum()) for _, counts in self.parts.values())
-        often = [self.base[b] + np.flatnonzero(counts > total >> (bits + 2)) for b, (_, counts) in self.parts.items()]
+        often = [self.base[b] + np.flatnonzero(counts > total >> (bits + FINER + 2)) for b, (_, counts) in self.parts.items()]
         self.hot = np.concatenate(often) if often else np.zeros(0, np.int64)
         self.end = int(self.numbers(np.array([END]))[0])
         self.start = self.size + 1
@@ -249,7 +250,7 @@ def _count_pairs(files: tuple, bits: int) -> Callable:
                 inner = row[1:] != words.start
                 tally.add(pair_key(row[:-1][inner], row[1:][inner]))
         if any_:
-            yield from _emit(tally, bits, lambda keys: pair_bucket(*pair_words(keys), words.hot, bits))
+            yield from _emit(tally, bits + FINER, lambda keys: pair_bucket(*pair_words(keys), words.hot, bits + FINER))
 
     return run
 
@@ -374,9 +375,10 @@ class Model:
         known = np.flatnonzero((v != self.v) & (w != self.v))
         out = np.zeros(len(v), np.int64)
         keys, first, back = np.unique(pair_key(v[known], w[known]), return_index=True, return_inverse=True)
-        where = pair_bucket(v[known][first], w[known][first], self.vocabulary.hot, self.bits)
+        bits = self.bits + FINER
+        where = pair_bucket(v[known][first], w[known][first], self.vocabulary.hot, bits)
         order = np.argsort(where, kind="stable")
-        stops = np.searchsorted(where[order], np.arange((1 << self.bits) + 1))
+        stops = np.searchsorted(where[order], np.arange((1 << bits) + 1))
         counts = np.zeros(len(keys), np.int64)
         for b, (have, large, many, small) in self.pairs.items():
             own = order[stops[b] : stops[b + 1]]
@@ -428,7 +430,7 @@ def train(docs: DataFrame) -> tuple[tuple, int]:
     texts = only(docs, text="string")
     scratch = Scratch(docs.sparkSession, "language-model")
     folder = scratch.folder("files")
-    # Buckets grow with the input: one for every four of its partitions.
+    # Buckets grow with the input: one for every four of its partitions, and for pairs two for each.
     bits = min(max(texts.rdd.getNumPartitions() // 4, 4).bit_length(), 16)
     blobs = texts.mapInArrow(_count_words(bits), BLOBS)
     manifest = blobs.groupBy("bucket").applyInArrow(_write_words(folder), "bucket bigint, file string, distinct bigint, total bigint").collect()

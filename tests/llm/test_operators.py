@@ -283,6 +283,15 @@ def test_kneser_ney(docs, nothing):
     assert (empty["n_tokens"], empty["n_known"], empty["score"], empty["base_score"]) == (3, 0, 0.0, 0.0)
 
 
+def test_kneser_ney_buckets_of_pairs_stay_small(spark):
+    """A bucket of pairs is merged in one worker's memory: there are two for each partition, and none has much more than its share."""
+    texts = [(i, prose(60, 4000 + i)) for i in range(640)]
+    rows, _ = kneser_ney.train(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(64))
+    sizes = [r[4] >> 32 for r in rows if r[1] == "pairs"]
+    assert sum(sizes) == len({p for _, t in texts for p in zip([0, *words(t)], [*words(t), None])})
+    assert len(sizes) >= 128 and max(sizes) < 8 * sum(sizes) / 128
+
+
 def test_encoder():
     from tokenizers import Tokenizer
 
