@@ -275,3 +275,25 @@ def test_sets_are_compared_with_many_others(spark):
     for k, node in wanted.items():
         other = sets(edited(base, [k]))
         assert got[node] == (len(whole & other), len(whole | other))
+
+
+def test_texts_of_wanted_documents_only(spark):
+    plain = spark.createDataFrame([(k - 50, f"text {k}") for k in range(3000)] + [(7, "again")], "doc_id bigint, text string")
+    wanted = spark.createDataFrame([(-50, 1), (7, 2), (2949, 3), (5000, 4)], "id bigint, x int")
+    assert sorted(map(tuple, passages._texts_of(plain, wanted).select("id", "text", "x").collect())) == [
+        (-50, "text 0", 1), (7, "again", 2), (7, "text 57", 2), (2949, "text 2999", 3)]
+    assert passages._texts_of(plain, wanted.limit(0)).count() == 0
+
+
+def test_documents_without_a_common_group_are_no_pair(spark):
+    """Documents meet where a lone window of the later shares a group, whatever else they hold."""
+    def member(i, groups, lone):
+        w = np.zeros(len(groups), passages._OWN)
+        w["group"], w["c"], w["l"], w["r"] = [np.uint64(g) << np.uint64(33) for g in groups], 30, 30, 30
+        return i, lone, w.tobytes(), np.full(80, 5, "<u4").tobytes()
+
+    members = spark.createDataFrame([member(1, [1, 2], 0), member(2, [3], 1), member(3, [2, 4], 1), member(4, [4], 1)], passages.MEMBER)
+    grouped = passages._pairs(members, passages._deal_groups(4)).collect()
+    assert {(r["doc"], r["src"]) for r in grouped} == {(3, 1), (4, 3)}
+    held = passages._pairs(members, passages._deal_held(4)).collect()
+    assert {(r["doc"], r["src"]) for r in held} == {(2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)}
